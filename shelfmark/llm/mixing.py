@@ -8,7 +8,7 @@ and the fraction ``p = e - floor(e)`` is an inclusion probability.  Documents ar
 
 with ``u`` uniform, a hash of the row and the seed, and the lowest ranks are taken until their
 words fill what the certain copies leave of the target (Pareto order sampling, with size counted in
-words).  The document at the boundary is taken if that brings the total nearer to the target.
+words).  The gap before the first document that no longer fits is filled by one of a like size.
 
 No source is gathered in one task to be ranked.  ``q / (1 + q)`` lies in [0, 1); words are summed
 in 4096 bins of it, the bin that crosses the target is binned again, and only the few rows of the
@@ -46,7 +46,7 @@ def targets(totals: DataFrame, cap: float = 3.0) -> DataFrame:
         .withColumn("all_size", F.sum("source_size").over(everything))
     )
     levels = summed.withColumn("level", (F.col("all_size") - F.col("filled")) / F.col("open_share"))
-    return levels.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything)).select(
+    return levels.withColumn("level", F.first(F.when(F.col("level") <= F.col("full_at"), F.col("level")), ignorenulls=True).over(everything)).select(
         "source", "source_no", "source_size", F.coalesce(F.least("most", F.col("share") * F.col("level")), "most").alias("target")
     )
 
@@ -128,20 +128,29 @@ def thresholds(sized: DataFrame, cap: float = 3.0, weighted: bool = False) -> Da
     last = within.join(two, "source_no").filter("fine = bin2").withColumn("rest", F.col("need") - F.col("before1") - F.col("before2"))
     by = Window.partitionBy("source_no").orderBy("spot", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = last.withColumn("upto", F.sum("size").over(by))
-    nearer = (F.col("upto") <= F.col("rest")) | ((F.col("upto") - F.col("rest")) < (F.col("rest") - F.col("upto") + F.col("size")))
-    ends = run.groupBy("source_no").agg(F.max(F.when(nearer, F.struct("spot", "row_key"))).alias("end"))
+    fits = F.col("upto") <= F.col("rest")
+    ends = run.groupBy("source_no").agg(F.max(F.when(fits, F.struct("spot", "row_key"))).alias("end"), (F.first("rest") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("gap"))
     # Where no row of the last bin is taken, the bin's lower edge alone is the threshold.
-    cut = one.join(two, "source_no").join(ends, "source_no").select("source_no", (F.col("bin1") + F.col("bin2") / BINS).alias("edge"), "end")
-    return materialise(rates.join(base, "source_no", "left").join(cut, "source_no", "left"), "mix-cut")
+    cut = one.join(two, "source_no").join(ends, "source_no").select("source_no", (F.col("bin1") + F.col("bin2") / BINS).alias("edge"), "end", "gap")
+    cut = materialise(cut, "mix-cut")
+    # The words still missing are fewer than the next document has; of those after the threshold the
+    # one of the nearest size fills them, if that is nearer than leaving them out.
+    after = ranked.join(cut, "source_no").filter(~_within("spot", "row_key"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    filler = after.filter(off < F.col("gap")).groupBy("source_no").agg(F.min_by("row_key", F.struct(off, "spot", "row_key")).alias("filler"))
+    return materialise(rates.join(base, "source_no", "left").join(cut, "source_no", "left").join(filler, "source_no", "left"), "mix-thresholds")
+
+
+def _within(spot: str, row_key: str) -> F.Column:
+    return (F.col(spot) * BINS < F.col("edge")) | F.coalesce(F.struct(F.col(spot), F.col(row_key)) <= F.col("end"), F.lit(False))
 
 
 def _taken(rows: DataFrame, cut: DataFrame, cap: float) -> DataFrame:
     """``rows`` with ``copies``; nothing but the few rows of ``cut`` is joined to them."""
     placed = _spots(rows, cut, cap)
-    below = F.col("spot") * BINS < F.col("edge")
-    at_or_before = F.coalesce(F.struct("spot", "row_key") <= F.col("end"), F.lit(False))
     # A source without a crossing needs all the words that are left.
-    extra = F.col("spot").isNotNull() & (F.col("need") > 0) & (F.col("edge").isNull() | below | at_or_before)
+    ranked = F.col("edge").isNull() | _within("spot", "row_key") | F.coalesce(F.col("row_key") == F.col("filler"), F.lit(False))
+    extra = F.col("spot").isNotNull() & (F.col("need") > 0) & ranked
     copies = F.when(F.col("size") > 0, F.col("certain") + F.when(extra, 1).otherwise(0)).otherwise(0)
     return placed.withColumn("copies", copies.cast("long"))
 
