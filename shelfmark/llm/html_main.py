@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -57,18 +57,19 @@ FURNITURE = frozenset(
     "cookie cookies consent gdpr notice notices notification alert alertdialog disclaimer popup modal overlay dialog paywall toast "
     "comment comments commentlist disqus respond reply replies discussion guestbook "
     "share sharing social follow newsletter subscribe subscription signup signin login register search searchform form "
-    "related recommended recommendations recirculation trending teaser teasers more-stories tagcloud hidden".split()
+    "related recommended recommendations recirculation trending teaser teasers tagcloud hidden".split()
 )
-HEADERS = frozenset("header masthead topbar site-header".split())
-KEEPERS = frozenset(("article", "main", "h1"))
+HEADERS = frozenset("header masthead topbar".split())
+#: Furniture even where it holds an article of its own.
+ASIDES = frozenset("comment comments commentlist disqus respond reply replies discussion guestbook related recommended recommendations recirculation trending teaser teasers sidebar".split())
 
 
 class _Element:
-    __slots__ = ("tag", "number", "parent", "dropped", "head", "keeps", "article", "digest", "soft")
+    __slots__ = ("tag", "number", "parent", "dropped", "head", "keeps", "article", "digest", "soft", "side")
 
     def __init__(self, tag: str, number: int, parent: int, attrs: str) -> None:
         self.tag, self.number, self.parent = tag, number, parent
-        self.dropped = self.soft = self.head = self.keeps = False
+        self.dropped = self.soft = self.side = self.head = self.keeps = False
         self.article = tag == "article" or tag == "main"
         self.digest = xxhash.xxh3_64(f"<{tag} {attrs}>")
 
@@ -92,6 +93,7 @@ def _judge(e: _Element, attrs: str) -> None:
         e.head = True
     if e.tag not in ("html", "body", "main") and names & FURNITURE:
         e.soft = True
+        e.side = bool(names & ASIDES)
 
 
 def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
@@ -100,7 +102,8 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
     If the page has ``article`` elements (or else ``main``) outside its furniture, what stands
     outside them is left out, and nested ones marked as comments go like all furniture.  A
     ``header``, and an element with a furniture word in its class or id, is kept where it holds the
-    page's heading or article.  Unclosed, misnested and broken-off markup is read as browsers do in
+    page's heading or article (comments and the like: only the heading); the site's header is not
+    kept for a first heading if the page has another one outside.  Unclosed, misnested and broken-off markup is read as browsers do in
     the common cases; a tag that the end of the page cuts off is left out.
     """
     if not page:
@@ -188,11 +191,6 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
         e = _Element(tag, len(elements), stack[-1], attrs)
         _judge(e, attrs)
         elements.append(e)
-        if tag in KEEPERS and not e.soft:
-            up = stack[-1]
-            while up > 0 and not elements[up].keeps:
-                elements[up].keeps = True
-                up = elements[up].parent
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             raw = page[at : end.start()] if end else page[at:]
@@ -211,6 +209,16 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
         pop()
     flush()
 
+    # What holds the page's heading or article is not furniture, whatever its class says.
+    heads = [e for e in elements[1:] if e.tag == "h1"]
+    under = {e.number: _any_above(elements, e.parent, lambda x: x.head) for e in heads}
+    for e in elements[1:]:
+        if (e.article and not e.soft) or (e.tag == "h1" and not (under[e.number] and not all(under.values()) and not _any_above(elements, e.parent, lambda x: x.article))):
+            up = e.parent
+            while up > 0:
+                if not (e.tag == "article" and elements[up].side):
+                    elements[up].keeps = True
+                up = elements[up].parent
     gone, inside = [False] * len(elements), [""] * len(elements)
     for e in elements[1:]:
         own = e.dropped or (e.soft and not e.keeps) or (e.head and not e.keeps)
@@ -232,6 +240,14 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
     return out
 
 
+def _any_above(elements: list[_Element], number: int, what: Callable[[_Element], bool]) -> bool:
+    while number > 0:
+        if what(elements[number]):
+            return True
+        number = elements[number].parent
+    return False
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
