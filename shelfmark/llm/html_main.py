@@ -91,7 +91,7 @@ def _judge(e: _Element, attrs: str) -> None:
             e.dropped = True
     if names & HEADERS:
         e.head = True
-    if e.tag not in ("html", "body", "main") and names & FURNITURE:
+    if e.tag not in ("html", "body", "main") and names & FURNITURE and not names & {"with", "without", "has", "no"}:
         e.soft = True
         e.side = bool(names & ASIDES)
 
