@@ -106,26 +106,32 @@ def compare_at(products: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.select("page_id", "rk", amount_of_value(F.col("m.kind"), F.col("m.s"), F.col("m.num")).alias("amount")).filter("amount is not null")
 
 
-def graph_price(products: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``page_id``, ``price``, ``currency``, ``compare``, ``price_src`` of the first product with prices.
+def choose_price(prices: DataFrame) -> DataFrame:
+    """``page_id``, ``rk``, ``price``, ``currency``, ``place`` from rows like those of :func:`node_prices`.
 
-    Of its prices concrete ones go before ends of a range and buyable ones before others, each only
-    if there are any; the lowest of those is the price, and the lowest was-price up to ten times it
-    the compared one.
+    Of the first product with prices, concrete ones before ends of a range, then buyable ones before
+    others, each only if there are any; the lowest of what is left.
     """
-    prices = node_prices(products, nodes)
     first = prices.groupBy("page_id").agg(F.min("rk").alias("rk"))
     rows = F.array_sort(F.collect_list(F.struct("ord", "amount", "currency", "place", "is_range", "buyable")))
     found = prices.join(first, ["page_id", "rk"]).groupBy("page_id", "rk").agg(rows.alias("found"))
-    concrete = F.filter("found", lambda r: ~r["is_range"])
-    found = found.withColumn("found", F.when(F.size(concrete) > 0, concrete).otherwise(F.col("found")))
-    buyable = F.filter("found", lambda r: F.coalesce(r["buyable"], F.lit(True)))
-    found = found.withColumn("found", F.when(F.size(buyable) > 0, buyable).otherwise(F.col("found")))
+    found = found.withColumn("found", let(F.filter("found", lambda r: ~r["is_range"]), lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.col("found"))))
+    found = found.withColumn("found", let(F.filter("found", lambda r: F.coalesce(r["buyable"], F.lit(True))), lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.col("found"))))
     stated = F.filter(F.transform("found", lambda r: r["currency"]), lambda c: c.isNotNull())
-    head = found.select(
+    return found.select(
         "page_id", "rk", F.array_min(F.transform("found", lambda r: r["amount"])).alias("price"),
         F.try_element_at(stated, F.lit(1)).alias("currency"), F.element_at("found", 1)["place"].alias("place"),
     )
+
+
+def graph_price(products: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``page_id``, ``price``, ``currency``, ``compare``, ``price_src`` of the first product with prices.
+
+    Of its prices concrete ones go before ends of a range and buyable ones before others, each only
+    if there are any; the lowest of those is the price, and the lowest was-price up to ten times it
+    the compared one.
+    """
+    head = choose_price(node_prices(products, nodes))
     was = compare_at(products, nodes).withColumnRenamed("amount", "was")
     credible = head.join(was, ["page_id", "rk"]).filter("was > price and was <= price * 10").groupBy("page_id").agg(F.min("was").alias("compare"))
     named = head.join(products.select("page_id", "rk", "path"), ["page_id", "rk"])
