@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from shelfmark.plans import queries_text
-
-QUERIES = {**queries_text.QUERIES}
-SQL = {**queries_text.SQL}
+from shelfmark.plans import queries_catalog, queries_pages, queries_text  # noqa: F401  (registers the queries)
+from shelfmark.plans.queries_pages import page_records  # noqa: F401
+from shelfmark.plans.queries_text import QUERIES, SQL
