@@ -7,11 +7,12 @@ seen once are recognised.
 
 Labels say only toxic or not.  Grades 1 to 3 of the toxic training documents are the terciles of
 how many different marked terms they hold, a marked term being a feature that the labels tie to
-toxic documents; grade 0 is the clean ones.  A document is called toxic if ``P(grade >= 1)`` is at
-least one half.
+toxic documents; grade 0 is the clean ones.  A document is called toxic if ``P(grade >= 1)`` reaches
+a cut that is fitted with the model, between 0.2 and 0.8.
 
 Bounds, all parameters: at most ``per_class`` labelled documents of each kind are read for the fit
-(those of the lowest hash), and the ``max_features`` features of the clearest association enter it.
+(those of the lowest hash), and of the features that toxic documents have e^2 times as often as
+clean ones the ``max_features`` of the clearest association enter it.
 Scoring reads every word of every document.
 """
 
@@ -24,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ class Model:
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = ()
+    cut: float = 0.5
 
     def chances(self, text: str | None) -> list[float]:
         """``P(grade >= k)`` for k = 1 .. 3."""
@@ -57,16 +60,31 @@ class Model:
         return [1 / (1 + math.exp(-max(-500.0, min(500.0, score - t)))) for t in self.thresholds]
 
 
+def best_cut(p: np.ndarray, toxic: np.ndarray, clean_cost: float = 3.0) -> float:
+    """Where to cut ``P(grade >= 1)``, from 0.2 to 0.8: the middle of the gap of the fewest errors.
+
+    An error on a clean document costs ``clean_cost`` times one on a toxic document: the sample holds
+    more toxic documents than the corpus does.
+    """
+    edges = np.unique(np.concatenate(([0.2, 0.8], p[(p > 0.2) & (p < 0.8)])))
+    middles = (edges[1:] + edges[:-1]) / 2
+    wrong = [clean_cost * np.sum((p >= m) & (toxic == 0)) + np.sum((p < m) & (toxic == 1)) for m in middles]
+    width = np.diff(edges)
+    return float(min(zip(wrong, -width, middles, strict=True))[2])
+
+
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, rounds: int = 400, l1: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, rounds: int = 400, l1: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and rising thresholds by proximal gradient steps on all-threshold logistic loss.
 
     The loss is the sum over thresholds of the logistic loss of ``grade >= k``; its gradient with
     respect to the score is shared by all features, and the thresholds come out in order as the
-    classes ``grade >= k`` are nested.  ``l1`` keeps weights of uninformative features at zero.
+    classes ``grade >= k`` are nested.  Weights do not fall below zero (a term can raise the severity of
+    a text, harmless words around it do not lower it), and ``l1`` keeps those of uninformative features
+    at zero.
     """
     n = len(grades)
     w, t = np.zeros(n_features), np.linspace(1, 3, GRADES)
@@ -84,8 +102,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
         scale = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         rate = 0.1 / np.sqrt(step / 20 + 1)
         pace = rate * scale / (np.sqrt(speed_w) + 1e-8)
-        w = w - pace * moment_w
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 / (np.sqrt(speed_w) + 1e-3), 0)
+        w = np.maximum(w - pace * moment_w - rate * l1 / (np.sqrt(speed_w) + 1e-3), 0)
         t = t - rate * scale * moment_t / (np.sqrt(speed_t) + 1e-8)
     return w, np.sort(t)
 
@@ -96,7 +113,28 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     some = [clean.filter(f"toxic = {k}").orderBy(F.xxhash64("id"), "id").limit(per_class * (2 - k)) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])  # at most 3 * per_class rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "id").filter("text is not null")
+    found = texts.join(F.broadcast(chosen), "id").filter("text is not null").select("id", "text", "toxic")
+    # Near copies would lend the words of one document the weight of many: of those that share the
+    # least hash of their five-word runs, by either of two seeds, one is kept.
+    found = materialise(found.mapInArrow(_least_batches, "id long, text string, toxic int, least1 long, least2 long, mark long"), "toxic-labelled")
+    for least in ("least1", "least2"):
+        first = found.groupBy("toxic", least).agg(F.min(F.struct("mark", "id")).alias("x")).select("toxic", least, "x.mark", "x.id")
+        found = found.join(first, ["toxic", least, "mark", "id"], "left_semi")
+    return found.dropDuplicates(["id"]).select("id", "text", "toxic")
+
+
+def _least_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        least: list[list[int]] = [[], []]
+        marks = []
+        for text in batch.column(1):
+            words = text.as_py().lower().encode("utf-8", "surrogatepass").split()
+            runs = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+            for k in (0, 1):
+                least[k].append(min(xxhash.xxh64_intdigest(r, k + 1) for r in runs))
+            marks.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
+        made = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (*least, marks)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["id", "text", "toxic", "least1", "least2", "mark"])
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +153,7 @@ def _index_batches(index: dict[str, int]):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, max_features: int = 1500, least_docs: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, max_features: int = 3000) -> Model:
     """Fit on labelled rows: up to ``per_class`` toxic and twice as many clean documents.
 
     Labels outside 0 and 1, of unknown documents or of null texts are not used; of contrary labels
@@ -129,9 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = sample.select("id", "text", "toxic").mapInArrow(_feature_batches, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0"))
     odds = F.log((F.col("d1") + 0.5) / (n1 + 1)) - F.log((F.col("d0") + 0.5) / (n0 + 1))
     clear = odds / F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))
-    kept = counted.filter(F.col("d1") + F.col("d0") >= least_docs).select("feature", odds.alias("odds"), clear.alias("clear")).orderBy(F.abs("clear").desc(), "feature").limit(max_features).collect()
+    told = counted.filter("d1 >= 3").select("feature", odds.alias("odds"), clear.alias("clear")).filter("odds >= 2 and clear >= 2.5")
+    kept = told.orderBy(F.col("clear").desc(), "feature").limit(max_features).collect()
     index = {r["feature"]: i for i, r in enumerate(kept)}
-    marked = np.array([r["odds"] > 2.5 and r["clear"] > 2.5 for r in kept], bool)
+    marked = np.array([r["odds"] > 2.5 and r["clear"] > 2 for r in kept], bool)
     if not index:
         return Model()
     data = sample.select("id", "text", "toxic").mapInArrow(_index_batches(index), "toxic int, hits array<int>").collect()  # at most 3 * per_class rows of max_features numbers
@@ -143,14 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     low, high = np.quantile(marks[toxic == 1], [1 / 3, 2 / 3])
     grades = np.where(toxic == 0, 0, 1 + (marks > low).astype(int) + (marks > high).astype(int))
     w, t = fit_ordinal(rows, cols, grades, len(index))
-    return Model({f: float(w[i]) for f, i in index.items() if w[i] != 0}, tuple(float(x) for x in t))
+    p = _logistic(np.bincount(rows, weights=w[cols], minlength=len(data)) - t[0]) if len(cols) else np.zeros(len(data))
+    return Model({f: float(w[i]) for f, i in index.items() if w[i] != 0}, tuple(float(x) for x in t), best_cut(p, toxic))
 
 
 def _chance_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([model.chances(t.as_py()) for t in batch.column(1)], float).reshape(-1, GRADES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.sum(axis=1)), pa.array((got >= 0.5).sum(axis=1).astype(np.int32)), pa.array(got[:, 0])], names=["id", "severity", "grade", "p_toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.sum(axis=1)), pa.array(((got[:, 0] >= model.cut) * np.maximum(1, (got >= 0.5).sum(axis=1))).astype(np.int32)), pa.array(got[:, 0])], names=["id", "severity", "grade", "p_toxic"])
 
     return run
 
@@ -161,13 +201,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no features and score as such.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_chance_batches(model), "id long, severity double, grade int, p_toxic double").withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return rows.mapInArrow(_chance_batches(model), "id long, severity double, grade int, p_toxic double").withColumn("toxic", F.col("grade") > 0)
 
 
 def _clean_batches(model: Model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.chances(t.as_py())[0] < 0.5 for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([model.chances(t.as_py())[0] < model.cut for t in batch.column(at)], pa.bool_()))
 
     return run
 
