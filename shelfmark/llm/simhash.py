@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, table
+from shelfmark.llm.common import free_name, materialise, table
 from shelfmark.llm.components import connected_components
 
 MAX_BITS = 3
@@ -180,12 +180,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without an id are kept, as nothing names them; of rows that repeat the smallest id one
     stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.filter("id is not null and id <> component_id").select("id").distinct()
-    stay = docs.join(gone, docs[id_col] == gone["id"], "left_anti")
-    repeated = found.filter("id is not null").groupBy("id").count().filter("count > 1").select("id")
-    twice = stay.join(repeated, stay[id_col] == repeated["id"], "left_semi").dropDuplicates([id_col])
-    return stay.join(repeated, stay[id_col] == repeated["id"], "left_anti").unionByName(twice)
+    found = near_duplicates(docs, id_col, text_col).filter("id is not null")
+    named = found.groupBy("id").agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    # Only ids that go or recur are joined to the texts, once.
+    marks = materialise(named.filter("id <> component or n > 1"), "simhash-marks")
+    id_name, component, n = (free_name(c, docs.columns) for c in ("dup_id", "dup_component", "dup_n"))
+    marked = docs.join(marks.toDF(id_name, component, n), docs[id_col] == F.col(id_name), "left")
+    alone = marked.filter(F.col(id_name).isNull())
+    repeated = marked.filter(F.col(id_name) == F.col(component)).dropDuplicates([id_name])
+    return alone.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
