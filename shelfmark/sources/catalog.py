@@ -18,7 +18,7 @@ RESULT = f"product {PRODUCT}, url string, source string, confidence double, warn
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``ord`` of a file with one path per line; blank lines and ``#`` comments are skipped."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
     return lines.filter(~F.col("line").startswith("#") & (F.trim("line") != "")).select(F.trim("line").alias("path"), "ord")
 
