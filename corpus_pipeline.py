@@ -8,30 +8,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import mixing, packing, simhash, toxicity
-from shelfmark.llm.common import materialise, ship_package, table
+from shelfmark.llm.common import bound_batches, materialise, ship_package, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that the severity model, fitted on ``labels``, rejects go."""
     ship_package(spark)
+    bound_batches(spark)
     return toxicity.clean_only(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near duplicates the document with the smallest id stays."""
     ship_package(spark)
+    bound_batches(spark)
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: each document as often as the mix to target weights takes it."""
     ship_package(spark)
+    bound_batches(spark)
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: pieces of the documents and their places in sequences of 2048 tokens."""
     ship_package(spark)
+    bound_batches(spark)
     return packing.packed_digests(docs)
 
 

@@ -55,8 +55,22 @@ def ship_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = f"{root}:{known}" if known else root
 
 
+ARROW_DEFAULT, ARROW_BYTES = str(64 << 20), str(16 << 20)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of 16 MiB, unless the session names a size itself.
+
+    A worker holds a batch, its Python strings and what it makes of them at the same time.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == ARROW_DEFAULT:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
