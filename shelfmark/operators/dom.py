@@ -55,10 +55,20 @@ def ancestors(dom: DataFrame, limit: int = 40) -> DataFrame:
     return dom.select("page_id", "nid", F.posexplode(F.slice("anc", 1, limit)).alias("distance", "ancestor")).withColumn("distance", F.col("distance") + 1)
 
 
+#: Elements are met through stretches of so many numbers, not page against page.
+STRETCH = 128
+
+
 def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs of elements of one page where ``outer`` holds ``inner``: equal page, interval of numbers."""
+    """Pairs of elements of one page where ``outer`` holds ``inner``: ``outer.nid < nid <= outer.last``.
+
+    An outer element is filed under every stretch of numbers that its interval touches and an inner
+    one under its own, so that the join is by equality and compares only elements near each other.
+    """
     o = outer.select("page_id", F.col("nid").alias("outer_nid"), F.col("last").alias("outer_last"), F.col("depth").alias("outer_depth"))
-    return inner.join(o, "page_id").filter("outer_nid < nid and nid <= outer_last")
+    o = o.filter("outer_last > outer_nid").withColumn("stretch", F.explode(F.sequence(F.floor((F.col("outer_nid") + 1) / STRETCH), F.floor(F.col("outer_last") / STRETCH))))
+    i = inner.withColumn("stretch", F.floor(F.col("nid") / STRETCH))
+    return i.join(o, ["page_id", "stretch"]).filter("outer_nid < nid and nid <= outer_last").drop("stretch")
 
 
 def nearest_scope(dom: DataFrame, scope: str = "itemscope", prop: str = "itemprop") -> DataFrame:
