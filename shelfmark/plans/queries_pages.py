@@ -24,7 +24,7 @@ def sample_results(spark: SparkSession) -> DataFrame:
 @query(
     """SELECT * FROM (VALUES (1, 'Pine Stool', 'Grainhouse', 89.0, 'EUR', 109.0, 'Furniture > Chairs > Stools', NULL), (2, 'Trail Lamp', 'Northlight', 39.0, 'USD', 45.0, 'Outdoor > Lighting > Head Lamps', NULL),
     (3, 'Wool Cap', 'Hatters', 24.5, 'GBP', NULL, 'Apparel > Hats > Caps', NULL), (4, 'Clay Jug', 'Kiln Row', 36.0, 'GBP', NULL, 'Kitchen > Serving > Jugs', NULL), (5, 'Rain Coat', '', 120.0, 'USD', NULL, 'Apparel > Coats > Rain Coats', NULL),
-    (6, NULL, NULL, NULL, NULL, NULL, NULL, 'price'), (7, NULL, NULL, NULL, NULL, NULL, NULL, 'categorical')) AS t(page_id, name, brand, price, currency, compare_at, category, refused)"""
+    (6, NULL, NULL, NULL, NULL, NULL, NULL, 'price'), (7, NULL, NULL, NULL, NULL, NULL, NULL, 'categorical'), (8, 'Field Bag', 'Canvas Co', 140.0, 'USD', NULL, 'Apparel > Bags > Field Bags', NULL)) AS t(page_id, name, brand, price, currency, compare_at, category, refused)"""
 )
 def pdp_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("product")
@@ -33,7 +33,7 @@ def pdp_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT * FROM (VALUES (1, '4471', '', NULL, 'unknown'), (2, NULL, '', NULL, 'unknown'), (3, 'C-GR-M', 'Color=Grey,Size=M', 24.5, 'out_of_stock'), (3, 'C-GR-S', 'Color=Grey,Size=S', 24.5, 'in_stock'), (3, 'C-NA-S', 'Color=Navy,Size=S', 26.0, 'in_stock'),
-    (4, NULL, '', NULL, 'unknown'), (5, 'RC-1', 'Color=Black,Length=Short', NULL, 'unknown'), (5, 'RC-2', 'Color=Black,Length=Long', NULL, 'unknown'), (5, 'RC-3', 'Color=Olive,Length=Short', NULL, 'unknown')) AS t(page_id, sku, options, price, availability)"""
+    (4, NULL, '', NULL, 'unknown'), (5, 'RC-1', 'Color=Black,Length=Short', NULL, 'unknown'), (5, 'RC-2', 'Color=Black,Length=Long', NULL, 'unknown'), (5, 'RC-3', 'Color=Olive,Length=Short', NULL, 'unknown'), (8, 'FB8', '', NULL, 'unknown')) AS t(page_id, sku, options, price, availability)"""
 )
 def pdp_extract_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sample_results(spark).filter("product is not null").select("page_id", F.explode("product.variants").alias("v"))
@@ -43,13 +43,13 @@ def pdp_extract_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT * FROM (VALUES (1, 'https://cdn.example.com/img/4471-a_1200x1200.jpg https://cdn.example.com/img/4471-b_1200x1200.jpg'), (2, 'https://cdn.example.com/img/lamp-77.jpg'), (3, 'https://cdn.example.com/img/cap-1.jpg https://cdn.example.com/img/cap-2.jpg'),
-    (4, 'https://cdn.example.com/img/jug-1.jpg'), (5, 'https://cdn.example.com/img/coat.jpg')) AS t(page_id, images)"""
+    (4, 'https://cdn.example.com/img/jug-1.jpg'), (5, 'https://cdn.example.com/img/coat.jpg'), (8, 'https://cdn.example.com/img/bag-2_1200x1200.jpg https://cdn.example.com/img/bag-1_1200x1200.jpg')) AS t(page_id, images)"""
 )
 def pdp_extract_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_results(spark).filter("product is not null").select("page_id", F.array_join("product.image_urls", " ").alias("images"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ld+json', 5), (2, 'ld+json', 5), (3, 'state:window.__DATA__', 5), (4, 'microdata', 3), (5, 'script-json', 8), (6, 'ld+json', 1)) AS t(page_id, carrier, n)")
+@query("SELECT * FROM (VALUES (1, 'ld+json', 5), (2, 'ld+json', 5), (3, 'state:window.__DATA__', 5), (4, 'microdata', 3), (5, 'script-json', 8), (6, 'ld+json', 1), (8, 'ld+json', 1)) AS t(page_id, carrier, n)")
 def pdp_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_nodes(parsed_pages(sample_pages(spark))).groupBy("page_id", "carrier").agg(F.count("*").alias("n"))
 
@@ -65,7 +65,7 @@ def pdp_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.breadcrumbs(dom_nodes(parsed_pages(sample_pages(spark)))).select("page_id", F.array_join("trail", " > ").alias("trail"))
 
 
-@query("SELECT * FROM (VALUES (1, 89.0, 'EUR', 109.0), (4, 36.0, 'GBP', NULL)) AS t(page_id, price, currency, compare_at)")
+@query("SELECT * FROM (VALUES (1, 89.0, 'EUR', 109.0), (4, 36.0, 'GBP', NULL), (8, 140.0, 'USD', NULL)) AS t(page_id, price, currency, compare_at)")
 def pdp_dom_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Money near the heading, without delivery charges."""
     from shelfmark.operators.fields import dom_price
@@ -74,11 +74,65 @@ def pdp_dom_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("dom_price").alias("price"), F.col("dom_currency").alias("currency"), F.col("dom_compare").alias("compare_at"))
 
 
-@query("SELECT * FROM (VALUES ('grainhouse-pine-stool'), ('northlight-trail-lamp'), ('hatters-wool-cap'), ('kiln-row-clay-jug'), ('rain-coat')) AS t(id)")
+@query("SELECT * FROM (VALUES ('grainhouse-pine-stool'), ('northlight-trail-lamp'), ('hatters-wool-cap'), ('kiln-row-clay-jug'), ('rain-coat'), ('canvas-co-field-bag')) AS t(id)")
 def pdp_catalog_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(sample_results(spark)).select("id")
 
 
+@query("SELECT * FROM (VALUES (8, 'https://cdn.example.com/v/bag.mp4')) AS t(page_id, video)")
+def pdp_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.operators import images
+
+    parsed = parsed_pages(sample_pages(spark))
+    dom, nodes = dom_nodes(parsed), json_nodes(parsed)
+    return images.resolve_video(dom, nodes, images.identities(parsed, dom, nodes)).select("page_id", F.col("video_url").alias("video"))
+
+
+@query("SELECT * FROM (VALUES (1, 'https://shop.example.com/p/pine-stool-4471', 'Grainhouse', 'pine-stool-4471', '4471', NULL), (5, NULL, NULL, '', '', NULL), (8, NULL, NULL, '', 'FB8', 'https://cdn.example.com/img/bag-2.jpg')) AS t(page_id, canonical, site, url_tokens, key_tokens, hints)")
+def pdp_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical address, metas, tokens that identify the product, and preloaded images."""
+    from shelfmark.operators import images
+
+    parsed = parsed_pages(sample_pages(spark).filter("page_id in (1, 5, 8)"))
+    dom, nodes = dom_nodes(parsed), json_nodes(parsed)
+    ids = images.identities(parsed, dom, nodes)
+    joined = ids.join(D.metas(dom, "site_name"), "page_id", "left").join(images.preload_hints(dom), "page_id", "left")
+    return joined.select("page_id", F.col("base").alias("canonical"), F.col("meta_site_name").alias("site"), F.array_join("url_tokens", " ").alias("url_tokens"), F.array_join("key_tokens", " ").alias("key_tokens"), F.array_join("hints", " ").alias("hints"))
+
+
+@query("SELECT * FROM (VALUES (1, 89.0, 'EUR', 'false', 'true'), (2, 31.0, 'USD', 'true', NULL), (2, 31.0, NULL, 'false', 'false'), (2, 42.5, NULL, 'false', 'true'), (2, 39.0, 'USD', 'false', NULL)) AS t(page_id, amount, currency, is_range, buyable)")
+def pdp_offer_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of offers with how they weigh; the delivery charge of page 1 is none."""
+    from shelfmark.operators.fields import node_prices
+
+    nodes = json_nodes(parsed_pages(sample_pages(spark).filter("page_id in (1, 2)")))
+    return node_prices(graph.product_nodes(nodes).filter("rk = 1"), nodes).select("page_id", "amount", "currency", F.col("is_range").cast("string").alias("is_range"), F.col("buyable").cast("string").alias("buyable"))
+
+
+@query("SELECT page_id, md5(html) AS page FROM pages")
+def page_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes to text by declared charsets, strictly."""
+    from shelfmark.sources.pages import decode
+
+    raw = read(spark, sf_dir, "pages").select("page_id", F.lit(None).cast("string").alias("content_type"), F.col("html").cast("binary").alias("raw"))
+    return decode(raw).filter("error is null").select("page_id", F.md5("html").alias("page"))
+
+
+@query("SELECT * FROM (VALUES (1, true, 1, 1, true), (5, true, 1, 0, true), (8, true, 1, 1, true)) AS t(page_id, has_facts, n_nodes, n_metas, has_text)")
+def pdp_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bundle of evidence that a judgement made elsewhere would read."""
+    from shelfmark.operators.evidence import bundle
+    from shelfmark.plans.extract import facts
+    from shelfmark.sources.stages import staged
+
+    parsed = staged(parsed_pages(sample_pages(spark).filter("page_id in (1, 5, 8)")), "parsed")
+    text = F.col("evidence")
+    return bundle(facts(parsed), parsed).select(
+        "page_id", text.contains("### already extracted").alias("has_facts"), (F.size(F.split(text, "### structured data ")) - 1).alias("n_nodes"),
+        F.when(text.contains("### page metadata"), 1).otherwise(0).alias("n_metas"), text.contains("### visible page text").alias("has_text"),
+    )
+
+
 @query()
 def pdp_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(sample_results(spark))

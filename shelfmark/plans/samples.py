@@ -33,8 +33,13 @@ NO_PRICE = """<html><head><title>Marble Table</title></head><body><h1>Marble Tab
 
 SHELL = "<html><head><title>Loading… | Example Store</title></head><body><div id=app></div></body></html>"
 
-PAGES = {1: LD_JSON, 2: SELLERS, 3: STATE, 4: MICRODATA, 5: ANSWERS, 6: NO_PRICE, 7: SHELL}
-CATEGORIES = ("Furniture > Chairs > Stools", "Furniture > Tables > Dining Tables", "Outdoor > Lighting > Head Lamps", "Apparel > Hats > Caps", "Apparel > Coats > Rain Coats", "Kitchen > Serving > Jugs")
+GALLERY = """<html><head><title>Field Bag</title><link rel="preload" as="image" href="https://cdn.example.com/img/bag-2_600x600.jpg"><meta property="og:image" content="https://cdn.example.com/img/bag-1_1200x1200.jpg"></head>
+<body><main><script type="application/ld+json">{"@type":"Product","name":"Field Bag","brand":"Canvas Co","sku":"FB8","description":"Waxed canvas bag with two straps."}</script><h1>Field Bag</h1>
+<div class="gallery"><img data-src="https://cdn.example.com/img/bag-1_600x600.jpg" src="data:image/gif;base64,R0lGOD"><img srcset="https://cdn.example.com/img/bag-2_300x300.jpg 300w, https://cdn.example.com/img/bag-2_1200x1200.jpg 1200w"></div>
+<video src="https://cdn.example.com/v/bag.mp4"></video><div class="related-products"><img src="https://cdn.example.com/img/other.jpg"><span class="price">$9</span></div><p class="price">$140.00</p><p>Buy now</p></main></body></html>"""
+
+PAGES = {1: LD_JSON, 2: SELLERS, 3: STATE, 4: MICRODATA, 5: ANSWERS, 6: NO_PRICE, 7: SHELL, 8: GALLERY}
+CATEGORIES = ("Furniture > Chairs > Stools", "Furniture > Tables > Dining Tables", "Outdoor > Lighting > Head Lamps", "Apparel > Hats > Caps", "Apparel > Coats > Rain Coats", "Kitchen > Serving > Jugs", "Apparel > Bags > Field Bags")
 
 
 def sample_pages(spark: SparkSession) -> DataFrame:

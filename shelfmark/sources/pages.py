@@ -68,7 +68,7 @@ def decode(pages: DataFrame) -> DataFrame:
 DOM = "array<struct<nid: int, parent: int, last: int, depth: int, tag: string, attrs: map<string, string>, own_text: string, text: string, anc: array<int>, ctx6: string, ctx8: string>>"
 VALUE = "kind: string, s: string, num: double, decoded: string, label: string, child: int"
 OBJECTS = (
-    f"array<struct<b: int, carrier: string, n: int, last: int, path: string, depth: int, parent: int, parent_key: string, "
+    f"array<struct<b: int, carrier: string, n: int, last: int, path: string, depth: int, parent: int, parent_key: string, pruned: string, "
     f"kv: array<struct<k: string, {VALUE}, items: array<struct<{VALUE}>>>>>>"
 )
 STRINGS = "array<struct<b: int, path: string, s: string, ord: int>>"
