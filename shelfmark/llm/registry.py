@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import warc
+from shelfmark.llm import embed, warc
 from shelfmark.llm.digest import op2_digest
-from shelfmark.llm.embed import op8_embeddings
 from shelfmark.llm.html_main import op5_html_main
 from shelfmark.llm.mixing import op4_mixing
 from shelfmark.llm.packing import op6_packing
@@ -25,11 +24,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_main": op5_html_main,
     "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
-    "op8_embeddings": op8_embeddings,
+    "op8_embeddings": embed.op8_embeddings,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
+    "op8_embeddings": embed.ORACLE_SQL,
 }
