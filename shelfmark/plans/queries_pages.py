@@ -15,10 +15,18 @@ from shelfmark.plans.queries_text import query, read
 from shelfmark.plans.samples import sample_pages, sample_taxonomy
 from shelfmark.sources.catalog import entries
 from shelfmark.sources.pages import dom_nodes, json_nodes, parsed_pages
+from shelfmark.sources.stages import staged
+
+
+_SAMPLES: dict[str, DataFrame] = {}
 
 
 def sample_results(spark: SparkSession) -> DataFrame:
-    return extract(sample_pages(spark), sample_taxonomy(spark), source_col="source")
+    """The sample pages through the whole plan, once per application."""
+    key = spark.sparkContext.applicationId
+    if key not in _SAMPLES:
+        _SAMPLES[key] = staged(extract(sample_pages(spark), sample_taxonomy(spark), source_col="source"), "samples")
+    return _SAMPLES[key]
 
 
 @query(
@@ -123,7 +131,6 @@ def pdp_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bundle of evidence that a judgement made elsewhere would read."""
     from shelfmark.operators.evidence import bundle
     from shelfmark.plans.extract import facts
-    from shelfmark.sources.stages import staged
 
     parsed = staged(parsed_pages(sample_pages(spark).filter("page_id in (1, 5, 8)")), "parsed")
     text = F.col("evidence")
