@@ -1,9 +1,11 @@
 """Main text of web pages: page furniture by markup, site templates by recurring subtrees.
 
 One Python pass reads each page into blocks of text, each with the hashes of the block-level
-element subtrees that hold it.  Spark counts on how many pages of a host each subtree recurs;
-subtrees on at least ``least_pages`` pages and ``share`` of the host's pages are template, and
-blocks inside them go.  Passages that many articles of a site quote recur on far fewer pages.
+element subtrees that hold it.  Spark counts in how many different bodies (texts that markup
+alone leaves of a page) of a host each subtree recurs: a page met again under other addresses or
+with other furniture is the same body.  Subtrees in at least ``least_pages`` bodies and ``share``
+of the host's bodies are template, and blocks inside them go, except where such a subtree is all
+that a page holds.  Passages that many articles of a site quote recur on far fewer pages.
 """
 
 from __future__ import annotations
@@ -267,12 +269,18 @@ def _chain(elements: list[_Element], number: int, known: dict[int, list[int]]) -
     return have
 
 
+def _inner(blocks: list[tuple[str, list[int]]]) -> list[tuple[str, list[int]]]:
+    """The blocks without the subtrees that hold all of them: these are the page's article, not template."""
+    whole = set(blocks[0][1]).intersection(*(w for _, w in blocks[1:])) if blocks else set()
+    return [(t, [h for h in w if h not in whole]) for t, w in blocks]
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64()))]))
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
-            found = [[{"text": t, "within": w} for t, w in blocks_of(p.as_py())] for p in some.column(3)]
+            found = [[{"text": t, "within": w} for t, w in _inner(blocks_of(p.as_py()))] for p in some.column(3)]
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(found, kind)], names=["id", "url", "host", "blocks"])
 
 
@@ -284,15 +292,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``id``, ``url``, ``text``, ``n_chars`` per row of ``pages``.
 
     Null and empty pages, and pages without an article's text, give an empty text.  Repeated rows
-    are returned each and count as pages each.  Rows without a host form one site of their own, of
-    which nothing is taken for a template.
+    are returned each; rows of a host with the same body count once.  Rows without a host form one
+    site of their own, of which nothing is taken for a template.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), host_of(url).alias("host"), F.col(html_col).cast("string").alias("page"))
     parsed = materialise(rows.mapInArrow(_parse_batches, "id long, url string, host string, blocks array<struct<text: string, within: array<long>>>"), "html-blocks")
-    met = parsed.filter("host <> ''").select("host", F.explode(F.array_distinct(F.flatten(F.col("blocks.within")))).alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    bodies = parsed.filter("host <> ''").select("host", F.xxhash64(F.col("blocks.text")).alias("body"), "blocks")
+    subtrees = bodies.select("host", "body", F.explode(F.array_distinct(F.flatten(F.col("blocks.within")))).alias("subtree"))
+    met = subtrees.groupBy("host", "subtree").agg(F.count_distinct("body").alias("n"))
     # At most 1 / share times a page's subtrees can recur so often: the arrays are short.
-    sites = parsed.groupBy("host").agg(F.count("*").alias("pages"))
+    sites = bodies.groupBy("host").agg(F.count_distinct("body").alias("pages"))
     often = met.filter(F.col("n") >= least_pages).join(sites, "host").filter(F.col("n") >= share * F.col("pages"))
     templates = materialise(often.groupBy("host").agg(F.collect_list("subtree").alias("template")), "html-templates")
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["within"], F.col("template")), F.lit(False)))

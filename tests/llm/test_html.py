@@ -48,6 +48,27 @@ def test_few_pages_and_other_hosts_keep_theirs(spark):
     assert all("building" in r.text for r in rows)
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    article = "<article><h1>Title</h1><p>The one story.</p></article>"
+    same = [(i, f"https://a.example/{i}", f"<body>{article}</body>", "x", 1, "h") for i in range(6)]
+    chrome = [(10 + i, f"https://b.example/{i}", f"<body><nav>menu {i}</nav><article id=n{i}><h1>Title</h1><p>The one story.</p></article></body>", "x", 1, "h") for i in range(6)]
+    rows = H.main_text(spark.createDataFrame(same + chrome, SCHEMA)).collect()
+    assert len(rows) == 12 and all(r.text == "Title\nThe one story." for r in rows)
+
+
+def test_a_page_that_is_quoted_whole_keeps_its_text(spark):
+    story = "<div><p>The one story.</p></div>"
+    quoting = [(i, f"https://a.example/{i}", f"<body>{story}<p>Answer number {i}</p></body>", "x", 1, "h") for i in range(8)]
+    rows = {r.id: r.text for r in H.main_text(spark.createDataFrame([*quoting, (9, "https://a.example/9", f"<body>{story}</body>", "x", 1, "h")], SCHEMA)).collect()}
+    assert rows[9] == "The one story." and rows[0] == "Answer number 0"
+
+
+def test_templates_go_also_where_pages_have_copies(spark):
+    pages = [(i, f"https://a.example/{i}/{c}", r[2], "x", 1, "h") for i, r in enumerate(_site(12)) for c in range(3)]
+    rows = H.main_text(spark.createDataFrame(pages, SCHEMA)).collect()
+    assert len(rows) == 36 and all("building" not in r.text and f"Story number {r.id} begins." in r.text for r in rows)
+
+
 def test_nulls_repeats_long_and_empty_tables(spark):
     long = "<article><p>" + "w " * 200_000 + "</p></article>"
     pages = spark.createDataFrame([(1, None, "<p>no url</p>", "x", 1, "h"), (2, "u", None, "x", 1, "h"), (3, "http://h/", long, "x", 1, "h"), (4, "http://h/", "<p>t</p>", "x", 1, "h"), (4, "http://h/", "<p>t</p>", "x", 1, "h"), (None, "http://h/", "", "x", 1, "h")], SCHEMA)
