@@ -14,6 +14,8 @@ its smoothed share of blocked pages among the labelled is high and enough of its
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,6 @@ from shelfmark.llm.common import materialise, table
 #: Verdict and rule, as given for the query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Segments beyond this depth are one tail, ``**``.
-MAX_DEPTH = 8
 #: A node has variable segments from so many different children on, if that is this share of its paths.
 VARIABLE_FROM, VARIABLE_SHARE = 8, 0.05
 #: A child with this share of its node's pages keeps its name.
@@ -64,15 +64,18 @@ def _differ(a: F.Column, n: F.Column, b: F.Column, m: F.Column) -> F.Column:
 def templates(paths: DataFrame) -> DataFrame:
     """``host``, ``path``, ``template`` for distinct ``host``, ``path`` with ``n``, ``allowed``, ``blocked``.
 
-    A path without segments has the template ``/``.
+    A path without segments has the template ``/``.  Every segment is judged, however deep; a path
+    alone in its node takes the rest of its segments as they are, as level by level it would.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    tree = materialise(paths.withColumn("parts", parts).withColumn("template", F.lit("")), "url-tree")
-    deepest = tree.agg(F.max(F.size("parts"))).first()[0] or 0
-    for depth in range(min(deepest, MAX_DEPTH)):
-        here = F.size("parts") > depth
-        at = tree.filter(here).withColumn("segment", F.element_at("parts", depth + 1))
-        ends = F.when(F.size("parts") == depth + 1, F.col("n")).otherwise(0)
+    start = paths.select("host", "path", "n", "allowed", "blocked", parts.alias("left"), F.lit("").alias("template"))
+    tree = materialise(start, "url-tree")
+    more = F.size("left") > 0
+    done = [tree.filter(~more).withColumn("template", F.lit("/"))]
+    at = tree.filter(more)
+    while not at.isEmpty():
+        at = at.withColumn("segment", F.element_at("left", 1))
+        ends = F.when(F.size("left") == 1, F.col("n")).otherwise(0)
         child = at.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.sum(ends).alias("e"), F.count("*").alias("p"))
         sums = [F.sum(c).alias(f"all_{c}") for c in ("n", "a", "b", "e", "p")]
         node = child.groupBy("host", "template").agg(F.count("*").alias("k"), *sums)
@@ -80,11 +83,15 @@ def templates(paths: DataFrame) -> DataFrame:
         variable = (F.col("k") >= VARIABLE_FROM) & (F.col("k") >= VARIABLE_SHARE * F.col("all_p")) & (F.col("n") < FREQUENT * F.col("all_n"))
         other = {c: F.col(f"all_{c}") - F.col(c) for c in ("n", "a", "b", "e")}
         same = (other["n"] > 0) & ~_differ(F.col("b"), F.col("a") + F.col("b"), other["b"], other["a"] + other["b"]) & ~_differ(F.col("e"), F.col("n"), other["e"], other["n"])
-        named = known.select("host", "template", "segment", F.when(variable, "*").when(same, "+").otherwise(F.col("segment")).alias("name"))
-        moved = at.join(named, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), "name"))
-        tree = materialise(moved.select(*tree.columns).unionByName(tree.filter(~here)), "url-tree")
-    tail = F.when(F.size("parts") > MAX_DEPTH, "/**").otherwise(F.when(F.size("parts") == 0, "/").otherwise(""))
-    return tree.select("host", "path", F.concat("template", tail).alias("template"), "n", "allowed", "blocked")
+        name = F.when(variable, "*").when(same, "+").otherwise(F.col("segment"))
+        named = known.select("host", "template", "segment", name.alias("name"), (F.col("all_p") == 1).alias("alone"))
+        template = F.concat("template", F.lit("/"), F.when(F.col("alone"), F.array_join("left", "/")).otherwise(F.col("name")))
+        left = F.when(F.col("alone"), F.slice("left", 1, 0)).otherwise(F.expr("slice(left, 2, size(left))"))
+        moved = at.join(named, ["host", "template", "segment"]).select("host", "path", "n", "allowed", "blocked", left.alias("left"), template.alias("template"))
+        tree = materialise(moved, "url-tree")
+        done.append(tree.filter(~more))
+        at = tree.filter(more)
+    return reduce(DataFrame.unionByName, done).select("host", "path", "template", "n", "allowed", "blocked")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

@@ -52,6 +52,23 @@ def test_templates_of_blocked_pages_are_rejected_and_others_not(spark):
     assert got[200].verdict == "allow" and got[1].verdict == "block"
 
 
+def test_segments_below_the_eighth_are_judged(spark):
+    # Below eight equal segments one branch is blocked by rule; the other is allowed by rule in part.
+    top = "h.example/1/2/3/4/5/6/7/8"
+    rules = (("block", f"{top}/bad/"), ("allow", f"{top}/good/1"))
+    rows = [(i, f"http://{top}/bad/{i}", "h", "x", 1) for i in range(100, 160)] + [(i, f"http://{top}/good/{i}", "h", "x", 1) for i in (*range(10, 20), *range(20, 30))]
+    got = {r.id: r for r in U.judge(spark.createDataFrame(rows, SCHEMA), rules=rules).collect()}
+    assert len(got) == 80 and all(got[i].verdict == "block" for i in range(100, 160))
+    assert got[25].rule is None and got[25].verdict == "allow" and got[25].template == "/1/2/3/4/5/6/7/8/good/*"
+
+
+def test_a_deep_path_alone_keeps_all_its_segments(spark):
+    deep = "/".join(map(str, range(3000)))
+    rows = [(1, f"http://h/{deep}", "h", "x", 1), (2, "http://h/", "h", "x", 1), (3, "http://g/a/b/c/d/e/f/g/h/i//j", "h", "x", 1)]
+    got = {r.id: r.template for r in U.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[2] == "/" and got[1] == f"/{deep}" and got[3] == "/a/b/c/d/e/f/g/h/i/j"
+
+
 def test_branches_of_another_shape_stay_apart(spark):
     rows = [(i, f"http://h.example.com/en/7{i}", "h", "x", 1) for i in range(40)] + [(100 + i, f"http://h.example.com/en/8{i}", "h", "x", 1) for i in range(40)] + [(300 + i, f"http://b.net/de/{i}", "h", "x", 1) for i in range(30)] + [(400 + i, "http://b.net/xx", "h", "x", 1) for i in range(30)]
     got = {r.id: r.template for r in U.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
