@@ -140,6 +140,13 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(dirty)).alias("cleaned"))
 
 
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace('<b class=x>' || text || '</b> &amp; more','<[^>]+>',' ','g'),'&quot;','"'),'&lt;','<'),'&gt;','>'),'&copy;','©'),'&middot;','·'),'&amp;','&'),'[\s]+',' ','g'))) AS cleaned FROM documents""")
+def clean_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents cleaned; ``clean_text`` reads their first 300 characters only."""
+    dirty = F.concat(F.lit("<b class=x>"), F.col("text"), F.lit("</b> &amp; more"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(dirty)).alias("cleaned"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 7 < 6 THEN NULL ELSE p_name END AS kept FROM part")
 def sentinel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.array(*[F.lit(v) for v in ("n/a", " TBD ", "--- --", "Loading...", "please wait", "…")])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import os
 
 import duckdb
@@ -43,3 +44,22 @@ def test_flagship(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _both(spark, name, folder, table):
+    got = entry.queries()[name](spark, str(folder)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).df()
+    assert _rows(got.astype(object).where(got.notna(), None)) == _rows(want.astype(object).where(want.notna(), None))
+    return got
+
+
+def test_whole_texts_are_cleaned(spark, tmp_path):
+    head = "word " * 80
+    ends = ["<i>a</i> &quot;b&quot;", "<i>a</i>  &lt;c&gt;\n &copy;&middot;", "d", "e"]
+    spark.createDataFrame([*[(i, head + t) for i, t in enumerate(ends)], (9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = _both(spark, "clean_text_whole", tmp_path, "documents").set_index("doc_id").cleaned
+    assert got[got.notna()].nunique() == 4 and len(got) == 5  # the texts differ from character 400 on only
+    plain = [f'{head}a "b"', f"{head}a <c> ©·", f"{head}d", f"{head}e"]
+    assert [got[i] for i in range(4)] == [hashlib.md5(" ".join(f"{t} & more".split()).encode()).hexdigest() for t in plain]
