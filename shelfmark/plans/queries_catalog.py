@@ -206,13 +206,28 @@ _CHOICES = "SELECT l_suppkey AS page_id, 'a' || l_linenumber AS axis, l_linenumb
 )
 def sku_set_relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles that have a choice on every axis of their page; others are no variants."""
-    items = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    return _divided(read(spark, sf_dir, "lineitem").filter("l_linenumber <= 2"))
+
+
+def _divided(items: DataFrame) -> DataFrame:
     rows = items.select(F.col("l_suppkey").alias("page_id"), F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("axis"), F.col("l_linenumber").alias("axis_ord"), F.col("l_returnflag").alias("choice"), F.ascii("l_returnflag").alias("choice_ord"), F.concat(F.lit("s"), (F.col("l_partkey") % 8).cast("string")).alias("sku"))
     definitions = rows.groupBy("page_id", "axis_ord", "axis", "choice_ord", "choice").agg(F.collect_set("sku").alias("skus"))
     found = variants.sku_join(definitions)
     return found.select("page_id", "sku", F.array_join(F.array_sort(F.transform("options", lambda o: F.concat(o["axis"], F.lit("="), o["value"]))), ",").alias("options"))
 
 
+_ALL_CHOICES = _CHOICES.removesuffix(" WHERE l_linenumber <= 2")
+
+
+@query(
+    f"""WITH c AS ({_ALL_CHOICES}), n AS (SELECT page_id, count(DISTINCT axis) AS n_axes FROM c GROUP BY page_id), s AS (SELECT page_id, sku, axis, arg_max(choice, choice_ord) AS value FROM c GROUP BY page_id, sku, axis)
+    SELECT page_id, sku, string_agg(axis || '=' || value, ',' ORDER BY axis) AS options FROM s JOIN n USING (page_id) GROUP BY page_id, sku, n_axes HAVING count(*) = n_axes"""
+)
+def sku_set_all_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over every line item; ``sku_set_relational_division`` has the first two axes only."""
+    return _divided(read(spark, sf_dir, "lineitem"))
+
+
 @query(
     """WITH obs AS (SELECT DISTINCT p_size, p_type, p_brand FROM part), t AS (SELECT DISTINCT p_size, p_type FROM part), b AS (SELECT DISTINCT p_size, p_brand FROM part)
     SELECT t.p_size, count(*) AS unobserved FROM t JOIN b USING (p_size) WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.p_size = t.p_size AND o.p_type = t.p_type AND o.p_brand = b.p_brand) GROUP BY t.p_size"""

@@ -63,3 +63,11 @@ def test_whole_texts_are_cleaned(spark, tmp_path):
     assert got[got.notna()].nunique() == 4 and len(got) == 5  # the texts differ from character 400 on only
     plain = [f'{head}a "b"', f"{head}a <c> ©·", f"{head}d", f"{head}e"]
     assert [got[i] for i in range(4)] == [hashlib.md5(" ".join(f"{t} & more".split()).encode()).hexdigest() for t in plain]
+
+
+def test_articles_are_divided_by_every_axis(spark, tmp_path):
+    # Page 1 has three axes; article s1 has a choice on all, s2 lacks the third one.
+    rows = [(1, n, 1, "A") for n in (1, 2, 3)] + [(1, n, 2, "R") for n in (1, 2)] + [(2, 7, 3, "N")]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = _both(spark, "sku_set_all_axes", tmp_path, "lineitem")
+    assert sorted(zip(got.page_id, got.sku, got.options, strict=True)) == [(1, "s1", "a1=A,a2=A,a3=A"), (2, "s3", "a7=N")]
