@@ -64,3 +64,10 @@ def test_names_and_empty_tables(spark):
     assert store.commit("none", R.inserted(empty)) and store.totals().count() == 0
     with pytest.raises(ValueError):
         store.commit("../x", R.inserted(empty))
+
+
+def test_documents_without_a_token_are_counted(spark, tmp_path):
+    rows = [(1, "two words", "a", "en"), (2, None, "a", "en"), (3, "", "a", "en"), (4, " \n ", "a", "en"), (5, "", "b", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_chars) for r in R.op9_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {(s, lang, t): n for t in ("words-1", "byte-bpe-50k") for (s, lang), n in {("a", "en"): (4, 12), ("b", "de"): (1, 0)}.items()}
