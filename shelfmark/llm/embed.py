@@ -1,7 +1,7 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
 Unit vectors are rotated at random several times and reduced to sign bits.  With ``o`` the unit
-vector, ``s`` its sign vector scaled to unit length and ``c = <s, o>`` stored beside the code,
+vector, ``s`` its sign vector scaled to unit length and ``c = <s, o>`` (both made anew in every block pair),
 ``<s, q> / c`` is an unbiased estimate of ``<o, q>`` over rotations, with the error bound
 
     |estimate - <o, q>|  <=  sqrt(1 - <o, q>^2) * sqrt(1 - c^2) / c
