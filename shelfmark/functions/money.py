@@ -69,11 +69,13 @@ def currency_of(text: Column) -> Column:
 def money_mentions(text: Column) -> Column:
     """All amounts with a currency mark in a text: array of ``amount``, ``currency`` in order."""
 
+    def coded(mark: Column) -> Column:
+        return let(F.upper(F.rtrim(strip(mark), F.lit("."))), lambda t: F.coalesce(symbol_currency(t), F.when(F.length(t) == 3, t)))
+
     def read(found: Column) -> Column:
-        mark = F.regexp_extract(found, rf"\A{P.CURRENCY}|{P.CURRENCY}\z", 0)
-        number = F.regexp_replace(found, rf"\A{P.CURRENCY}{_GAP}|{_GAP}{P.CURRENCY}\z", "")
-        code = let(F.upper(F.regexp_replace(strip(mark), r"\.+$", "")), lambda t: F.coalesce(symbol_currency(t), F.when(F.length(t) == 3, t)))
-        return F.struct(amount_of(number).alias("amount"), code.alias("currency"))
+        # Marks hold no digits and numbers begin and end with one, so that the parts need no second search for marks.
+        number = F.regexp_extract(found, "[0-9](?:.*[0-9])?", 0)
+        return let(number, lambda n: F.struct(amount_of(n).alias("amount"), coded(F.replace(found, n, F.lit(""))).alias("currency")))
 
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({MONEY})"), F.lit(1)), read), lambda m: m["amount"].isNotNull())
 

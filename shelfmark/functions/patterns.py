@@ -77,6 +77,12 @@ CONTAINERS = (
     "sources", "source", "properties", "renditions", "sizes", "formats", "variants", "images", "urls", "url", "src", "srcset", "thumbnail",
     "crops", "versions", *CROPS,
 )
+RENDITION_SUFFIX = (
+    r"(?i)[-_](?:thumb|thumbnail|mini|micro|small|medium|large|xlarge|full|max|square|standard|preview|zoom|orig|original|retina|"
+    r"\d{2,4}x\d{1,4})(?=\.\w{2,5}$)"
+)
+RENDITION_WORD = r"(?:Small|Medium|Large|XLarge|XSmall)\d*(?:Retina)?(?=\.\w{2,5}$|$)"
+ASSET_UUID = r"/([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})/([^/]+)$"
 IMAGE_ATTRIBUTES = ("srcset", "data-srcset", "src", "data-src", "data-original", "data-zoom-image")
 IDENTITY_KEYS = ("sku", "mpn", "productID", "productGroupID", "itemId", "styleCode", "id")
 

@@ -65,20 +65,14 @@ def dimensions(url: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(found, lambda x: x.cast("int"))), F.lit(0))
 
 
-_UUID = r"/([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})/([^/]+)$"
-
-
 def identity_key(url: Column) -> Column:
     """One key for all renditions of an image."""
     return let(F.split_part(url, F.lit("?"), F.lit(1)), _key_of_path)
 
 
 def _key_of_path(path: Column) -> Column:
-    sized = F.regexp_replace(
-        path, r"(?i)[-_](?:thumb|thumbnail|mini|micro|small|medium|large|xlarge|full|max|square|standard|preview|zoom|orig|original|retina|\d{2,4}x\d{1,4})(?=\.\w{2,5}$)", ""
-    )
-    plain = F.regexp_replace(sized, r"(?:Small|Medium|Large|XLarge|XSmall)\d*(?:Retina)?(?=\.\w{2,5}$|$)", "")
-    return F.when(path.rlike(_UUID), F.concat_ws("/", F.regexp_extract(path, _UUID, 1), F.regexp_extract(path, _UUID, 2))).otherwise(plain)
+    plain = F.regexp_replace(F.regexp_replace(path, P.RENDITION_SUFFIX, ""), P.RENDITION_WORD, "")
+    return F.when(path.rlike(P.ASSET_UUID), F.concat_ws("/", F.regexp_extract(path, P.ASSET_UUID, 1), F.regexp_extract(path, P.ASSET_UUID, 2))).otherwise(plain)
 
 
 def identity_tokens(url: Column) -> Column:
@@ -97,28 +91,15 @@ def path_tokens(path: Column) -> Column:
     return F.regexp_extract_all(path, F.lit(r"([^.\[\]]+|\[\d+\])"), F.lit(1))
 
 
+_RENDITION_END = r"(?i)(?:(?:^|\.|(?<=\]))(?:" + "|".join((*P.LADDER, *P.CONTAINERS)) + r")(?:\[\d+\])?)+$"
+
+
 def asset_boundary(path: Column) -> Column:
     """The list element that is one asset, without what only names its renditions; null without one.
 
-    Trailing rendition words go, and so do indices right after such a word.  How many tokens go is
-    found by position: the last token that is neither.
+    Trailing rendition words go, and so does an index right after such a word.
     """
-    words = (*P.LADDER, *P.CONTAINERS)
-
-    def boundary(tokens: Column) -> Column:
-        def stays(i: Column) -> Column:
-            token = F.element_at(tokens, i)
-            before = F.when(i > 1, F.element_at(tokens, F.greatest(i - 1, F.lit(1))))
-            return F.when(token.startswith("["), ~F.coalesce(_in(before, words), F.lit(False))).otherwise(~_in(token, words))
-
-        def joined(end: Column) -> Column:
-            text = F.regexp_replace(F.regexp_replace(F.array_join(F.slice(tokens, 1, end), "."), r"\.\[", "["), r"^\.", "")
-            return F.when((end > 0) & F.element_at(tokens, F.greatest(end, F.lit(1))).startswith("["), text)
-
-        where = F.when(F.size(tokens) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), stays))
-        return let(F.coalesce(F.array_max(where), F.lit(0)), joined)
-
-    return let(path_tokens(path), boundary)
+    return let(F.regexp_replace(path, _RENDITION_END, ""), lambda p: F.when(p.rlike(r"\[\d+\]$"), p))
 
 
 def container_of(path: Column) -> Column:

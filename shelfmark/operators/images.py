@@ -54,12 +54,12 @@ def candidates(dom: DataFrame, nodes: DataFrame, strings: DataFrame, ids: DataFr
     parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), D.attribute(a).alias("raw")) for i, a in enumerate(P.IMAGE_ATTRIBUTES)])
     raw = tags.select("page_id", "nid", F.inline(parts)).filter("raw is not null").select("page_id", "nid", "i", "a", F.posexplode(F.split("raw", ",")).alias("p", "part"))
     one = raw.withColumn("part", F.regexp_extract(strip(F.col("part")), rf"\A[^{P.WS}]+", 0)).filter("part <> ''")
-    marked = one.select("page_id", F.concat(F.lit("markup."), "a").alias("path"), "part", F.struct(F.lit(0).alias("s"), F.col("nid").alias("a"), F.col("i").alias("b"), F.col("p").alias("c")).alias("ord"))
+    marked = one.select("page_id", F.concat(F.lit("markup."), "a").alias("path"), "part", F.struct(F.lit(0).alias("s"), F.col("nid").alias("a"), F.col("i").alias("b"), F.col("p").alias("c"), F.lit(0).alias("d")).alias("ord"))
     metas = D.metas(dom, "image", "image:secure_url")
     og = metas.select("page_id", F.posexplode(F.array("meta_image", "meta_image_secure_url")).alias("i", "part")).filter("part is not null")
-    og = og.select("page_id", F.lit("markup.og").alias("path"), "part", F.struct(F.lit(1).alias("s"), F.col("i").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("ord"))
+    og = og.select("page_id", F.lit("markup.og").alias("path"), "part", F.struct(F.lit(1).alias("s"), F.col("i").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d")).alias("ord"))
     js = json_image_strings(nodes, strings).select("page_id", "path", F.posexplode(U.split_srcset(F.col("s"))).alias("p", "part"), "ord").filter(U.is_image_url(F.col("part")))
-    js = js.select("page_id", "path", "part", F.struct(F.lit(2).alias("s"), (F.col("ord.b") * 100_000_000 + F.col("ord.n")).cast("int").alias("a"), F.col("ord.i").alias("b"), F.col("p").alias("c")).alias("ord"))
+    js = js.select("page_id", "path", "part", F.struct(F.lit(2).alias("s"), F.col("ord.b").alias("a"), F.col("ord.n").alias("b"), F.col("ord.i").alias("c"), F.col("p").alias("d")).alias("ord"))
     every = marked.unionByName(og).unionByName(js).join(ids.select("page_id", "base"), "page_id")
     url = U.absolute(unescape_common(F.col("part")), F.coalesce("base", F.lit("")))
     found = every.select("page_id", "path", url.alias("url"), F.col("path").startswith("markup").alias("markup"), "ord").filter(U.is_image_url(F.col("url")))

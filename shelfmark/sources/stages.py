@@ -1,16 +1,23 @@
-"""Cutting long plans into stages."""
+"""Cutting long plans into stages: tables in the shared folder, and the package at the workers."""
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+#: Paths of tables not yet removed, innermost scope last.  The first list belongs to no scope.
+_SCOPES: list[list[str]] = [[]]
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,21 +30,77 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no run has used; removed with the scope that is open now."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCOPES[-1].append(path)
+    return path
+
+
+def write_stage(df: DataFrame, label: str) -> str:
+    """Write ``df`` under a new path and return that."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, and its plan forgotten.
 
     A Python step then runs once however many readers it has, and a lost executor costs no more than
     its part of the stage at hand.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, label))
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete stage tables that nothing will read any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for scope in _SCOPES:
+            if path in scope:
+                scope.remove(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Stage tables made inside are removed at the end, also after an error.
+
+    Results are computed when they are read: write or collect them inside.
+    """
+    _SCOPES.append(own := [])
+    try:
+        yield
+    finally:
+        remove(spark, *list(own))
+        _SCOPES.remove(own)
+
+
+@atexit.register
+def _remove_rest() -> None:
+    """What no scope removed goes with the interpreter, if the session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
+        remove(spark, *[p for scope in list(_SCOPES) for p in list(scope)])
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package although only the driver was started beside it."""
-    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "")
-    if root not in known.split(":"):
-        environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+    """Let Python workers import this package although only the driver has it: as an archive, once a session's context."""
+    root = Path(__file__).resolve().parents[1]
+    files = sorted(p for p in root.rglob("*.py"))
+    digest = hashlib.sha256()
+    for p in files:
+        digest.update(f"{p.relative_to(root)}\n".encode() + p.read_bytes())
+    key = (spark.sparkContext.applicationId, digest.hexdigest())
+    if key in _SHIPPED:
+        return
+    # Spark's own file server hands the archive out; no worker reads this folder.
+    folder = tempfile.mkdtemp(prefix="shelfmark-archive-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{root.name}-{digest.hexdigest()[:16]}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in files:
+            out.write(p, f"{root.name}/{p.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(key)
