@@ -1,59 +1,15 @@
-"""Plumbing shared by the corpus operators: scratch tables, null-safe readers, worker imports."""
+"""Plumbing shared by the corpus operators: scratch tables, readers, worker imports."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a temporary folder is made, and removed
-    again when the interpreter ends.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="shelfmark-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return f"file://{_OWN[0]}"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    This cuts the lineage: whatever is built on the result survives the loss of any executor
-    without recomputing what came before, and a Python stage runs once however many consumers it
-    has.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package although only the driver was started beside it."""
-    root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "")
-    if root not in known.split(":"):
-        environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+from shelfmark.sources.stages import new_path as scratch_path
+from shelfmark.sources.stages import remove, scratch_scope, ship_package, write_stage
+from shelfmark.sources.stages import staged as materialise
 
+__all__ = ["bound_batches", "free_name", "materialise", "prepare", "remove", "scratch_path", "scratch_scope", "ship_package", "table", "words_in", "write_stage"]
 
 ARROW_DEFAULT, ARROW_BYTES = str(64 << 20), str(16 << 20)
 
@@ -68,9 +24,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_BYTES)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """What every operator with a Python step needs before it: the package at the workers, bounded batches."""
     ship_package(spark)
     bound_batches(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

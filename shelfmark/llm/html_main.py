@@ -1,11 +1,28 @@
 """Main text of web pages: page furniture by markup, site templates by recurring subtrees.
 
-One Python pass reads each page into blocks of text, each with the hashes of the block-level
-element subtrees that hold it.  Spark counts in how many different bodies (texts that markup
-alone leaves of a page) of a host each subtree recurs: a page met again under other addresses or
-with other furniture is the same body.  Subtrees in at least ``least_pages`` bodies and ``share``
-of the host's bodies are template, and blocks inside them go, except where such a subtree is all
-that a page holds.  Passages that many articles of a site quote recur on far fewer pages.
+One Python pass reads each page into blocks of text, each with hashes of the element subtrees that
+hold it, and Spark counts in how many different bodies (texts that markup alone leaves of a page) of
+a host each subtree recurs: a page met again under other addresses or with other furniture is the
+same body.  Subtrees in at least ``least_pages`` bodies and ``share`` of the host's bodies are
+template, and blocks inside them go.  There are two hashes:
+
+* of the *text* of a subtree (tags and text, no attributes, so that marked menu entries and nonces
+  do not hide a recurrence); text that stands loose between block elements has one of its own.
+  Inside an element that the page declares its article only subtrees with a furniture word in
+  their class, or mostly of links, can go by it: passages that articles quote stay;
+* of the *shape* of a subtree (tags, class names and ids without digits, runs of equal children as
+  one, no text): menus, adverts and footers recur in shape even where each page words them
+  differently.  Only whole branches beside the content have one, the content being the smallest
+  element with most of the page's unlinked words and its heading; and a shape that holds more than
+  ``MOST_WORDS`` of a host's words is no furniture.
+
+If text hashes would leave less than ``LEAST_LEFT`` of the words of a page, the page is what recurs,
+not its furniture, and they take nothing from it.
+
+Markup is a prior for what recurs too rarely to be counted (new hosts, single adverts).  Element
+names decide, and class names and ids if all their words are furniture words or say nothing
+(``cookie-banner``, ``site-footer``); a furniture word among others (``recipe-notice``) does not,
+unless the element is mostly links.
 """
 
 from __future__ import annotations
@@ -19,11 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, table
+from shelfmark.llm.common import materialise, prepare, table
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
+#: A whole tag; quotes count after ``=`` only.  No match: the page ends inside a tag.
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+|\d+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -36,6 +57,8 @@ DROPPED = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea input iframe svg math canvas object embed video audio map menu dialog "
     "noembed noframes datalist fieldset label".split()
 )
+#: Never shown, or controls without a text of their own.
+UNSHOWN = frozenset("script style noscript template head title textarea iframe svg math canvas object embed video audio map noembed noframes datalist select option input".split())
 #: Elements whose start ends an open paragraph.
 ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "caption", "tbody", "tfoot", "thead", "tr"}
 #: Start tags that end an open element of these names, up to the nearest of the third entry.
@@ -64,68 +87,91 @@ FURNITURE = frozenset(
 HEADERS = frozenset("header masthead topbar".split())
 #: Furniture even where it holds an article of its own.
 ASIDES = frozenset("comment comments commentlist disqus respond reply replies discussion guestbook related recommended recommendations recirculation trending teaser teasers sidebar".split())
+#: Words of class names that say neither furniture nor content.
+NEUTRAL = frozenset(
+    "site page main global top bottom left right upper lower box block bar list item items wrapper wrap container inner outer section area link links icon icons "
+    "panel module unit slot holder group row col column primary secondary mobile desktop fixed sticky js btn button buttons the and by view large small wide".split()
+)
+#: Names with these words speak of furniture that is elsewhere or absent.
+ABSENT = frozenset("with without has no free".split())
+#: Elements in which loose text stands between block elements.
+LOOSE = frozenset(("", "html", "body", "div", "section", "article", "main", "td", "li", "blockquote"))
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
+LEAST_LEFT = 0.2
+MOST_WORDS = 0.25
 
 
 class _Element:
-    __slots__ = ("tag", "number", "parent", "dropped", "head", "keeps", "article", "digest", "soft", "side")
+    __slots__ = ("tag", "number", "parent", "dropped", "head", "keeps", "article", "digest", "shape", "last", "soft", "side", "weak", "block", "linked", "words", "links")
 
-    def __init__(self, tag: str, number: int, parent: int, attrs: str) -> None:
-        self.tag, self.number, self.parent = tag, number, parent
-        self.dropped = self.soft = self.side = self.head = self.keeps = False
+    def __init__(self, tag: str, number: int, parent: _Element | None) -> None:
+        self.tag, self.number, self.parent = tag, number, parent.number if parent else -1
+        self.dropped = self.soft = self.side = self.head = self.keeps = self.weak = False
         self.article = tag == "article" or tag == "main"
-        self.digest = xxhash.xxh3_64(f"<{tag} {attrs}>")
+        self.digest, self.shape, self.last = xxhash.xxh3_64(tag), xxhash.xxh3_64(tag), b""
+        self.block = number if parent is None or tag in BLOCK else parent.block
+        self.linked = tag == "a" or bool(parent and parent.linked)
+        self.words = self.links = 0
+
+    def holds(self, what: bytes) -> None:
+        """Note a child's shape, runs of equal ones once."""
+        if what != self.last:
+            self.shape.update(what)
+            self.last = what
 
 
 def _judge(e: _Element, attrs: str) -> None:
-    """Whether markup alone says that an element is furniture."""
+    """What markup alone says of an element: ``dropped`` and ``soft`` furniture, ``weak`` hints, site ``head``."""
     e.dropped = e.tag in DROPPED
     e.head = e.tag == "header"
-    if not attrs or e.dropped:
+    if not attrs:
         return
-    names: set[str] = set()
+    shape = []
     for name, *values in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), next((v for v in values if v), "").lower()
+        name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
-            names.update(WORDS.findall(html.unescape(value)))
-            if name == "role" and value == "main":
+            value = html.unescape(value)
+            shape.append(f"{name}={DIGITS.sub('', value)}")
+            if name == "role" and value.lower() == "main":
                 e.article = True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            for one in HUMP.sub("-", value).lower().split():
+                words = set(WORDS.findall(one))
+                if words & ABSENT:
+                    continue
+                rest = any(len(w) > 1 and not w.isdigit() and w not in FURNITURE and w not in NEUTRAL and w not in HEADERS for w in words)
+                e.head |= bool(words & HEADERS) and not rest
+                if words & FURNITURE and e.tag not in ("html", "body", "main"):
+                    e.weak |= rest
+                    # An article is one whatever else its class says, but for readers' comments and teasers.
+                    e.soft |= not rest and (not e.article or bool(words & ASIDES))
+                    e.side |= not rest and bool(words & ASIDES)
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower())):
             e.dropped = True
-    if names & HEADERS:
-        e.head = True
-    if e.tag not in ("html", "body", "main") and names & FURNITURE and not names & {"with", "without", "has", "no"}:
-        e.soft = True
-        e.side = bool(names & ASIDES)
+    e.shape.update(" ".join(shape).encode("utf-8", "surrogatepass"))
 
 
-def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
-    """Text blocks of the page's article, in order, each with the hashes of its block-level subtrees.
+def _read(page: str) -> tuple[list[_Element], list[list[tuple[int, str]]]]:
+    """Elements in document order, and runs of text between block tags as pieces with the element that holds each.
 
-    If the page has ``article`` elements (or else ``main``) outside its furniture, what stands
-    outside them is left out, and nested ones marked as comments go like all furniture.  A
-    ``header``, and an element with a furniture word in its class or id, is kept where it holds the
-    page's heading or article (comments and the like: only the heading); the site's header is not
-    kept for a first heading if the page has another one outside.  Unclosed, misnested and broken-off markup is read as browsers do in
-    the common cases; a tag that the end of the page cuts off is left out.
+    Unclosed, misnested and broken-off markup is read as browsers do in the common cases; a tag that
+    the end of the page cuts off is left out with what it would hold.
     """
-    if not page:
-        return []
-    elements: list[_Element] = [_Element("", 0, -1, "")]
+    elements = [_Element("", 0, None)]
     stack = [0]
-    blocks: list[tuple[list[str], int]] = []
-    piece: list[str] = []
-    at, size = 0, len(page)
+    runs: list[list[tuple[int, str]]] = []
+    run: list[tuple[int, str]] = []
 
     def flush() -> None:
-        nonlocal piece
-        if piece:
-            blocks.append((piece, stack[-1]))
-            piece = []
+        nonlocal run
+        if run:
+            runs.append(run)
+            run = []
 
     def pop() -> None:
         e = elements[stack[-1]]
         if e.tag in BLOCK:
             flush()
+            elements[elements[e.parent].block].holds(e.shape.digest())
         stack.pop()
         elements[stack[-1]].digest.update(e.digest.digest())
 
@@ -143,24 +189,49 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
     def text(data: str) -> None:
         if "&" in data:
             data = html.unescape(data)
-        piece.append(data)
-        elements[stack[-1]].digest.update(" ".join(data.split()))
+        holder = elements[stack[-1]]
+        run.append((holder.number, data))
+        if words := data.split():
+            holder.digest.update(" ".join(words).encode("utf-8", "surrogatepass"))
+            elements[holder.block].holds(b"@" if holder.linked else b"#")
+            holder.words += len(words)
+            holder.links += len(words) * holder.linked
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    at, size = 0, len(page)
+    while at < size:
+        start = page.find("<", at)
+        if start < 0 or start == size - 1:
+            text(page[at:])
+            break
+        after = page[start + 1]
+        if after == "!" or after == "?" or (after == "/" and not page[start + 2 : start + 3].isalpha()):
+            if start > at:
+                text(page[at:start])
+            if page.startswith("<!--", start):
+                quick = page.startswith((">", "->"), start + 4)
+                end = None if quick else COMMENT_END.search(page, start + 4)
+                at = page.index(">", start) + 1 if quick else end.end() if end else size
+            else:
+                end_at = page.find(">", start)
+                at = end_at + 1 if end_at >= 0 else size
             continue
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m.group(1)
-        if tag is None:
+        if not (after == "/" or (after.isascii() and after.isalpha())):
+            text(page[at : start + 1])
+            at = start + 1
             continue
-        tag = tag.lower()
-        if m.group(0)[-1] != ">" and m.end() == size:
-            break  # a tag cut off by the end of the page
-        if m.group(0)[1] == "/":
+        if start > at:
+            text(page[at:start])
+        m = TAG.match(page, start)
+        if m is None:
+            if after == "/" and not page[start + 2].isascii():  # no tag name
+                at = page.find(">", start) + 1 or size
+                continue
+            break
+        at = m.end()
+        tag = m[1].lower()
+        if after == "/":
             if tag == "br":
-                piece.append(" ")
+                run.append((stack[-1], " "))
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if elements[stack[depth]].tag == tag:
@@ -171,7 +242,7 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
                 if (tag not in BLOCK and elements[stack[depth]].tag in BLOCK) or (elements[stack[depth]].tag in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot")):
                     break
             if tag in SPACED:
-                piece.append(" ")
+                run.append((stack[-1], " "))
             continue
         if tag in ENDS_P:
             for depth in range(len(stack) - 1, 0, -1):
@@ -186,31 +257,49 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
         if tag in BLOCK:
             flush()
         elif tag in SPACED:
-            piece.append(" ")
+            run.append((stack[-1], " "))
         if tag in VOID:
             continue
-        attrs = m.group(2) or ""
-        e = _Element(tag, len(elements), stack[-1], attrs)
-        _judge(e, attrs)
+        e = _Element(tag, len(elements), elements[stack[-1]])
+        _judge(e, m[2])
         elements.append(e)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            raw = page[at : end.start()] if end else page[at:]
-            e.digest.update(raw)
-            elements[stack[-1]].digest.update(e.digest.digest())
+            end = RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
-        if attrs.rstrip().endswith("/") and tag not in BLOCK:
-            elements[stack[-1]].digest.update(e.digest.digest())
+        if m[2].rstrip().endswith("/") and tag not in BLOCK:
             continue
         stack.append(e.number)
-    else:
-        if at < size:
-            text(page[at:])
     while len(stack) > 1:
         pop()
     flush()
+    return elements, runs
+
 
+Block = tuple[str, tuple[list[int], list[int]]]
+
+
+def blocks_of(page: str | None, priors: bool = True) -> list[Block]:
+    """Text blocks of the page's article, in order, each with text hashes and shape hashes of subtrees that hold it.
+
+    If the page has ``article`` elements (or else ``main``) outside its furniture, what stands
+    outside them is left out, and nested ones marked as comments go like all furniture.  A
+    ``header``, and an element with furniture words as its class or id, is kept where it holds the
+    page's heading or article (comments and the like: only the heading); the site's header is not
+    kept for a first heading if the page has another one outside.  A furniture element takes its own
+    text with it, inside a paragraph too.  Without ``priors`` only what is never shown goes.
+    """
+    if not page:
+        return []
+    elements, runs = _read(page)
+    for e in reversed(elements[1:]):
+        elements[e.parent].words += e.words
+        elements[e.parent].links += e.links
+    for e in elements[1:]:
+        if not priors:
+            e.soft = e.head = e.weak = e.article = False
+            e.dropped = e.dropped and e.tag in UNSHOWN
+        e.soft |= e.weak and not e.article and 2 * e.links >= e.words > 0
     # What holds the page's heading or article is not furniture, whatever its class says.
     heads = [e for e in elements[1:] if e.tag == "h1"]
     under = {e.number: _any_above(elements, e.parent, lambda x: x.head) for e in heads}
@@ -227,21 +316,49 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
         gone[e.number] = gone[e.parent] or own
         inside[e.number] = inside[e.parent] or (("article" if e.tag == "article" else "main") if e.article else "")
     kinds = {inside[e.number] for e in elements[1:] if e.article and not gone[e.number]}
-    want = "article" if any(e.tag == "article" and not gone[e.number] for e in elements[1:]) else ("main" if "main" in kinds else "")
+    want = "article" if any(e.article and e.tag == "article" and not gone[e.number] for e in elements[1:]) else ("main" if "main" in kinds else "")
     if want == "article":
         for e in elements[1:]:
             inside[e.number] = "article" if e.tag == "article" or inside[e.parent] == "article" else ""
-    hashes: dict[int, list[int]] = {}
-
+    around = _content_path(elements, gone)
+    texts: dict[int, list[int]] = {}
     out = []
-    for parts, number in blocks:
-        if gone[number] or (want and inside[number] != want):
-            continue
-        if joined := " ".join("".join(parts).split()):
-            out.append((joined, _chain(elements, number, hashes)))
+    for run in runs:
+        kept = [(number, data) for number, data in run if not gone[number] and (not want or inside[number] == want)]
+        if joined := " ".join("".join(data for _, data in kept).split()):
+            number = elements[kept[0][0]].block
+            declared = bool(want)
+            within = _chain(elements, number, texts, lambda e: e.digest if not declared or e.weak or 2 * e.links >= e.words else None)
+            if not declared and elements[number].tag in LOOSE:
+                within = [*within, _signed(xxhash.xxh3_64_intdigest(f"#{joined}".encode("utf-8", "surrogatepass")))]
+            out.append((joined, (within, _branch(elements, number, around))))
     return out
 
 
+def _content_path(elements: list[_Element], gone: list[bool]) -> set[int]:
+    """Elements that hold the content, or are part of it: those around the smallest with most unlinked words and the heading, and below."""
+    own = [0 if gone[e.number] else e.words - e.links for e in elements]
+    least = [own[0], *own[1:]]
+    total = elements[0].words - elements[0].links
+    root = max((e.number for e in elements if 2 * least[e.number] > total), default=0)
+    head = next((e.number for e in elements[1:] if e.tag == "h1" and not gone[e.number]), None)
+    above = [root]
+    while above[-1] > 0:
+        above.append(elements[above[-1]].parent)
+    if head is not None:
+        up = head
+        while up not in above and up > root:
+            up = elements[up].parent
+        while up not in above:
+            up = elements[up].parent
+        above = above[above.index(up) :]
+    root, path = above[0], set(above)
+    for e in elements[root + 1 :]:
+        if e.parent in path and (e.parent == root or e.parent not in above):
+            path.add(e.number)
+    return path
+
+
 def _any_above(elements: list[_Element], number: int, what: Callable[[_Element], bool]) -> bool:
     while number > 0:
         if what(elements[number]):
@@ -254,7 +371,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _chain(elements: list[_Element], number: int, known: dict[int, list[int]]) -> list[int]:
+def _chain(elements: list[_Element], number: int, known: dict[int, list[int]], of: Callable[[_Element], object]) -> list[int]:
     """Hashes of the block-level elements around a block, without recursion: pages nest deeply."""
     path = []
     while number > 0 and number not in known:
@@ -263,51 +380,89 @@ def _chain(elements: list[_Element], number: int, known: dict[int, list[int]]) -
     have = known.get(number, [])
     for n in reversed(path):
         e = elements[n]
-        if e.tag in BLOCK and e.tag not in ("body", "html"):
-            have = [*have, _signed(e.digest.intdigest())]
+        if e.tag in BLOCK and e.tag not in ("body", "html") and (hashed := of(e)) is not None:
+            have = [*have, _signed(hashed.intdigest())]
         known[n] = have
     return have
 
 
-def _inner(blocks: list[tuple[str, list[int]]]) -> list[tuple[str, list[int]]]:
-    """The blocks without the subtrees that hold all of them: these are the page's article, not template."""
-    whole = set(blocks[0][1]).intersection(*(w for _, w in blocks[1:])) if blocks else set()
-    return [(t, [h for h in w if h not in whole]) for t, w in blocks]
+def _branch(elements: list[_Element], number: int, around: set[int]) -> list[int]:
+    """The shape of the whole branch beside the content that holds a block; none for the content itself."""
+    top = None
+    while number not in around:
+        if elements[number].tag in BLOCK:
+            top = number
+        number = elements[number].parent
+    return [] if top is None else [_signed(elements[top].shape.intdigest())]
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64()))]))
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
-            found = [[{"text": t, "within": w} for t, w in _inner(blocks_of(p.as_py()))] for p in some.column(3)]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(found, kind)], names=["id", "url", "host", "blocks"])
+def _inner(blocks: list[Block]) -> list[Block]:
+    """The blocks without the text subtrees that hold all of them: these are the page's article, not template."""
+    whole = set(blocks[0][1][0]).intersection(*(w for _, (w, _) in blocks[1:])) if blocks else set()
+    return [(t, ([h for h in w if h not in whole], s)) for t, (w, s) in blocks]
+
+
+KIND = "array<struct<text: string, within: array<long>, shapes: array<long>>>"
+
+
+def _parse_batches(priors: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64())), ("shapes", pa.list_(pa.int64()))]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                found = [[{"text": t, "within": w, "shapes": s} for t, (w, s) in _inner(blocks_of(p.as_py(), priors))] for p in some.column(3)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(found, kind)], names=["id", "url", "host", "blocks"])
+
+    return run
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^?#]*?://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.5) -> DataFrame:
-    """``id``, ``url``, ``text``, ``n_chars`` per row of ``pages``.
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.5, priors: bool = True, templates: bool = True) -> DataFrame:
+    """``id``, ``url``, ``text``, ``n_chars`` per row of ``pages``; all other columns are ignored, whatever their names.
 
-    Null and empty pages, and pages without an article's text, give an empty text.  Repeated rows
-    are returned each; rows of a host with the same body count once.  Rows without a host form one
-    site of their own, of which nothing is taken for a template.
+    Null and empty pages, and pages without an article's text, give an empty text; a null url or one
+    without a host makes the row part of one site of its own, of which nothing is taken for a
+    template.  Repeated rows are returned each, and like all rows of a host with the same body count
+    once.  Pages are read whole, however long; an empty table gives an empty result.  ``priors`` and
+    ``templates`` switch off markup or recurrence, to measure the other.
     """
+    prepare(pages.sparkSession)
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), host_of(url).alias("host"), F.col(html_col).cast("string").alias("page"))
-    parsed = materialise(rows.mapInArrow(_parse_batches, "id long, url string, host string, blocks array<struct<text: string, within: array<long>>>"), "html-blocks")
+    parsed = materialise(rows.mapInArrow(_parse_batches(priors), f"id long, url string, host string, blocks {KIND}"), "html-blocks")
     bodies = parsed.filter("host <> ''").select("host", F.xxhash64(F.col("blocks.text")).alias("body"), "blocks")
-    subtrees = bodies.select("host", "body", F.explode(F.array_distinct(F.flatten(F.col("blocks.within")))).alias("subtree"))
-    met = subtrees.groupBy("host", "subtree").agg(F.count_distinct("body").alias("n"))
-    # At most 1 / share times a page's subtrees can recur so often: the arrays are short.
     sites = bodies.groupBy("host").agg(F.count_distinct("body").alias("pages"))
-    often = met.filter(F.col("n") >= least_pages).join(sites, "host").filter(F.col("n") >= share * F.col("pages"))
-    templates = materialise(often.groupBy("host").agg(F.collect_list("subtree").alias("template")), "html-templates")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["within"], F.col("template")), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return parsed.join(templates, "host", "left").select("id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    least = least_pages if templates else 1 << 62
+
+    def recurring(met: DataFrame) -> DataFrame:
+        return met.filter(F.col("n") >= least).join(sites, "host").filter(F.col("n") >= share * F.col("pages"))
+
+    met = bodies.select("host", "body", F.explode(F.array_distinct(F.flatten(F.col("blocks.within")))).alias("subtree")).groupBy("host", "subtree").agg(F.count_distinct("body").alias("n"))
+    # At most 1 / share times a page's subtrees can recur so often: the arrays are short.
+    by_text = materialise(recurring(met).groupBy("host").agg(F.collect_list("subtree").alias("within_gone")), "html-templates")
+
+    def without(blocks: F.Column, kind: str) -> F.Column:
+        return F.filter(blocks, lambda b: ~F.coalesce(F.arrays_overlap(b[kind], F.col(f"{kind}_gone")), F.lit(False)))
+
+    def n_words(text: F.Column) -> F.Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+    def all_words(blocks: F.Column) -> F.Column:
+        return F.aggregate(blocks, F.lit(0), lambda n, b: n + n_words(b["text"]))
+
+    left = bodies.join(by_text, "host", "left").select("host", "body", F.explode(without(F.col("blocks"), "within")).alias("b"))
+    counted = left.select("host", "body", F.try_element_at("b.shapes", F.lit(1)).alias("subtree"), n_words(F.col("b.text")).alias("words"))
+    sizes = counted.groupBy("host").agg(F.sum("words").alias("all_words"))
+    shaped = counted.filter("subtree is not null").groupBy("host", "subtree").agg(F.count_distinct("body").alias("n"), F.sum("words").alias("words"))
+    small = recurring(shaped).join(sizes, "host").filter(F.col("words") <= MOST_WORDS * F.col("all_words"))
+    by_shape = materialise(small.groupBy("host").agg(F.collect_list("subtree").alias("shapes_gone")), "html-templates")
+    joined = parsed.join(by_text, "host", "left").join(by_shape, "host", "left").withColumn("shaped", without(F.col("blocks"), "shapes")).withColumn("kept", without(F.col("shaped"), "within"))
+    kept = F.when(all_words(F.col("kept")) < LEAST_LEFT * all_words(F.col("shaped")), F.col("shaped")).otherwise(F.col("kept"))
+    return joined.select("id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,98 @@ def test_test_pages_give_their_articles(spark):
         article = re.search(r"<article>(.*?)(</article>|$)", p.html, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*(>|$)", " ", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
         assert got[p.page_id] == "\n".join(b for b in parts if b)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<script>var s=\"<a href='\";</script><p>It's good</p>", "It's good"),
+        ("<style>a:after{content:\"<b title='\"}</style><p>It's \"so\"</p>", "It's \"so\""),
+        ("<p>Hello <button>Share</button> world</p><p>a <span class='ad'>Buy now</span><span hidden>secret</span> b <label>Name</label><svg><text>t</text></svg></p>", "Hello world\na b"),
+        ("<article class='post-form'><p>Text</p></article>", "Text"),
+        ("<div class='recipe-notice'><p>Boil it.</p></div><div class='siteFooter'>f</div><div class='notice'>n</div>", "Boil it."),
+        ("<div class='recipe-menu'><a href=x>one</a> <a href=y>two</a></div><p>x</p>", "x"),
+        ("<article><p>t</p><article class='comment'>c</article></article>", "t"),
+        ("<p title=it's>x</p><p>it's</p>", "x\nit's"), ("<p>x</p><a href=\"http://cut", "x"), ("<p>x<a title='a > b", "x"), ("x<", "x<"), ("a</é>b</3>c<?d?>e<!>f", "abcef"),
+    ],
+)
+def test_scripts_inline_furniture_and_single_words(page, want):
+    assert text_of(page) == want
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 40])
+def test_identical_pages_keep_their_text(spark, n):
+    page = "<body><div><p>One.</p><p>Two.</p></div><div><p>Three.</p></div></body>"
+    rows = H.main_text(spark.createDataFrame([(i, f"https://a.example/{i}", page, "x", 1, "h") for i in range(n)], SCHEMA)).collect()
+    assert len(rows) == n and {r.text for r in rows} == {"One.\nTwo.\nThree."}
+
+
+def test_near_copies_keep_their_text(spark):
+    # Each copy differs in one of twenty paragraphs, so every paragraph recurs in nearly all bodies.
+    def page(i):
+        return "".join(f"<p>Paragraph {k} {'changed ' + str(i) if k == i % 20 else 'stays'} here.</p>" for k in range(20))
+
+    rows = H.main_text(spark.createDataFrame([(i, f"https://a.example/{i}", page(i), "x", 1, "h") for i in range(30)], SCHEMA)).collect()
+    assert all(r.text.count("\n") == 19 for r in rows)
+
+
+def _plain_site(n):
+    """Furniture that no markup names and no two pages word alike."""
+    return [
+        (i, f"https://plain.example/{i}", f"<body><div class=a{i}><ul><li><a href=/{i}>go {i}</a></li><li><a href=/x>to {i + 1}</a></li></ul></div><div class=b><h1>Title {i}</h1><p>{'word ' * (30 + i)}{i}.</p></div><div class=z><p>Bought by {i} others.</p></div></body>", "x", 1, "h")
+        for i in range(n)
+    ]
+
+
+def test_recurring_shapes_go_outside_the_content(spark):
+    rows = {r.id: r.text for r in H.main_text(spark.createDataFrame(_plain_site(12), SCHEMA)).collect()}
+    assert all(t.split("\n")[0] == f"Title {i}" and t.count("\n") == 1 for i, t in rows.items())
+    off = {r.id: r.text for r in H.main_text(spark.createDataFrame(_plain_site(12), SCHEMA), templates=False).collect()}
+    assert all("Bought by" in t and "go" in t for t in off.values())
+
+
+def test_quoted_paragraphs_of_declared_articles_stay(spark):
+    pages = [(i, f"https://a.example/{i}", f"<article><h1>T {i}</h1><p>The same passage in all.</p><p>Own {i}.</p><div class='post-notice'><p>Read our offers.</p></div></article>", "x", 1, "h") for i in range(9)]
+    rows = {r.id: r.text for r in H.main_text(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert all(t == f"T {i}\nThe same passage in all.\nOwn {i}." for i, t in rows.items())
+
+
+def test_templates_are_those_of_a_plain_count(spark):
+    import random
+    from collections import defaultdict
+
+    rnd = random.Random(4)
+    parts = ["<div><p>Offer of the week.</p></div>", "<p>Loose</p>", "<div><div><p>In two.</p></div></div>", "<section><p>A</p><p>B</p></section>"]
+    pages = []
+    for i in range(120):
+        some = "".join(p for p in parts if rnd.random() < 0.6)
+        pages.append((i, f"https://h{i % 7}.example/{i}", f"<body>{some}<div><h1>Own {rnd.randrange(80)}</h1><p>{'tale ' * 20}{rnd.randrange(60)}</p></div></body>", "x", 1, "h"))
+    read = {i: (None, H._inner(H.blocks_of(h))) for i, _, h, *_ in pages}
+    seen, shaped, bodies = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    for i, *_ in pages:
+        body = tuple(t for t, _ in read[i][1])
+        bodies[i % 7].add(body)
+        for _, (within, _) in read[i][1]:
+            for mark in within:
+                seen[i % 7][mark].add(body)
+
+    def often(marks, site):
+        return {m for m, b in marks.items() if len(b) >= 5 and len(b) >= 0.5 * len(bodies[site])}
+
+    text_gone = {site: often(seen[site], site) for site in bodies}
+    words, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for i, *_ in pages:
+        for t, (within, shapes) in read[i][1]:
+            if not text_gone[i % 7] & set(within):
+                total[i % 7] += len(t.split())
+                for mark in shapes:
+                    shaped[i % 7][mark].add(tuple(x for x, _ in read[i][1]))
+                    words[i % 7][mark] += len(t.split())
+    for r in H.main_text(spark.createDataFrame(pages, SCHEMA)).collect():
+        site = r.id % 7
+        shape_gone = {m for m in often(shaped[site], site) if words[site][m] <= H.MOST_WORDS * total[site]}
+        left = [(t, w) for t, (w, s) in read[r.id][1] if not shape_gone & set(s)]
+        kept = [t for t, w in left if not text_gone[site] & set(w)]
+        if len(" ".join(kept).split()) < H.LEAST_LEFT * len(" ".join(t for t, _ in left).split()):
+            kept = [t for t, _ in left]
+        assert r.text == "\n".join(kept)
