@@ -8,7 +8,11 @@ and the fraction ``p = e - floor(e)`` is an inclusion probability.  Documents ar
 
 with ``u`` uniform, a hash of the row and the seed, and the lowest ranks are taken until their
 words fill what the certain copies leave of the target (Pareto order sampling, with size counted in
-words).  The gap before the first document that no longer fits is filled by one of a like size.
+words).  The gap before the first document that no longer fits is filled by one of a like size; that
+one document of a source is chosen outside the order.
+
+Rows that are equal in id, text and source are told apart by a number among them, so that they are
+drawn one by one; which of them is number one does not matter, as they are equal.
 
 No source is gathered in one task to be ranked.  ``q / (1 + q)`` lies in [0, 1); words are summed
 in 4096 bins of it, the bin that crosses the target is binned again, and only the few rows of the
@@ -17,10 +21,12 @@ last bin are ranked.  What returns to the rows is one threshold per source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, table, words_in
+from shelfmark.llm.common import materialise, prepare, table, words_in
 
 BINS = 4096
 SEED = 20
@@ -59,36 +65,58 @@ def _crossing(sums: DataFrame, need: str) -> DataFrame:
     return hit.select("source_no", F.col("x.bin").alias("bin"), F.col("x.before").alias("before"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: F.Column | None, seed: int, carry: list[F.Column]) -> DataFrame:
-    w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
-    row_key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
-    return docs.select(*carry, F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), row_key.alias("row_key"), w.alias("w"))
+Weight = F.Column | Callable[[F.Column], F.Column] | None
+
+
+def longer_more(size: F.Column) -> F.Column:
+    """Weights of ``op4_mixing``: ``1 + ln(size)``, so that a document of 1000 words is wanted some eight times as often as one of a single word."""
+    return 1 + F.log(F.greatest(size, F.lit(1)))
 
 
-def _rates(sized: DataFrame, wanted: DataFrame, cap: float, weighted: bool) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Weight, seed: int, carry: list[F.Column]) -> DataFrame:
+    """A table of ``carry``, ``source``, ``size``, ``w`` and a ``row_key`` that is another for each of several equal rows."""
+    size = words_in(F.col(text_col))
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
+    given = [] if weight is None or callable(weight) else [weight.cast("double").alias("w")]
+    rows = docs.select(*carry, F.col(source_col).alias("source"), size.alias("size"), key.alias("row_key"), *given)
+    if not given:
+        rows = rows.withColumn("w", F.lit(1.0) if weight is None else weight(F.col("size")).cast("double"))
+    rows = rows.withColumn("w", F.when(F.isnan("w"), 0.0).otherwise(F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0))))
+    rows = materialise(rows.withColumn("part", F.spark_partition_id()).withColumn("serial", F.monotonically_increasing_id()), "mix-rows")
+    # Numbers among equal rows in two levels, so that no group of copies meets in one task.
+    many = materialise(rows.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key"), "mix-repeats")
+    if many.isEmpty():
+        return rows.drop("part", "serial")
+    copies = rows.select("row_key", "part", "serial").join(many, "row_key", "left_semi")
+    before = Window.partitionBy("row_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = copies.groupBy("row_key", "part").agg(F.count("*").alias("n")).select("row_key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = copies.withColumn("rank", F.row_number().over(Window.partitionBy("row_key", "part").orderBy("serial")))
+    numbered = ranked.join(parts, ["row_key", "part"]).select("serial", (F.col("rank") + F.col("before") - 1).alias("number"))
+    told = rows.join(materialise(numbered, "mix-numbers"), "serial", "left")
+    return materialise(told.withColumn("row_key", F.when(F.col("number") > 0, F.xxhash64("row_key", "number")).otherwise(F.col("row_key"))).drop("part", "serial", "number"), "mix-rows")
+
+
+def _rates(sized: DataFrame, wanted: DataFrame, cap: float) -> DataFrame:
     """``wanted`` with the ``rate`` at which the documents' expected words add up to the target.
 
-    With equal weights that is target / size.  With unequal ones documents that reach the cap are
-    taken out and the rate of the others is raised, until no more reach it; each pass sums by source.
+    Documents that reach the cap are taken out and the rate of the others is raised, until no more
+    reach it.  Each pass sums one row per source and weight, not the documents.
     """
-    rates = wanted.withColumn("rate", F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
-    if not weighted:
-        return materialise(rates, "mix-rates")
+    grouped = materialise(sized.filter("size > 0 and w > 0").groupBy("source", "w").agg(F.sum("size").alias("size")), "mix-weights")
     rates, capped = materialise(wanted.withColumn("rate", F.lit(0.0)), "mix-rates"), None
     while True:
-        known = sized.join(rates, sized["source"].eqNullSafe(rates["source"])).drop(rates["source"])
-        full = F.col("w") * F.col("rate") >= cap
+        known = grouped.join(rates, grouped["source"].eqNullSafe(rates["source"])).drop(rates["source"])
+        full = F.col("w") * F.col("rate") >= cap * (1 - 1e-12)
         sums = known.groupBy("source_no").agg(
             F.sum(F.when(full, F.col("size")).otherwise(0)).alias("full"),
             F.sum(F.when(full, 0.0).otherwise(F.col("w") * F.col("size"))).alias("open"),
             F.count_if(full).alias("n_full"),
+            F.min("w").alias("least"),
         )
-        rates = materialise(
-            wanted.join(sums, "source_no", "left").select(
-                *wanted.columns, "n_full", F.coalesce(F.greatest(F.col("target") - cap * F.col("full"), F.lit(0.0)) / F.nullif(F.col("open"), F.lit(0.0)), F.lit(0.0)).alias("rate")
-            ),
-            "mix-rates",
-        )
+        left = F.greatest(F.col("target") - cap * F.col("full"), F.lit(0.0))
+        # Where all documents of a source are at the cap, any rate that keeps them there will do.
+        rate = F.when(F.col("open") > 0, left / F.col("open")).otherwise(cap / F.col("least") * (1 + 1e-9))
+        rates = materialise(wanted.join(sums, "source_no", "left").select(*wanted.columns, F.coalesce("n_full", F.lit(0)).alias("n_full"), F.coalesce(rate, F.lit(0.0)).alias("rate")), "mix-rates")
         then = rates.agg(F.sum("n_full")).first()[0]
         rates = rates.drop("n_full")
         if then == capped:
@@ -109,18 +137,20 @@ def _spots(sized: DataFrame, rates: DataFrame, cap: float) -> DataFrame:
     return known.withColumn("spot", spot).drop("p")
 
 
-def thresholds(sized: DataFrame, cap: float = 3.0, weighted: bool = False) -> DataFrame:
+def thresholds(sized: DataFrame, cap: float = 3.0) -> DataFrame:
     """One row per source: its figures, its rate, and the rank up to which documents are taken.
 
     ``sized`` is a table (it is read several times) of ``source``, ``size``, ``row_key``, ``w``.
     """
-    wanted = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
-    rates = _rates(sized, wanted, cap, weighted)
+    wanted = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap), "mix-targets")
+    rates = _rates(sized, wanted, cap)
     known = _spots(sized, rates, cap)
     base = known.groupBy("source_no").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target"))
-    base = materialise(base.select("source_no", F.greatest(F.col("target") - F.col("sure"), F.lit(0.0)).alias("need")), "mix-need")
+    # Where less than half a word is missing nothing is drawn.
+    need = F.col("target") - F.col("sure")
+    base = materialise(base.select("source_no", F.when(need < 0.5, 0.0).otherwise(need).alias("need")), "mix-need")
     ranked = known.filter("spot is not null").select("source_no", "size", "spot", "row_key", F.floor(F.col("spot") * BINS).alias("coarse"), (F.floor(F.col("spot") * BINS * BINS) % BINS).alias("fine"))
-    first = ranked.groupBy("source_no", F.col("coarse").alias("bin")).agg(F.sum("size").alias("words")).join(base, "source_no")
+    first = ranked.groupBy("source_no", F.col("coarse").alias("bin")).agg(F.sum("size").alias("words")).join(base.filter("need > 0"), "source_no")
     one = materialise(_crossing(first, "need").select("source_no", F.col("bin").alias("bin1"), F.col("before").alias("before1")), "mix-bin")
     within = ranked.join(one.join(base, "source_no"), "source_no").filter("coarse = bin1")
     second = within.groupBy("source_no", F.col("fine").alias("bin"), "before1", "need").agg(F.sum("size").alias("words")).withColumn("rest", F.col("need") - F.col("before1"))
@@ -155,31 +185,36 @@ def _taken(rows: DataFrame, cut: DataFrame, cap: float) -> DataFrame:
     return placed.withColumn("copies", copies.cast("long"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: F.Column | None = None, cap: float = 3.0, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Weight = None, cap: float = 3.0, seed: int = SEED) -> DataFrame:
     """``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` per row of ``docs``.
 
-    ``weight`` is a document's relative wish to be taken within its source (default: equal; null or
-    negative counts as 0).  A document's ``copies`` never exceed ``cap``; documents of no words have
-    none.  The result is a function of the rows' contents and ``seed``, so reruns agree and equal
-    rows are taken alike.  An empty table gives an empty result.
+    ``weight`` is a document's relative wish to be taken within its source: a column of ``docs``, or
+    a function of the column of sizes (default: equal; null, NaN and negative count as 0, and such
+    documents are taken only if the others cannot fill the target).  A document's ``copies`` never
+    exceed ``cap``; null and empty texts, and those without words, have none.  A null source is a
+    source; null ids are like any other.  The result is a function of the rows' contents and
+    ``seed``, so reruns agree; of equal rows some may be taken more often than others.  Other columns
+    are ignored, whatever their names.  An empty table gives an empty result.
     """
-    sized = materialise(_rows(docs, id_col, text_col, source_col, weight, seed, [F.col(id_col).alias("id")]), "mix-sizes")
-    found = _taken(sized, thresholds(sized, cap, weight is not None), cap)
+    prepare(docs.sparkSession)
+    sized = _rows(docs, id_col, text_col, source_col, weight, seed, [F.col(id_col).alias("id")])
+    found = _taken(sized, thresholds(sized, cap), cap)
     return found.select("id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: F.Column | None = None, cap: float = 3.0, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it.
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Weight = None, cap: float = 3.0, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it; like :func:`mix` in all else.
 
-    The texts stay where they are: rows meet the thresholds of their source, not a table of choices.
+    The texts are written once with their sizes and stay where they are: rows meet the thresholds of
+    their source, not a table of choices.
     """
-    sized = materialise(_rows(docs, id_col, text_col, source_col, weight, seed, []), "mix-sizes")
-    cut = thresholds(sized, cap, weight is not None)
-    rows = _rows(docs, id_col, text_col, source_col, weight, seed, [F.struct(*[F.col(c) for c in docs.columns]).alias("row")])
+    prepare(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col, source_col, weight, seed, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")])
+    cut = thresholds(rows.select("source", "size", "row_key", "w"), cap)
     taken = _taken(rows, cut, cap).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix(table(spark, sf_dir, "documents"))
+    found = mix(table(spark, sf_dir, "documents"), weight=longer_more)
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,9 +68,66 @@ def test_empty_texts_and_clashing_columns(spark):
     assert sum(1 for _ in again.collect()) == sum(r.copies for r in rows.values())
 
 
-def test_equal_rows_are_taken_alike(spark):
-    docs = spark.createDataFrame([(1, "a b c", "s", "c", 1, 2)] * 6 + [(i, "d e f", "t", "c", 1, 2) for i in range(2, 9)], SCHEMA)
-    assert len({r.copies for r in X.mix(docs).filter("id = 1").collect()}) == 1
+@pytest.mark.parametrize(("copies", "words"), [(1500, 20)])
+def test_repeated_rows_meet_the_target(spark, copies, words):
+    docs = spark.createDataFrame([(1, " ".join(["w"] * words), "s", "c", 1, 2)] * copies + [(i, "d e f", "t", "c", 1, 2) for i in range(2, 9)], SCHEMA).repartition(5)
+    rows = X.mix(docs, weight=X.longer_more).collect()
+    for source, most in (("s", words), ("t", 3)):
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= most / 2 and max(r.copies for r in own) <= 3
+    again = X.mix(docs.repartition(3), weight=X.longer_more).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert X.repeated(docs, weight=X.longer_more).count() == sum(r.copies for r in rows)
+
+
+def slow_rate(docs, target, cap=3.0):
+    rate, full = 0.0, set()
+    while True:
+        open_ = sum(w * n for i, (n, w, _) in docs.items() if i not in full)
+        rate = max(0.0, target - cap * sum(docs[i][0] for i in full)) / open_ if open_ else math.inf
+        over = {i for i, (n, w, _) in docs.items() if i not in full and w * rate >= cap}
+        if not over:
+            return rate
+        full |= over
+
+
+def test_taken_documents_are_those_of_a_plain_sort(spark):
+    sizes = [("a", 1 + i * i % 97) for i in range(200)] + [("b", 1 + i % 60) for i in range(60)] + [(None, 500), (None, 20), (None, 3)] + [("tiny", 4)] * 3
+    table = _docs(spark, sizes)
+    keys = {r.id: (r.size, r.w, r.row_key) for r in X._rows(table, "doc_id", "text", "source", X.longer_more, X.SEED, [F.col("doc_id").alias("id")]).collect()}
+    got = {r.id: r for r in X.mix(table, weight=X.longer_more).collect()}
+    for source in {s for s, _ in sizes}:
+        docs = {i: keys[i] for i, (s, _) in enumerate(sizes) if s == source}
+        target = next(got[i].target for i in docs)
+        rate = slow_rate(docs, target)
+        copies, ranked = {}, []
+        for i, (n, w, key) in docs.items():
+            times = min(3.0, w * rate)
+            copies[i], p, u = math.floor(times), times - math.floor(times), (key % (1 << 52) + 0.5) / (1 << 52)
+            if copies[i] < 3:
+                ranked.append(((u / (1 - u)) / (p / (1 - p)) if p else math.inf, i))
+        left = target - sum(copies[i] * docs[i][0] for i in docs)
+        order = [i for _, i in sorted(ranked)]
+        while order and left >= docs[order[0]][0]:
+            left -= docs[order[0]][0]
+            copies[order.pop(0)] += 1
+        if left >= 0.5 and order and (near := min(order, key=lambda i: abs(docs[i][0] - left))) is not None and abs(docs[near][0] - left) < left:
+            copies[near] += 1
+        assert {i: got[i].copies for i in docs} == copies, source
+
+
+def test_unequal_weights_draw_unequally(spark):
+    rows = X.mix(_docs(spark, [("a", 2 if i % 2 else 40) for i in range(2000)] + [("b", 40)] * 500), weight=X.longer_more).filter("source = 'a'").collect()
+    long, short = ([r.copies for r in rows if r.size == n] for n in (40, 2))
+    assert sum(long) / len(long) > 1.5 * sum(short) / len(short)
+
+
+def test_a_source_that_must_give_all_and_weights_that_are_none(spark):
+    docs = _docs(spark, [("a", 1), ("a", 7), ("a", 300), ("b", 90_000)])
+    rows = {r.id: r for r in X.mix(docs, weight=X.longer_more).collect()}
+    assert [rows[i].copies for i in (0, 1, 2)] == [3, 3, 3]
+    none = X.mix(docs, weight=F.when(F.col("doc_id") == 2, float("nan"))).collect()
+    assert len(none) == 4
 
 
 def test_empty_table(spark):
