@@ -80,3 +80,59 @@ def test_without_labels_nothing_is_toxic(spark):
         model = T.train(docs, given)
         assert not model.thresholds and not T.score(docs, model).filter("toxic").count()
     assert T.score(docs.limit(0), T.Model()).count() == 0
+
+
+def _random_problem(seed=1, n=60, m=9):
+    rng = np.random.default_rng(seed)
+    x = (rng.random((n, m)) < 0.4) * rng.random((n, m))
+    grades = np.clip((x @ np.linspace(0, 3, m) + rng.normal(size=n) * 0.5).astype(int), 0, 3)
+    rows, cols = np.nonzero(x)
+    return rows, cols, x[rows, cols], grades, rng.random(n) + 0.5
+
+
+def test_gradients_are_those_of_the_cumulative_link_likelihood():
+    rng = np.random.default_rng(2)
+    grades, weight = rng.integers(0, 4, 30), rng.random(30) + 0.1
+    score, t = rng.normal(size=30) * 2, np.array([-1.0, 0.3, 2.0])
+    loss, by_score, by_t = T.cumulative_link(score, t, grades, weight)
+    direct = [np.diff(np.concatenate(([0.0], 1 - 1 / (1 + np.exp(-(s - t))), [1.0])))[g] for s, g in zip(score, grades)]
+    assert np.isclose(loss, -(weight * np.log(direct)).sum() / weight.sum())
+    step = 1e-6
+    for i in range(30):
+        moved = score + step * (np.arange(30) == i)
+        assert np.isclose((T.cumulative_link(moved, t, grades, weight)[0] - loss) / step, by_score[i], atol=1e-5)
+    for k in range(3):
+        assert np.isclose((T.cumulative_link(score, t + step * (np.arange(3) == k), grades, weight)[0] - loss) / step, by_t[k], atol=1e-5)
+
+
+def test_the_fit_is_the_optimum():
+    rows, cols, values, grades, weight = _random_problem()
+    w, t = T.fit_ordinal(rows, cols, grades, 9, values, weight, rounds=20_000, l1=0.002, relax=1, tolerance=0)
+
+    def cost(w, t):
+        return T.cumulative_link(np.bincount(rows, weights=values * w[cols], minlength=len(grades)), t, grades, weight)[0] + 0.002 * w.sum()
+
+    rng, least = np.random.default_rng(5), cost(w, t)
+    assert (np.diff(t) > 0).all() and (w >= 0).all()
+    for size in (1e-1, 1e-2):
+        for _ in range(200):
+            other = np.maximum(w + size * rng.normal(size=9), 0)
+            assert cost(other, np.sort(t + size * rng.normal(size=len(t)))) >= least - 1e-5
+
+
+def test_features_and_chances_agree():
+    model = T.Model({"trash": 2.0, "tras~": 0.5, "grub~": 3.0}, (1.0, 4.0))
+    for text in (None, "", "Trash!", "grubnar grubber word " * 9, "grubnar " + "w " * 400, "w " * 100_000 + "trash"):
+        score = sum(model.weights[f] * v for f, v in T.features(text).items() if f in model.weights)
+        assert np.allclose(model.chances(text), [1 / (1 + np.exp(t - score)) for t in model.thresholds])
+
+
+def test_grades_come_from_the_labels_and_repeats_count_once(spark):
+    rows = [(i, f"word{i % 7} word{i % 5}" + (" trash" if i % 4 == 0 else ""), "x", 1) for i in range(120)]
+    docs = spark.createDataFrame(rows + rows[:40], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 8 != 0), int(i % 4 == 0)) for i in range(120)] + [(0, 1, 1)], "doc_id long, quality int, toxic int")
+    model = T.train(docs, labels)
+    assert len(model.thresholds) == 2
+    got = T.score(docs, model).collect()
+    assert len(got) == 160 and all(r.toxic == (r.id % 4 == 0) for r in got)
+    assert model == T.train(docs.repartition(7), labels.repartition(3))
