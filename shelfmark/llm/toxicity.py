@@ -128,23 +128,31 @@ def _solve(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.nd
         size = np.linalg.norm(v)
         v = v / (size or 1.0)
     pace = 1 / (0.5 * size + 1e-9)
-    ahead_w, ahead_f, pull = w, free, 1.0
-    before, still = math.inf, 0
+
+    def at(w: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, by_score, by_t = cumulative_link(np.bincount(rows, weights=values * w[cols], minlength=n), _rising(free), grades, weight)
+        by_f = np.concatenate(([by_t.sum()], np.cumsum(by_t[::-1])[::-1][1:] * np.exp(free[1:])))
+        return loss + l1 * w.sum(), np.bincount(cols, weights=values * by_score[rows], minlength=m), by_f
+
+    now = at(w, free)
+    last_w, last_f, pull, pace_f, still = w, free, 1.0, 2.0, 0
     for _ in range(rounds):
-        loss, by_score, by_t = cumulative_link(np.bincount(rows, weights=values * ahead_w[cols], minlength=n), _rising(ahead_f), grades, weight)
-        loss += l1 * ahead_w.sum()
-        still = still + 1 if abs(before - loss) < tolerance * loss else 0
+        then = (1 + math.sqrt(1 + 4 * pull * pull)) / 2
+        push = (pull - 1) / then
+        y_w, y_f = np.maximum(w + push * (w - last_w), 0), free + push * (free - last_f)
+        _, by_w, by_f = at(y_w, y_f) if push else now
+        new_w, new_f = np.maximum(y_w - pace * (by_w + l1), 0), y_f - pace_f * by_f
+        new = at(new_w, new_f)
+        if new[0] > now[0]:  # overshot: no momentum, then shorter steps
+            pace, pace_f = (pace, pace_f) if push else (0.7 * pace, 0.5 * pace_f)
+            last_w, last_f, pull = w, free, 1.0
+            if pace_f < 1e-9:
+                break
+            continue
+        still = still + 1 if now[0] - new[0] < tolerance * new[0] else 0
+        last_w, last_f, w, free, now, pull = w, free, new_w, new_f, new, then
         if still == 5:
             break
-        if loss > before:  # overshot: start the momentum anew
-            pull = 1.0
-        before = loss
-        by_f = np.concatenate(([by_t.sum()], np.cumsum(by_t[::-1])[::-1][1:] * np.exp(ahead_f[1:])))
-        new_w = np.maximum(ahead_w - pace * (np.bincount(cols, weights=values * by_score[rows], minlength=m) + l1), 0)
-        new_f = ahead_f - 2.0 * by_f
-        then = (1 + math.sqrt(1 + 4 * pull * pull)) / 2
-        ahead_w, ahead_f = np.maximum(new_w + (pull - 1) / then * (new_w - w), 0), new_f + (pull - 1) / then * (new_f - free)
-        w, free, pull = new_w, new_f, then
     return w, free
 
 
