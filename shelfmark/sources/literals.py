@@ -5,19 +5,22 @@ from __future__ import annotations
 import json
 import re
 
+# --- Fixed values: how much is read, and what counts as a number, a name, a word. ---
 MOST_SCANNED = 4_000_000
 MOST_DEPTH = 24
-MISSING = object()  # a value that cannot be known without running the script
+NUMBER = r"-?(?:0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)"
+IDENTIFIER = r"[A-Za-z_$][\w$]*"
+WORDS = {"true": True, "false": False, "null": None, "undefined": None, "NaN": None}
+CONTROL = {"n": "\n", "t": "\t", "r": "\r"}
 
-_SPACE = re.compile(r"(?:[ \t\r\n]+|//[^\n]*\n?|/\*.*?(?:\*/|\Z))*", re.S)
-_IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
-_NUMBER = re.compile(r"-?(?:0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)")
-_WORDS = {"true": True, "false": False, "null": None, "undefined": None, "NaN": None}
+_GAP = r"[ \t\r\n]+|//[^\n]*\n?|/\*.*?(?:\*/|\Z)"
+_SPACE = re.compile(f"(?:{_GAP})*", re.S)
 _BODY = {q: re.compile(rf"((?:[^{q}\\]|\\.)*){q}", re.S) for q in "\"'`"}
 _ESCAPE = re.compile(r"\\(.)", re.S)
-_CONTROL = {"n": "\n", "t": "\t", "r": "\r"}
 _BALANCE = {o: re.compile(rf'"(?:[^"\\]|\\.)*"|["{re.escape(o + c)}]', re.S) for o, c in ("{}", "[]")}
-_BREAKS = re.compile(r"[\"'`()\[\]{},]")
+_QUOTED = "|".join(rf"{q}(?:[^{q}\\]|\\.)*{q}" for q in "\"'`")
+_TOKEN = re.compile(rf"(?P<gap>{_GAP})|(?P<text>{_QUOTED})|(?P<number>{NUMBER})|(?P<word>{IDENTIFIER})|(?P<mark>.)", re.S)
+_CLOSES = {"{": "}", "[": "]", "(": ")"}
 
 
 def balanced(text: str, start: int) -> str | None:
@@ -35,112 +38,88 @@ def balanced(text: str, start: int) -> str | None:
     return None
 
 
+def _unescaped(body: str) -> str:
+    return _ESCAPE.sub(lambda e: CONTROL.get(e[1], e[1]), body)
+
+
 def js_string(text: str, start: int, quote: str) -> tuple[str, int] | None:
     """A string literal after its opening quote, and where it ends; escapes other than n, t and r stand for themselves."""
     m = _BODY[quote].match(text, start, start + MOST_SCANNED)
-    return None if m is None else (_ESCAPE.sub(lambda e: _CONTROL.get(e[1], e[1]), m[1]), m.end())
+    return None if m is None else (_unescaped(m[1]), m.end())
 
 
 def skip_space(text: str, at: int) -> int:
     return _SPACE.match(text, at).end()
 
 
-class _Reader:
-    """Reads one literal; values that are expressions become :data:`MISSING`."""
+def _number(raw: str) -> int | float:
+    if "x" in raw or "X" in raw:
+        return int(raw, 16)
+    return int(raw) if raw.lstrip("-").isdigit() else float(raw)
 
-    def __init__(self, text: str) -> None:
-        self.text, self.at = text, 0
 
-    def peek(self) -> str:
-        self.at = skip_space(self.text, self.at)
-        return self.text[self.at : self.at + 1]
+class _Unreadable(ValueError):
+    pass
 
-    def string(self) -> object:
-        got = js_string(self.text, self.at + 1, self.text[self.at])
-        if got is None:
-            return MISSING
-        self.at = got[1]
-        return got[0]
 
-    def past_expression(self) -> None:
-        """Go on to the ``,`` or closing bracket that ends an expression at this level."""
-        depth = 0
-        while m := _BREAKS.search(self.text, self.at):
-            mark = m.group()
-            if mark in "\"'`":
-                got = js_string(self.text, m.end(), mark)
-                self.at = got[1] if got else m.end() + 1
+def _read(text: str) -> object:
+    """The first literal of ``text``, token by token.
+
+    ``open_`` holds the containers that are open, each with the key that waits for its value (for an
+    object) and whether the colon was met.  A value that is an expression is passed over up to the
+    comma or bracket that ends it at its level: its key is left out, its place in a list is null.
+    """
+    open_: list[list] = []  # container, key, colon met
+    passing = -1  # brackets open inside an expression that is passed over; -1 outside one
+    for m in _TOKEN.finditer(text):
+        kind, raw = m.lastgroup, m.group()
+        if kind == "gap":
+            continue
+        if passing >= 0:
+            ends = passing == 0 and raw in (",", ")", "]", "}")
+            passing += (raw in _CLOSES) - (raw in (")", "]", "}")) if not ends else -passing - 1
+            if not ends:
                 continue
-            if (mark in ")]}" and depth == 0) or (mark == "," and depth == 0):
-                self.at = m.start()
-                return
-            depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(mark, 0)
-            self.at = m.end()
-        self.at = len(self.text)
-
-    def value(self, depth: int = 0) -> object:
-        mark = self.peek()
-        if not mark or depth > MOST_DEPTH:
-            return MISSING
-        if mark in "\"'`":
-            return self.string()
-        if mark == "{":
-            return self.members(depth)
-        if mark == "[":
-            return self.elements(depth)
-        if m := _NUMBER.match(self.text, self.at):
-            self.at = m.end()
-            raw = m.group()
-            try:
-                if "x" in raw.lower():
-                    return int(raw, 16)
-                return float(raw) if re.search(r"[.eE]", raw) else int(raw)
-            except ValueError:
-                return MISSING
-        if (m := _IDENTIFIER.match(self.text, self.at)) and m.group() in _WORDS:
-            self.at = m.end()
-            return _WORDS[m.group()]
-        return MISSING
-
-    def members(self, depth: int) -> object:
-        out: dict[str, object] = {}
-        self.at += 1
-        while mark := self.peek():
-            if mark in "},":
-                self.at += 1
-                if mark == "}":
-                    return out
+        if open_:
+            into, key, colon = open_[-1]
+            if raw == ",":
                 continue
-            if mark in "\"'":
-                key = self.string()
-            elif m := _IDENTIFIER.match(self.text, self.at) or _NUMBER.match(self.text, self.at):
-                key, self.at = m.group(), m.end()
-            else:
-                return MISSING
-            if key is MISSING or self.peek() != ":":
-                return MISSING
-            self.at += 1
-            got = self.value(depth + 1)
-            if got is MISSING:
-                self.past_expression()
-            else:
-                out[str(key)] = got
-        return MISSING
-
-    def elements(self, depth: int) -> object:
-        out: list[object] = []
-        self.at += 1
-        while mark := self.peek():
-            if mark in "],":
-                self.at += 1
-                if mark == "]":
-                    return out
+            if isinstance(into, dict) and key is None and raw != "}":
+                if kind == "mark" or raw[0] == "`":
+                    raise _Unreadable
+                open_[-1][1] = _unescaped(raw[1:-1]) if kind == "text" else raw
                 continue
-            got = self.value(depth + 1)
-            if got is MISSING:
-                self.past_expression()
-            out.append(None if got is MISSING else got)
-        return MISSING
+            if isinstance(into, dict) and not colon and raw != "}":
+                if raw != ":":
+                    raise _Unreadable
+                open_[-1][2] = True
+                continue
+        closing = bool(open_) and raw == ("}" if isinstance(open_[-1][0], dict) else "]")
+        if closing:
+            value = open_.pop()[0]
+        elif raw in ("{", "[") and len(open_) <= MOST_DEPTH:
+            open_.append([{} if raw == "{" else [], None, False])
+            continue
+        elif kind == "text":
+            value = _unescaped(raw[1:-1])
+        elif kind == "number":
+            value = _number(raw)
+        elif kind == "word" and raw in WORDS:
+            value = WORDS[raw]
+        elif not open_:
+            raise _Unreadable
+        else:
+            passing = int(raw in _CLOSES)
+            value = _Unreadable
+        if not open_:
+            return value
+        into, key, _ = open_[-1]
+        if isinstance(into, list):
+            into.append(None if value is _Unreadable else value)
+        elif value is not _Unreadable:
+            into[key] = value
+        open_[-1][1:] = None, False
+    raise _Unreadable
 
 
 def loads(text: str) -> object | None:
@@ -154,5 +133,7 @@ def loads_js(text: str) -> object | None:
     """JSON if it is that, else what can be read of a JavaScript literal."""
     if (strict := loads(text)) is not None:
         return strict
-    got = _Reader(text).value()
-    return None if got is MISSING else got
+    try:
+        return _read(text)
+    except _Unreadable:
+        return None
