@@ -43,11 +43,32 @@ def _absolute(plain: Column, base: Column | None) -> Column:
         origin = F.regexp_extract(base, r"^[a-zA-Z][\w+.-]*://[^/?#]*", 0)
         folder = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
         folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-        relative = ~plain.startswith("http") & (base != "")
-        out = out.when(relative & plain.startswith("/"), F.concat(origin, plain)).when(relative, F.concat(folder, F.regexp_replace(plain, r"^(?:\./)+", "")))
+        relative = ~plain.rlike(r"^[a-zA-Z][\w+.-]*:") & ~plain.startswith("http") & (base != "")
+        joined = (
+            F.when(plain == "", base).when(plain.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), plain)).when(plain.startswith("?"), F.concat(F.regexp_extract(base, "^[^?#]*", 0), plain))
+            .when(plain.startswith("/"), F.concat(origin, plain)).otherwise(F.concat(folder, plain))
+        )
+        out = out.when(relative, let(joined, lambda url: F.when(url.rlike(_DOTS), _without_dots(url)).otherwise(url)))
     return out.otherwise(plain)
 
 
+_DOTS = r"^[^?#]*/\.\.?(?:/|$|[?#])"
+
+
+def _without_dots(url: Column) -> Column:
+    """A URL whose path has no ``.`` and ``..`` segments; what leads above the root is dropped."""
+    origin = F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://[^/?#]*", 0)
+    path, rest = F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"[?#].*$", 0)
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    tail = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(origin, F.lit("/"), F.array_join(kept, "/"), tail, rest)
+
+
 def split_srcset(value: Column) -> Column:
     """The addresses of a ``srcset``-shaped string, or the string itself."""
     many = (F.length(value) - F.length(F.replace(value, F.lit("http"), F.lit("")))) / 4 > 1

@@ -42,8 +42,12 @@ def facets(catalog: DataFrame) -> DataFrame:
 
 def facet_counts(catalog: DataFrame) -> DataFrame:
     """Entries per brand, per category and in all, in one pass over grouping sets."""
-    catalog.createOrReplaceTempView("shelfmark_catalog")
-    return catalog.sparkSession.sql("SELECT brand, category, count(*) AS n FROM shelfmark_catalog GROUP BY GROUPING SETS ((brand), (category), ())")
+    return catalog.sparkSession.sql("SELECT brand, category, count(*) AS n FROM {catalog} GROUP BY GROUPING SETS ((brand), (category), ())", catalog=catalog)
+
+
+def health(catalog: DataFrame) -> DataFrame:
+    """One row: ``status`` and how many ``products`` the catalog has; an empty one is ok with none."""
+    return catalog.agg(F.lit("ok").alias("status"), F.count("*").alias("products"))
 
 
 def root_facet(catalog: DataFrame) -> DataFrame:

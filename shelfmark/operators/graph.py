@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import patterns as P
 from shelfmark.functions.binding import let
 from shelfmark.functions.text import clean_text, collapse, strip, type_name
+from shelfmark.sources.stages import staged
 
 
 def member(key: str | Column, kv: str = "kv") -> Column:
@@ -70,23 +71,21 @@ def reference_edges(nodes: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """``page_id``, ``origin``, ``n``, ``steps``: what is reached over references, each way at most once per path.
+    """``page_id``, ``origin``, ``n``, ``steps``: what is reached over references in at most ``depth`` steps, and in how few.
 
-    A recursive query with the path as an array: a reference is not followed inside itself, and
-    ``depth`` bounds the steps.
+    Level by level: what a level reaches for the first time is the frontier of the next, so that a
+    circle ends and no way is walked twice.  An object does not reach itself.
     """
-    spark = edges.sparkSession
-    edges.select("page_id", F.col("n").alias("src"), F.col("target").alias("dst")).createOrReplaceTempView("shelfmark_reference_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(page_id, origin, n, steps, path) AS (
-            SELECT page_id, src, dst, 1, array(src, dst) FROM shelfmark_reference_edges WHERE src <> dst
-            UNION ALL
-            SELECT r.page_id, r.origin, e.dst, r.steps + 1, concat(r.path, array(e.dst))
-            FROM reach r JOIN shelfmark_reference_edges e ON e.page_id = r.page_id AND e.src = r.n
-            WHERE r.steps < {depth} AND NOT array_contains(r.path, e.dst)
-        )
-        SELECT page_id, origin, n, min(steps) AS steps FROM reach GROUP BY page_id, origin, n
-    """)
+    step = staged(edges.select("page_id", F.col("n").alias("src"), F.col("target").alias("dst")).filter("src <> dst").distinct(), "reference-steps")
+    frontier = step.select("page_id", F.col("src").alias("origin"), F.col("dst").alias("n"), F.lit(1).alias("steps"))
+    reached = frontier
+    for steps in range(2, depth + 1):
+        met = frontier.join(step, (frontier["page_id"] == step["page_id"]) & (frontier["n"] == step["src"])).select(frontier["page_id"], "origin", F.col("dst").alias("n")).filter("n <> origin").distinct()
+        frontier = staged(met.join(reached, ["page_id", "origin", "n"], "left_anti").withColumn("steps", F.lit(steps)), "reference-steps")
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    return reached
 
 
 def graph_breadcrumbs(nodes: DataFrame) -> DataFrame:

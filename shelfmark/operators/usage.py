@@ -47,3 +47,15 @@ def cascade_pick(answers: DataFrame, key: str = "page_id", attempt: str = "attem
 
 def is_defective(how: Column, n_features: Column, evidence_chars: Column, n_indices: Column, n_images: Column) -> Column:
     return how.isin("guessed", "fallback") | ((n_features == 0) & (evidence_chars > 4000)) | ((n_indices == 0) & (n_images > 1))
+
+
+def retry_after(headers: Column) -> Column:
+    """Seconds a provider asks to wait, from a map of response headers (names in any case); null if it says none or no number."""
+    said = F.filter(F.map_entries(headers), lambda e: (F.lower(e["key"]) == "retry-after") & (e["value"] != ""))
+    return F.try_element_at(said, F.lit(1))["value"].try_cast("double")
+
+
+def escalations(answers: DataFrame, key: str = "page_id", attempt: str = "attempt") -> DataFrame:
+    """:func:`cascade_pick` over answers judged here: expects the columns of :func:`is_defective` by name."""
+    judged = answers.withColumn("defective", is_defective(F.col("how"), F.col("n_features"), F.col("evidence_chars"), F.col("n_indices"), F.col("n_images")))
+    return cascade_pick(judged, key, attempt)

@@ -197,7 +197,7 @@ def axis_values_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.axis_values(_part_variants(spark, sf_dir)).select("page_id", F.inline("options")).select("page_id", F.col("name").alias("axis"), F.array_join("values", "|").alias("vals"))
 
 
-_CHOICES = "SELECT l_suppkey AS page_id, 'a' || l_linenumber AS axis, l_linenumber AS axis_ord, l_returnflag AS choice, ascii(l_returnflag) AS choice_ord, 's' || l_partkey % 8 AS sku FROM lineitem WHERE l_linenumber <= 2"
+_CHOICES = "SELECT l_suppkey AS page_id, 'a' || l_linenumber AS axis, l_linenumber AS axis_ord, l_returnflag AS choice, ascii(l_returnflag) AS choice_ord, 's' || l_partkey % 8 AS sku FROM lineitem"
 
 
 @query(
@@ -206,7 +206,7 @@ _CHOICES = "SELECT l_suppkey AS page_id, 'a' || l_linenumber AS axis, l_linenumb
 )
 def sku_set_relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles that have a choice on every axis of their page; others are no variants."""
-    return _divided(read(spark, sf_dir, "lineitem").filter("l_linenumber <= 2"))
+    return _divided(read(spark, sf_dir, "lineitem"))
 
 
 def _divided(items: DataFrame) -> DataFrame:
@@ -216,11 +216,8 @@ def _divided(items: DataFrame) -> DataFrame:
     return found.select("page_id", "sku", F.array_join(F.array_sort(F.transform("options", lambda o: F.concat(o["axis"], F.lit("="), o["value"]))), ",").alias("options"))
 
 
-_ALL_CHOICES = _CHOICES.removesuffix(" WHERE l_linenumber <= 2")
-
-
 @query(
-    f"""WITH c AS ({_ALL_CHOICES}), n AS (SELECT page_id, count(DISTINCT axis) AS n_axes FROM c GROUP BY page_id), s AS (SELECT page_id, sku, axis, arg_max(choice, choice_ord) AS value FROM c GROUP BY page_id, sku, axis)
+    f"""WITH c AS ({_CHOICES}), n AS (SELECT page_id, count(DISTINCT axis) AS n_axes FROM c GROUP BY page_id), s AS (SELECT page_id, sku, axis, arg_max(choice, choice_ord) AS value FROM c GROUP BY page_id, sku, axis)
     SELECT page_id, sku, string_agg(axis || '=' || value, ',' ORDER BY axis) AS options FROM s JOIN n USING (page_id) GROUP BY page_id, sku, n_axes HAVING count(*) = n_axes"""
 )
 def sku_set_all_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,8 +454,13 @@ _ID = "substr(trim(regexp_replace(lower(p_brand || '-' || p_name), '[^a-z0-9]+',
 @query(f"SELECT min(p_partkey) AS ord FROM part WHERE {_ID} = (SELECT {_ID} FROM part WHERE p_partkey = 77) HAVING count(*) > 0")
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _catalog(spark, sf_dir)
-    wanted = rows.filter("ord = 77").select(F.col("id").alias("wanted"))
-    return rows.join(F.broadcast(wanted), F.col("id") == F.col("wanted")).orderBy("ord").limit(1).select("ord")
+    wanted = rows.filter("ord = 77").select("id").first()
+    return catalog.lookup(rows, wanted["id"] if wanted else "").select("ord")
+
+
+@query("SELECT 'ok' AS status, count(*) AS products FROM part")
+def catalog_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.health(_catalog(spark, sf_dir))
 
 
 @query(f"SELECT {_ID} AS id, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -530,6 +532,27 @@ def cascade_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.cascade_pick(answers).select("page_id", "attempt")
 
 
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id % 100 AS DOUBLE) WHEN 1 THEN 1.5 ELSE NULL END AS seconds FROM events")
+def retry_after_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waits that a provider names: in any case of the header, as a number; dates and absent headers give none."""
+    k = F.col("event_id") % 5
+    named = F.when(k == 0, F.create_map(F.lit("retry-after"), (F.col("event_id") % 100).cast("string"))).when(k == 1, F.create_map(F.lit("Retry-After"), F.lit("1.5")))
+    other = F.when(k == 2, F.create_map(F.lit("Retry-After"), F.lit("Wed, 21 Oct 2026 07:28:00 GMT"))).when(k == 3, F.create_map(F.lit("x-request-id"), F.lit("7")))
+    return read(spark, sf_dir, "events").select("event_id", usage.retry_after(F.coalesce(named, other)).alias("seconds"))
+
+
+@query("""WITH a AS (SELECT user_id AS page_id, event_id AS attempt, event_id % 3 = 0 OR (event_id % 5 = 0 AND value > 50) OR (event_id % 7 = 0 AND event_id % 4 > 1) AS bad FROM events)
+    SELECT page_id, coalesce(min(attempt) FILTER (WHERE NOT bad), max(attempt)) AS attempt FROM a GROUP BY page_id""")
+def cascade_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers judged by what they hold; defects go on to the next model, and the last answer stands if none is sound."""
+    answers = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("page_id"), F.col("event_id").alias("attempt"), F.when(F.col("event_id") % 3 == 0, "guessed").otherwise("exact").alias("how"),
+        F.when(F.col("event_id") % 5 == 0, 0).otherwise(3).alias("n_features"), F.when(F.col("value") > 50, 5000).otherwise(4000).alias("evidence_chars"),
+        F.when(F.col("event_id") % 7 == 0, 0).otherwise(1).alias("n_indices"), (F.col("event_id") % 4).alias("n_images"),
+    )
+    return usage.escalations(answers).select("page_id", "attempt")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def ext_tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: events per hour; the streaming form is in shelfmark.streaming."""

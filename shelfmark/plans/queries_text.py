@@ -134,15 +134,18 @@ def currency_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select("n_nationkey", M.currency_of(F.element_at(tokens, (F.col("n_nationkey") % 8 + 1).cast("int"))).alias("currency"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(replace(regexp_replace('<b class=x>' || substr(text,1,300) || '</b> &amp; more','<[^>]+>',' ','g'),'&amp;','&'),'[\s]+',' ','g'))) AS cleaned FROM documents")
+_CLEANED = r"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace('<b class=x>' || text || '</b> &amp; more','<[^>]+>',' ','g'),'&quot;','"'),'&lt;','<'),'&gt;','>'),'&copy;','©'),'&middot;','·'),'&amp;','&'),'[\s]+',' ','g'))) AS cleaned FROM documents"""
+
+
+@query(_CLEANED)
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dirty = F.concat(F.lit("<b class=x>"), F.substring("text", 1, 300), F.lit("</b> &amp; more"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(dirty)).alias("cleaned"))
+    """Whole documents cleaned of tags, references and white space."""
+    return clean_text_whole(spark, sf_dir)
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace('<b class=x>' || text || '</b> &amp; more','<[^>]+>',' ','g'),'&quot;','"'),'&lt;','<'),'&gt;','>'),'&copy;','©'),'&middot;','·'),'&amp;','&'),'[\s]+',' ','g'))) AS cleaned FROM documents""")
+@query(_CLEANED)
 def clean_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents cleaned; ``clean_text`` reads their first 300 characters only."""
+    """The same under its older name."""
     dirty = F.concat(F.lit("<b class=x>"), F.col("text"), F.lit("</b> &amp; more"))
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(dirty)).alias("cleaned"))
 
@@ -185,6 +188,21 @@ def asset_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", U.asset_boundary(path).alias("boundary"), U.container_of(path).alias("container"), U.ladder_rank(path).cast("long").alias("rung"))
 
 
+_LINKS = ("x.jpg", "./x.jpg", "../x.jpg", "../../../x.jpg", "/r/x.jpg", "?v=2", "#top", "//cdn.x/i.jpg", "https://cdn.x/i.jpg", "a/./b/../x.jpg", "data:image/gif;base64,R0", " x.jpg ")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, 'https://h.x/s' || p_partkey || '/c/d.html?q=1' AS base FROM part)
+    SELECT p_partkey, CASE p_partkey % 12 WHEN 2 THEN 'https://h.x/s' || p_partkey || '/x.jpg' WHEN 3 THEN 'https://h.x/x.jpg' WHEN 4 THEN 'https://h.x/r/x.jpg' WHEN 5 THEN 'https://h.x/s' || p_partkey || '/c/d.html?v=2' WHEN 6 THEN base || '#top'
+    WHEN 7 THEN 'https://cdn.x/i.jpg' WHEN 8 THEN 'https://cdn.x/i.jpg' WHEN 9 THEN 'https://h.x/s' || p_partkey || '/c/a/x.jpg' WHEN 10 THEN 'data:image/gif;base64,R0' ELSE 'https://h.x/s' || p_partkey || '/c/x.jpg' END AS url FROM p"""
+)
+def absolute_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative addresses of all kinds against a page's own address."""
+    base = F.concat(F.lit("https://h.x/s"), F.col("p_partkey").cast("string"), F.lit("/c/d.html?q=1"))
+    link = F.element_at(F.array(*[F.lit(x) for x in _LINKS]), (F.col("p_partkey") % len(_LINKS) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", U.absolute(link, base).alias("url"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))

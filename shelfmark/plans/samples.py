@@ -38,6 +38,31 @@ GALLERY = """<html><head><title>Field Bag</title><link rel="preload" as="image"
 <div class="gallery"><img data-src="https://cdn.example.com/img/bag-1_600x600.jpg" src="data:image/gif;base64,R0lGOD"><img srcset="https://cdn.example.com/img/bag-2_300x300.jpg 300w, https://cdn.example.com/img/bag-2_1200x1200.jpg 1200w"></div>
 <video src="https://cdn.example.com/v/bag.mp4"></video><div class="related-products"><img src="https://cdn.example.com/img/other.jpg"><span class="price">$9</span></div><p class="price">$140.00</p><p>Buy now</p></main></body></html>"""
 
+# --- Pages of application frameworks: one carrier each. ---
+CALLED = """<html><head><title>Oak Shelf | Plankworks</title></head><body><h1>Oak Shelf</h1><script>window.__STATE__=(function(a,b){return {product:{name:"Oak Shelf",brand:a,price:75,currency:"EUR",sku:"OS1",description:"One board of oak, two pins.",image:"https://cdn.example.com/img/shelf.jpg"},later:b}}("x",1));</script></body></html>"""
+
+PARSED = r"""<html><head><title>Tin Mug</title></head><body><h1>Tin Mug</h1><script>var d = JSON.parse('{"product":{"name":"Tin Mug","brand":"Campfire","price":"9.50","currency":"USD","sku":"TM","description":"Enamelled, chips with grace.","image":"https://cdn.example.com/img/mug.jpg"}}');</script></body></html>"""
+
+PROPS = """<html><head><title>Felt Hat</title></head><body><h1>Felt Hat</h1><div data-product='{"name":"Felt Hat","brand":"Brim","price":44,"currency":"GBP","sku":"FH","description":"Blocked by steam.","image":"https://cdn.example.com/img/hat.jpg"}'></div>
+<div data-more="{&quot;note&quot;:&quot;entity escaped&quot;}"></div></body></html>"""
+
+FLIGHT = r"""<html><head><title>Rope Mat</title></head><body><h1>Rope Mat</h1><script>self.__f=self.__f||[];self.__f.push([1,"4:[\"$\",\"div\",null,{\"product\":{\"name\":\"Rope Mat\",\"brand\":{\"name\":\"Quay\"},\"sku\":\"RM\",\"description\":\"Spliced from old line.\",\"offers\":{\"price\":\"30.00\",\"priceCurrency\":\"USD\"},\"image\":[\"https://cdn.example.com/img/mat.jpg\"]}}]"])</script></body></html>"""
+
+RDFA = """<html><head><title>Salt Jar</title></head><body><div vocab="http://schema.org/" typeof="Product"><h1 property="name">Salt Jar</h1><span property="brand">Saltern</span><p property="description">Cork lid, no glaze inside.</p><img property="image" src="https://cdn.example.com/img/jar.jpg">
+<div property="offers" typeof="Offer"><meta property="priceCurrency" content="EUR"><span property="price" content="18.00">18 euros</span></div></div></body></html>"""
+
+NORMALISED = """<html><head><title>Reed Basket</title></head><body><h1>Reed Basket</h1><script type="application/json">{"Product:77":{"id":"Product:77","name":"Reed Basket","brand":{"__ref":"Brand:5"},"price":"52.00","currency":"USD","sku":"RB","mediaId":"Media:9","description":"Woven tight enough for seed."},
+"Brand:5":{"id":"Brand:5","name":"Marsh & Co","best":{"__ref":"Product:77"}},"Media:9":{"id":"Media:9","url":"https://cdn.example.com/img/basket.jpg"}}</script></body></html>"""
+
+ROWS = """<html><head><title>Trail Sock</title><link rel="canonical" href="https://shop.example.com/p/trail-sock-88"></head><body><h1>Trail Sock</h1><script type="application/json">{"product":{"name":"Trail Sock","brand":"Footpath","price":"14.00","currency":"USD","sku":"TS88","description":"Ribbed merino, knitted double at heel and toe.",
+"images":["https://cdn.example.com/img/trail-sock-88-a.jpg","https://cdn.example.com/img/trail-sock-88-b.jpg"],"media":{"mediaType":"VIDEO","url":"https://clips.example.com/v/trail-sock-88.mp4"},
+"skus":[{"sku":"88-1","selectedOptions":[{"name":"Size","value":"S"},{"name":"Color","value":"Moss"}],"price":"14.00","currency":"USD","image":{"url":"https://cdn.example.com/img/moss.jpg"},"available":true},
+{"sku":"88-2","attributes":{"Size":"M","Color":"Clay"},"price":"15.00","currency":"USD","image":{"url":"https://cdn.example.com/img/clay.jpg"},"quantity":0}]}}</script></body></html>"""
+
+#: A page of many JSON islands.
+ISLANDS = "<html><head><title>Bolt Set</title></head><body><h1>Bolt Set</h1>" + "".join(f'<script type="application/json">{{"part":{{"name":"Bolt {i}","image":"https://cdn.example.com/img/bolt-{i}.jpg"}}}}</script>' for i in range(200)) + "</body></html>"
+
+FRAMEWORK_PAGES = {21: CALLED, 22: PARSED, 23: PROPS, 24: FLIGHT, 25: RDFA, 26: NORMALISED, 27: ROWS, 28: ISLANDS}
 PAGES = {1: LD_JSON, 2: SELLERS, 3: STATE, 4: MICRODATA, 5: ANSWERS, 6: NO_PRICE, 7: SHELL, 8: GALLERY}
 CATEGORIES = ("Furniture > Chairs > Stools", "Furniture > Tables > Dining Tables", "Outdoor > Lighting > Head Lamps", "Apparel > Hats > Caps", "Apparel > Coats > Rain Coats", "Kitchen > Serving > Jugs", "Apparel > Bags > Field Bags")
 
@@ -46,5 +71,9 @@ def sample_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, f"page-{i}.html", h) for i, h in PAGES.items()], "page_id long, source string, html string")
 
 
+def framework_pages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, f"page-{i}.html", h) for i, h in FRAMEWORK_PAGES.items()], "page_id long, source string, html string")
+
+
 def sample_taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, i) for i, p in enumerate(CATEGORIES)], "path string, ord int")
