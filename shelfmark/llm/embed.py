@@ -1,21 +1,26 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-Unit vectors are rotated at random several times and reduced to sign bits.  With ``o`` the unit
-vector, ``s`` its sign vector scaled to unit length and ``c = <s, o>`` (both made anew in every block pair),
-``<s, q> / c`` is an unbiased estimate of ``<o, q>`` over rotations, with the error bound
+Unit vectors are rotated at random several times and reduced to sign bits, once per distinct vector
+and into a stored table.  With ``o`` the unit vector, ``s`` its sign vector scaled to unit length and
+``c = <s, o>``, the correction factor stored beside the code, ``<s, q> / c`` is an unbiased estimate
+of ``<o, q>`` over rotations, with the error bound
 
     |estimate - <o, q>|  <=  sqrt(1 - <o, q>^2) * sqrt(1 - c^2) / c
 
 for every rotation (``s = c o + sqrt(1 - c^2) e`` with ``e`` a unit vector at right angles to ``o``).
-A pair is ruled out if for any rotation the estimate lies below the smallest that the bound leaves to
-a cosine at the threshold, so that no link is lost to the codes; other pairs are recomputed exactly
-in double precision.
+``q`` is stored in 8 bits a component with the length of what rounding took away, which is added to
+the bound.  A pair is ruled out if for any rotation the estimate lies below the smallest that the
+bound leaves to a cosine at the threshold, so that no link is lost to the codes.  Blocks meet by
+their codes alone; full vectors are fetched only for the vectors of a block that some pair is left
+open for, and these are recomputed in double precision.  (Sums over code bits are products of
+unpacked signs, not population counts: numpy multiplies faster than it counts bits.)
 
 Candidates.  Vectors of one label are compared block against block.  Where labels are large, each
 label is first divided by some bits of one rotation, in several independent tables: how many bits
 and tables follows from the label sizes by cost, with enough tables that a pair at the threshold is
 missed with a probability below ``MISS`` (with 0 bits, the outcome for labels below some ten
-thousand vectors, nothing can be missed).  A pair met in several tables counts in the first.
+thousand vectors, nothing can be missed; ``exact`` asks for that at every size).  A pair met in
+several tables counts in the first.
 
 Blocks hold a bounded number of vectors whatever a label or a group of copies holds.  They return
 one row per vector and block pair (links seen, and one linked vector by which components grow),
@@ -32,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, table
+from shelfmark.llm.common import materialise, prepare, table
 from shelfmark.llm.components import connected_components
 
 LINK_AT = 0.98
@@ -76,21 +81,41 @@ def lowest_estimate(c: np.ndarray, threshold: float) -> np.ndarray:
     return threshold - math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(0, 1 - c**2)) / c
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float, rotations: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions of the pairs of rows with cosine >= ``threshold``, and how many were recomputed.
+def encode(unit: np.ndarray) -> dict[str, np.ndarray]:
+    """Codes and query forms of unit vectors, a row for each vector and a part for each rotation.
 
-    ``x`` and ``y`` hold unit vectors in double precision.
+    ``code`` packed signs, ``c`` their correction factor, ``query`` rotated components as 8-bit
+    integers times ``scale``, ``slack`` the length of the rounding error.
     """
-    open_ = None
-    for r in rotations:
-        turned = (y @ r).astype(np.float32)
-        signs = np.where(turned >= 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(y.shape[1]))
-        c = (turned * signs).sum(axis=1)
-        estimate = ((x @ r).astype(np.float32) @ signs.T) / c
+    n, dim = unit.shape
+    out = {"code": np.zeros((n, ROTATIONS, (dim + 7) // 8), np.uint8), "query": np.zeros((n, ROTATIONS, dim), np.int8)} | {f: np.zeros((n, ROTATIONS)) for f in ("c", "scale", "slack")}
+    for k in range(ROTATIONS):
+        turned = unit @ rotation(dim, k)
+        out["code"][:, k] = np.packbits(turned >= 0, axis=1)
+        out["c"][:, k] = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+        scale = np.abs(turned).max(axis=1) / 127
+        whole = np.rint(turned / scale[:, None])
+        out["query"][:, k], out["scale"][:, k], out["slack"][:, k] = whole, scale, np.sqrt(((turned - whole * scale[:, None]) ** 2).sum(axis=1))
+    return out
+
+
+def open_pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray], dim: int, threshold: float) -> np.ndarray:
+    """Which pairs of a query form of ``x`` and a code of ``y`` the bound does not rule out."""
+    left = None
+    for k in range(ROTATIONS):
+        signs = np.unpackbits(y["code"][:, k], axis=1)[:, :dim].astype(np.float32) * 2 - 1
+        product = x["query"][:, k].astype(np.float32) @ signs.T
+        c = y["c"][:, k]
         # 1e-4 covers single precision.
-        fits = estimate >= (lowest_estimate(c.astype(np.float64), threshold) - 1e-4).astype(np.float32)
-        open_ = fits if open_ is None else open_ & fits
-    i, j = np.nonzero(open_)
+        least = c * (lowest_estimate(c, threshold) - 1e-4)
+        fits = product * (x["scale"][:, k] / math.sqrt(dim))[:, None].astype(np.float32) + x["slack"][:, k][:, None].astype(np.float32) >= least[None, :].astype(np.float32)
+        left = fits if left is None else left & fits
+    return left
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions of the pairs of unit vectors with cosine >= ``threshold``, and how many the codes left open."""
+    i, j = np.nonzero(open_pairs(encode(x), encode(y), x.shape[1], threshold))
     hit = np.einsum("ij,ij->i", x[i], y[j]) >= threshold if len(i) else np.zeros(0, bool)
     return i[hit], j[hit], len(i)
 
@@ -138,25 +163,67 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+CODED = "node long, mark long, code binary, query binary, c array<double>, scale array<double>, slack array<double>"
+
+
+def _code_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for _, same in batch.groupby(batch["embedding"].str.len()):
+            got = encode(_unit(same["embedding"]))
+            packed = {f: [v.tobytes() for v in got[f]] for f in ("code", "query")}
+            yield pd.DataFrame({"node": same["node"].to_numpy(), "mark": same["mark"].to_numpy(), **packed, **{f: list(got[f]) for f in ("c", "scale", "slack")}})
+
+
+def _halves(half: np.ndarray, one_block: bool) -> tuple[np.ndarray, np.ndarray]:
+    left = np.arange(len(half)) if one_block else np.flatnonzero(half == 0)
+    return left, left if one_block else np.flatnonzero(half == 1)
+
+
+KEYS = ["label", "dim", "number", "key", "b1", "b2"]
+KEY_TYPES = "label string, dim int, number int, key long, b1 int, b2 int"
+
+
+def _screen(threshold: float):
+    def run(key: tuple, unit: pd.DataFrame) -> pd.DataFrame:
+        """The vectors of a block pair that some pair is left open for."""
+        dim = int(key[1])
+        own = bool(unit["one_block"].iloc[0])
+        coded = {f: np.array(unit[f].tolist(), float).reshape(len(unit), ROTATIONS) for f in ("c", "scale", "slack")}
+        coded["code"] = np.frombuffer(b"".join(unit["code"]), np.uint8).reshape(len(unit), ROTATIONS, -1)
+        coded["query"] = np.frombuffer(b"".join(unit["query"]), np.int8).reshape(len(unit), ROTATIONS, dim)
+        left, right = _halves(unit["half"].to_numpy(), own)
+        met = np.zeros(len(unit), bool)
+        for a in range(0, len(left), BLOCK):
+            for b in range(0, len(right), BLOCK):
+                some, other = left[a : a + BLOCK], right[b : b + BLOCK]
+                fits = open_pairs({f: v[some] for f, v in coded.items()}, {f: v[other] for f, v in coded.items()}, dim, threshold)
+                if own:
+                    fits &= some[:, None] != other[None, :]
+                met[some] |= fits.any(axis=1)
+                met[other] |= fits.any(axis=0)
+        kept = unit.loc[met, ["half", "one_block", "node", "mark"]]
+        return kept.assign(**dict(zip(KEYS, key, strict=True)))[[*KEYS, "half", "one_block", "node", "mark"]]
+
+    return run
+
+
 def _compare(threshold: float):
     def run(unit: pd.DataFrame) -> pd.DataFrame:
-        """One block pair: ``half`` tells the two blocks apart (both 0 for a block against itself)."""
+        """One block pair, exactly: ``half`` tells the two blocks apart (both 0 for a block against itself)."""
         none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("node", "mark", "links", "other")})
         unit = unit.sort_values(["half", "node", "mark"])
-        node, times, half = unit["node"].to_numpy(), unit["times"].to_numpy(), unit["half"].to_numpy()
-        vectors, cells = _unit(unit["embedding"]), np.array(unit["cell"].tolist(), np.int64)
-        turns = [rotation(vectors.shape[1], k) for k in range(ROTATIONS)]
-        own = bool((half == 0).all()) and int(unit["one_block"].iloc[0])
-        left = np.arange(len(unit)) if own else np.flatnonzero(half == 0)
-        right = left if own else np.flatnonzero(half == 1)
+        node, times = unit["node"].to_numpy(), unit["times"].to_numpy()
+        vectors, cells, number = _unit(unit["embedding"]), np.array(unit["cell"].tolist(), np.int64), int(unit["number"].iloc[0])
+        own = bool(unit["one_block"].iloc[0])
+        left, right = _halves(unit["half"].to_numpy(), own)
         found_i, found_j = [], []
         for a in range(0, len(left), BLOCK):
             for b in range(0, len(right), BLOCK):
-                i, j, _ = linked(vectors[left[a : a + BLOCK]], vectors[right[b : b + BLOCK]], threshold, turns)
+                i, j = np.nonzero(vectors[left[a : a + BLOCK]] @ vectors[right[b : b + BLOCK]].T >= threshold - 1e-9)
                 i, j = left[a + i], right[b + j]
                 keep = i < j if own else np.ones(len(i), bool)
+                keep &= np.einsum("ij,ij->i", vectors[i], vectors[j]) >= threshold
                 i, j = i[keep], j[keep]
-                number = int(unit["number"].iloc[0])
                 if number and len(i):  # met in an earlier table already
                     new = ~(cells[i, :number] == cells[j, :number]).any(axis=1)
                     i, j = i[new], j[new]
@@ -173,52 +240,61 @@ def _compare(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = LINK_AT) -> DataFrame:
-    """``id``, ``n_links``, ``component_id``, ``kept`` per row of ``vectors``.
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = LINK_AT, exact: bool = False) -> DataFrame:
+    """``id``, ``n_links``, ``component_id``, ``kept`` per row of ``vectors``; other columns are ignored, whatever their names.
 
     Only vectors of the same label (not null) and dimension are compared, by cosine in double
     precision.  Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing.  Equal vectors of a label are one vertex for the search and count as one link each to
     one another.  Rows that repeat an id count as vectors of their own but are one vertex of a
-    component; a vector of null id links but names no component.
+    component; a vector of null id links but names no component.  An empty table gives an empty
+    result.  ``exact`` compares all vectors of a label at every size, instead of dividing large
+    labels into tables that miss a pair at the threshold with a chance below ``MISS``.
     """
+    prepare(vectors.sparkSession)
     v = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
     sound = F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    # -0.0 and 0.0 are one value to the cosine, and to the key.
-    rows = materialise(rows.withColumn("embedding", F.when(F.coalesce(sound, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0)))), "vectors")
-    classes = rows.filter("embedding is not null").groupBy("label", "embedding").agg(F.min("id").alias("least"), F.count("*").alias("times"))
-    # Vertices are numbered by hash and smallest id, so that a rerun of a task numbers them alike.
-    node = F.coalesce(F.col("least"), -1 - F.abs(F.xxhash64("label", "embedding") % (1 << 62)))
-    # Classes of one smallest id (repeated ids) share a vertex; the mark tells their links apart.
-    classes = materialise(classes.select("label", "embedding", "least", "times", node.alias("node"), F.xxhash64("label", "embedding").alias("mark")), "vector-classes")
-    largest = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = choose_bits(largest, threshold)
+    # -0.0 and 0.0 are one value to the cosine, and to the key; a key has 128 bits.
+    rows = rows.withColumn("embedding", F.when(F.coalesce(sound, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0))))
+    rows = materialise(rows.withColumns({f"k{i}": F.when(v.isNotNull(), F.xxhash64(F.lit(i), "label", "embedding")) for i in (1, 2)}), "vectors")
+    classes = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("id").alias("least"), F.count("*").alias("times"))
+    # Vertices are numbered by smallest id (or hash), so that a rerun of a task numbers them alike; classes
+    # of one smallest id (repeated ids) share a vertex, and the mark tells their links apart.
+    node = F.coalesce(F.col("least"), -1 - F.abs(F.col("k1") % (1 << 62)))
+    classes = materialise(classes.select("k1", "k2", "label", "embedding", "least", "times", node.alias("node"), F.col("k1").alias("mark")), "vector-classes")
+    bits = 0
+    if not exact:
+        largest = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        bits = choose_bits(largest, threshold)
     n_tables = tables_for(bits, threshold)
     if bits:
         celled = classes.select("node", "mark", "embedding").mapInPandas(_bucket_batches(bits, n_tables), "node long, mark long, cell array<long>")
         classes = materialise(classes.join(celled, ["node", "mark"]), "vector-cells")
     else:
         classes = classes.withColumn("cell", F.array(F.lit(0).cast("long")))
-    spread = classes.select("node", "label", F.size("embedding").alias("dim"), F.posexplode("cell").alias("number", "key"))
-    sizes = spread.groupBy("label", "dim", "number", "key").agg(F.count("*").alias("size")).filter("size > 1 ")
-    wide = classes.select("node", "mark", "times", "label", "embedding", F.size("embedding").alias("dim"), "cell", F.posexplode("cell").alias("number", "key"))
-    placed = wide.join(sizes, ["label", "dim", "number", "key"]).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    codes = classes.select("node", "mark", "embedding").mapInPandas(_code_batches, CODED)
+    narrow = classes.select("node", "mark", "label", F.size("embedding").alias("dim"), "cell")
+    coded = materialise(narrow.join(codes, ["node", "mark"]), "vector-codes")
+    spread = coded.select("*", F.posexplode("cell").alias("number", "key")).drop("cell")
+    sizes = spread.groupBy("label", "dim", "number", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    placed = spread.join(sizes, ["label", "dim", "number", "key"]).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("mark", F.lit(SEED)), F.col("n_blocks")).cast("int"))
-    # A row goes to every pair of blocks that holds its own: as many copies as its bucket has blocks.
+    # A code goes to every pair of blocks that holds its own: as many copies as its bucket has blocks.
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     pairs = pairs.withColumn("b1", F.least("block", "with")).withColumn("b2", F.greatest("block", "with")).withColumn("half", F.when(F.col("block") == F.col("b1"), 0).otherwise(1))
     pairs = pairs.withColumn("one_block", (F.col("b1") == F.col("b2")).cast("int"))
-    keys = ["label", "dim", "number", "key", "b1", "b2"]
-    seen = pairs.select(*keys, "half", "one_block", "node", "mark", "times", "embedding", "cell").groupBy(*keys).applyInPandas(_compare(threshold), "node long, mark long, links long, other long")
+    screened = pairs.select(*KEYS, "half", "one_block", "node", "mark", "code", "query", "c", "scale", "slack").groupBy(*KEYS).applyInPandas(_screen(threshold), f"{KEY_TYPES}, half int, one_block int, node long, mark long")
+    left = materialise(screened, "vector-open").join(classes.select("node", "mark", "times", "embedding", "cell"), ["node", "mark"])
+    seen = left.groupBy(*KEYS).applyInPandas(_compare(threshold), "node long, mark long, links long, other long")
     seen = materialise(seen, "vector-links")
     links = seen.groupBy("node", "mark").agg(F.sum("links").alias("links"))
     roots = connected_components(seen.select("node", "other"), "node", "other").withColumnRenamed("node", "vertex")
-    known = classes.select("label", "embedding", "times", "least", "node", "mark").join(links, ["node", "mark"], "left").join(roots, F.col("node") == F.col("vertex"), "left")
+    known = classes.select("k1", "k2", "times", "least", "node", "mark").join(links, ["node", "mark"], "left").join(roots, F.col("node") == F.col("vertex"), "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(names, "root").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
-    found = rows.join(known, ["label", "embedding"], "left")
+    known = known.join(names, "root").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
+    found = rows.select("id", "k1", "k2").join(known, ["k1", "k2"], "left")
     component = F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return found.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
@@ -227,7 +303,6 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
-
 #: All pairs of a label, for DuckDB; components by walking links from every vector.
 ORACLE_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),

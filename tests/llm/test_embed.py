@@ -101,10 +101,29 @@ def test_most_pairs_need_no_exact_computation():
     rng = np.random.default_rng(5)
     v = rng.standard_normal((500, 64))
     v /= np.linalg.norm(v, axis=1)[:, None]
-    _, _, exact = E.linked(v, v, 0.98, [E.rotation(64, k) for k in range(2)])
+    _, _, exact = E.linked(v, v, 0.98)
     assert exact < 0.02 * 500 * 500
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 7, 64])
+def test_codes_rule_out_no_link(dim):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((60, dim))
+    x[:5] = np.eye(dim)[rng.integers(dim, size=5)]
+    v = np.concatenate([x + rng.standard_normal((60, dim)) * s for s in (0.0, 0.01, 0.05, 0.1, 0.2)])
+    v = v[(v != 0).any(axis=1)]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    i, j, _ = E.linked(v, v, 0.98)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(len(v)) for b in range(len(v)) if float(v[a] @ v[b]) >= 0.98}
+
+
+def test_exact_mode_and_tables_agree(spark, monkeypatch):
+    rows = spark.createDataFrame([(*r, 1, "x") for r in _vectors(6, 250)], SCHEMA)
+    exact = sorted(map(tuple, E.near_vectors(rows, exact=True).collect()))
+    monkeypatch.setattr(E, "choose_bits", lambda *a: 4)
+    assert exact == sorted(map(tuple, E.near_vectors(rows).collect()))
+
+
 def test_plan_grows_slower_than_pairs():
     assert E.choose_bits(5000) == 0 and E.choose_bits(10**8) > 8
     for bits in (1, 8, 20):
