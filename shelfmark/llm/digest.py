@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, table
+from shelfmark.llm.common import materialise, prepare, table
 
 BUCKETS = 128
 WINDOW = 5
@@ -166,8 +166,10 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts are in order of descending id (null ids last; equal ids by the hash of the text); after
     the last comes the first.  The texts are range-partitioned once and each range is walked in
     order; only the two texts at the ends of each range meet in a second, small step.  Null texts
-    are empty.  A single row follows itself; an empty table gives an empty result.
+    are empty.  A single row follows itself; an empty table gives an empty result.  Texts are
+    read whole, in bounded steps; other columns are ignored, whatever their names.
     """
+    prepare(docs.sparkSession)
     tie = F.xxhash64("text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

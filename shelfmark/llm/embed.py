@@ -163,15 +163,16 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-CODED = "node long, mark long, code binary, query binary, c array<double>, scale array<double>, slack array<double>"
+CODED = "node long, mark long, label string, dim int, cell array<long>, code binary, query binary, c array<double>, scale array<double>, slack array<double>"
 
 
 def _code_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for _, same in batch.groupby(batch["embedding"].str.len()):
+        for dim, same in batch.groupby(batch["embedding"].str.len()):
             got = encode(_unit(same["embedding"]))
+            told = {f: same[f].to_numpy() for f in ("node", "mark", "label")} | {"dim": int(dim), "cell": list(same["cell"])}
             packed = {f: [v.tobytes() for v in got[f]] for f in ("code", "query")}
-            yield pd.DataFrame({"node": same["node"].to_numpy(), "mark": same["mark"].to_numpy(), **packed, **{f: list(got[f]) for f in ("c", "scale", "slack")}})
+            yield pd.DataFrame({**told, **packed, **{f: list(got[f]) for f in ("c", "scale", "slack")}})
 
 
 def _halves(half: np.ndarray, one_block: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -273,9 +274,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         classes = materialise(classes.join(celled, ["node", "mark"]), "vector-cells")
     else:
         classes = classes.withColumn("cell", F.array(F.lit(0).cast("long")))
-    codes = classes.select("node", "mark", "embedding").mapInPandas(_code_batches, CODED)
-    narrow = classes.select("node", "mark", "label", F.size("embedding").alias("dim"), "cell")
-    coded = materialise(narrow.join(codes, ["node", "mark"]), "vector-codes")
+    coded = materialise(classes.select("node", "mark", "label", "cell", "embedding").mapInPandas(_code_batches, CODED), "vector-codes")
     spread = coded.select("*", F.posexplode("cell").alias("number", "key")).drop("cell")
     sizes = spread.groupBy("label", "dim", "number", "key").agg(F.count("*").alias("size")).filter("size > 1")
     placed = spread.join(sizes, ["label", "dim", "number", "key"]).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, table
+from shelfmark.llm.common import materialise, prepare, table
 from shelfmark.llm.tokens import default_tokenizer, encoder
 
 MAX_TOKENS = 2048
@@ -60,8 +60,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     """``id``, ``piece``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit) per piece.
 
     A null text counts as empty and is the single id ``end_id``; every row of ``docs`` gives at
-    least one piece.
+    least one piece.  Texts are cut whole, however long; other columns are ignored.
     """
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_piece_batches(tokenizer or default_tokenizer(), max_tokens, end_id), "id long, piece int, start long, length long, ids binary")
 
@@ -117,30 +118,30 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 def place(parts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``; ``parts`` needs ``id``, ``piece``, ``length``.
 
-    ``parts`` is read twice and should be a table, not a computation.  Other columns are kept.
-    Equal pieces (repeated rows) take different places.  An empty table gives an empty result.
+    ``parts`` is read twice and should be a table, not a computation.  Other columns are kept,
+    whatever their names, but for older ``sequence_id`` and ``offset``, which are replaced.  Equal
+    pieces (repeated rows) take different places; null ids are like any other.  An empty table gives
+    an empty result.
     """
     spark = parts.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length, max_tokens at most
     rows = plan(counts, max_tokens)
-    if len(rows) > 8 * max_tokens:
-        raise RuntimeError("the plan is larger than its bound")
     places = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "length long, lo long, hi long, first long, per long, at long")
+    if len(rows) <= 8 * max_tokens:
+        places = F.broadcast(places)
     shares = spark.createDataFrame([(n, math.ceil(c / RANKED_TOGETHER)) for n, c in counts.items()] or [(0, 1)], "length long, shares int")
-    salted = parts.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("id", "piece"), F.col("shares")).cast("int")).drop("shares")
+    kept = [c for c in parts.columns if c.lower() not in ("sequence_id", "offset")]
+    wrapped = parts.select(F.col("id"), F.col("piece"), F.col("length").cast("long").alias("length"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    # Rows that repeat an id, or have none, are dealt by all they hold.
+    salted = wrapped.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("id", "piece", *[F.col(f"row.`{c}`") for c, kind in parts.select(*[F.col(f"`{c}`") for c in kept]).dtypes if "map<" not in kind]), F.col("shares")).cast("int")).drop("shares")
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy("length", "share").agg(F.count("*").alias("n")).select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "share").orderBy("id", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(sums, ["length", "share"]).withColumn("rank", F.col("rank") + F.col("before"))
     fits = (ranked["length"] == places["length"]) & (ranked["rank"] >= places["lo"]) & (ranked["rank"] < places["hi"])
     step = F.col("rank") - F.col("lo")
-    return (
-        ranked.join(F.broadcast(places), fits)
-        .drop(places["length"])
-        .withColumn("sequence_id", F.col("first") + F.floor(step / F.col("per")))
-        .withColumn("offset", F.col("at") + step % F.col("per") * F.col("length"))
-        .drop("share", "before", "rank", "lo", "hi", "first", "per", "at")
-    )
+    sequence, offset = F.col("first") + F.floor(step / F.col("per")), F.col("at") + step % F.col("per") * ranked["length"]
+    return ranked.join(places, fits).select("row.*", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, scratch_path, table, words_in
+from shelfmark.llm.common import materialise, prepare, scratch_path, table, words_in
 from shelfmark.llm.tokens import default_tokenizer, encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -56,7 +56,7 @@ class Rollup:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def commit(self, name: str, *changes: DataFrame) -> bool:
-        """Enter a batch; False, and nothing changed, if the name was committed before.
+        """Enter a batch; False, and nothing changed, if the name was committed before, whatever it holds now.
 
         The deltas are complete (Spark's ``_SUCCESS``) before the commit row is written, and only
         batches with a commit row count.
@@ -98,8 +98,10 @@ def _count_batches(path: str):
 def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """``id``, ``source``, ``lang``, ``n_chars``, ``n_words``, ``n_tokens`` per row; null texts count 0.
 
-    Null sources and languages are keys of their own.
+    Null sources and languages are keys of their own.  Texts are read whole; repeated rows count
+    each; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),

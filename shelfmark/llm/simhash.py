@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import free_name, materialise, table
+from shelfmark.llm.common import free_name, materialise, prepare, table
 from shelfmark.llm.components import connected_components
 
 MAX_BITS = 3
@@ -67,6 +67,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``fp`` (the 64 bits as a signed long) per row; a null text counts as empty."""
+    prepare(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches, "id long, fp long")
 
 
@@ -163,7 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id reachable over links.  Null and word-free texts have fingerprint 0 and link like others.
     Rows that repeat an id are all returned; null ids are ignored in the minimum, and a component
     of null ids alone has a null ``component_id``.  Copies are linked through their common
-    fingerprint and never paired.
+    fingerprint and never paired.  Texts are read whole; other columns are ignored; an empty table
+    gives an empty result.
     """
     rows = materialise(fingerprints(docs, id_col, text_col), "simhash")
     distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
@@ -178,7 +180,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` less near duplicates: of each component the row with the smallest id.
 
     Rows without an id are kept, as nothing names them; of rows that repeat the smallest id one
-    stays.
+    stays.  Other columns are kept, whatever their names; an empty table stays empty.
     """
     found = near_duplicates(docs, id_col, text_col).filter("id is not null")
     named = found.groupBy("id").agg(F.min("component_id").alias("component"), F.count("*").alias("n"))

@@ -67,7 +67,8 @@ def templates(paths: DataFrame) -> DataFrame:
     A path without segments has the template ``/``.  Every segment is judged, however deep; a path
     alone in its node takes the rest of its segments as they are, as level by level it would.
     """
-    parts = F.filter(F.split("path", "/"), lambda s: s != "")
+    # Segments that look like wildcards are literal and get a backslash before them.
+    parts = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"^\\*[*+]$"), F.concat(F.lit("\\"), s)).otherwise(s))
     start = paths.select("host", "path", "n", "allowed", "blocked", parts.alias("left"), F.lit("").alias("template"))
     tree = materialise(start, "url-tree")
     more = F.size("left") > 0
@@ -98,7 +99,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """``id``, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``purity`` per row of ``pages``.
 
     ``purity`` is the template's smoothed share of blocked pages among its labelled ones.  URLs that
-    are null or have no ``://`` form the host ``''``.  Repeated rows are returned each.
+    are null or have no ``://`` form the host ``''``; null ids are like any other.  Repeated rows are
+    returned each and count each.  Paths are judged whole, however long.  Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     found = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, scratch_path, table
+from shelfmark.llm.common import materialise, prepare, scratch_path, table
 
 STEP = 1 << 16
 LEAST_REVISIT = 1000
@@ -47,6 +47,37 @@ def digest_of(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block, usedforsecurity=False).digest()).decode()
 
 
+def _matches(said: str, block: bytes) -> bool:
+    """Whether a digest header fits; one by an algorithm that is not known here is not judged."""
+    name, _, value = said.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return True
+    raw = hashlib.new(name, block, usedforsecurity=False).digest()
+    return value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=") or value.lower() == raw.hex()
+
+
+def _sha1_hex(said: str | None) -> str | None:
+    """A SHA-1 digest header as bare hexadecimal; null for other algorithms."""
+    name, _, value = (said or "").partition(":")
+    if name.lower().replace("-", "") != "sha1":
+        return None
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+def _headers(raw: bytes) -> dict[str, str]:
+    try:
+        lines = raw.decode("utf-8").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
+    except UnicodeDecodeError as error:
+        raise WarcError("a header that is not UTF-8") from error
+    if not lines[0].startswith("WARC/"):
+        raise WarcError("no WARC version line")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    if not headers.get("content-length", "").isdigit():
+        raise WarcError("no Content-Length")
+    return headers
+
+
 def _uri(url: str | None, key: object) -> str:
     if not url:
         return f"urn:page:{key}"
@@ -94,12 +125,7 @@ def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             except zlib.error as error:
                 raise WarcError(f"not a gzip member: {error}") from error
             if need is None and (end := buffer.find(b"\r\n\r\n")) >= 0:
-                lines = bytes(buffer[:end]).decode("utf-8").split("\r\n")
-                if not lines[0].startswith("WARC/"):
-                    raise WarcError("no WARC version line")
-                headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-                if not headers.get("content-length", "").isdigit():
-                    raise WarcError("no Content-Length")
+                headers = _headers(bytes(buffer[:end]))
                 del buffer[: end + 4]
                 need = int(headers["content-length"])
             if need is not None and len(buffer) > need + 4:
@@ -108,10 +134,10 @@ def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if need is None or len(buffer) != need + 4 or buffer[need:] != b"\r\n\r\n":
             raise WarcError("a record does not end where its Content-Length says")
         block = bytes(buffer[:need])
-        if (said := headers.get("warc-block-digest")) and said != digest_of(block):
+        if (said := headers.get("warc-block-digest")) and not _matches(said, block):
             raise WarcError(f"block digest of {headers.get('warc-record-id')}")
         payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
-        if headers.get("warc-type") != "revisit" and (said := headers.get("warc-payload-digest")) and said != digest_of(payload):
+        if headers.get("warc-type") != "revisit" and (said := headers.get("warc-payload-digest")) and not _matches(said, payload):
             raise WarcError(f"payload digest of {headers.get('warc-record-id')}")
         yield headers, payload
 
@@ -135,6 +161,8 @@ def choose_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     Of rows with equal payloads of at least ``least_bytes`` bytes the one with the largest key is
     the response.  Rows repeating that key are responses too; rows without a key never are one for
     others, and are responses themselves if no row of the group has a key.  Null payloads are empty.
+    Payloads are taken whole, however long; other columns are ignored, whatever their names; an empty
+    table gives an empty result.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")
@@ -150,6 +178,7 @@ def choose_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
 def write(rows: DataFrame, path: str, records_per_file: int = 4096) -> None:
     """Write the rows of :func:`choose_revisits` as archives under ``path``."""
+    prepare(rows.sparkSession)
     members = rows.select("key", "url", "payload", "refers_to", "is_revisit").mapInArrow(_write_batches, "member binary")
     members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -165,10 +194,11 @@ def _read_batches(with_payload: bool):
             for archive in batch.column(0):
                 rows, held = [], 0
                 for headers, payload in read_records(archive.as_buffer()):
-                    own = headers["warc-type"] == "response"
-                    raw = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
+                    kind = headers.get("warc-type")
+                    own = kind != "revisit"
+                    raw = _sha1_hex(headers.get("warc-payload-digest")) or (hashlib.sha1(payload, usedforsecurity=False).hexdigest() if own else None)
                     key, other = headers.get("x-row-key"), headers.get("x-refers-to-key")
-                    rows.append((None if key is None else int(key), headers["warc-type"], headers["warc-record-id"], headers.get("warc-target-uri"), raw, len(payload) if own else None, headers.get("warc-refers-to"), None if other is None else int(other), payload if own and with_payload else None))
+                    rows.append((int(key) if key and key.lstrip("-").isdigit() else None, kind, headers.get("warc-record-id"), headers.get("warc-target-uri"), raw, len(payload) if own else None, headers.get("warc-refers-to"), int(other) if other and other.lstrip("-").isdigit() else None, payload if own and with_payload else None))
                     held += len(payload) * with_payload
                     if held > 8 << 20 or len(rows) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -180,7 +210,15 @@ def _read_batches(with_payload: bool):
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """All records of the archives under ``path``; a broken or falsified archive fails the read."""
+    """All records of the archives under ``path``; a broken or falsified archive fails the read.
+
+    Archives of other writers are read too: records of any type, digests that are absent (computed),
+    in hexadecimal or by other algorithms.  ``payload`` is the block without the HTTP head; revisits
+    have none.  An empty folder gives no rows.  Spark hands an archive to a task as one value, so it
+    may have 2 GB at most and must fit in a worker: write with fewer ``records_per_file`` where
+    payloads are large.
+    """
+    prepare(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read_batches(with_payload), READ_SCHEMA)
 
 

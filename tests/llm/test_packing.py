@@ -130,3 +130,12 @@ def test_a_document_longer_than_any_sequence_keeps_all_ids(spark):
 @pytest.mark.parametrize("counts", [{}, {1: 1}, {2048: 3}])
 def test_small_plans(counts):
     assert sum(r[2] - r[1] for r in K.plan(counts, 2048)) == sum(counts.values())
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = "share, before, rank, lo, hi, first, per, at, row, sequence_id, offset".split(", ")
+    parts = spark.createDataFrame([(i % 5 if i % 7 else None, 0, 100 + i % 9, *range(i, i + len(names))) for i in range(60)], "id long, piece int, length long, " + ", ".join(f"{n} int" for n in names))
+    got = K.place(parts)
+    assert got.columns == [*parts.columns[:-2], "sequence_id", "offset"]
+    rows = got.collect()
+    assert sorted(r.share for r in rows) == list(range(60)) and len({(r.sequence_id, r.offset) for r in rows}) == 60

@@ -83,3 +83,75 @@ def test_only_native_operations(spark):
     pages = spark.createDataFrame([(1, "http://a/b", "h", "x", 1)], SCHEMA)
     plan = U.judge(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def slow_templates(paths):
+    """Level by level over plain dictionaries; ``paths``: (host, segments) -> (n, allowed, blocked)."""
+    import math
+    from collections import defaultdict
+
+    def differ(a, n, b, m):
+        if not n or not m:
+            return False
+        pooled, gap = (a + b) / (n + m), abs(a / n - b / m)
+        return gap > U.APART and gap > U.Z * math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+
+    done, at = {}, {k: ("", k[1]) for k in paths}
+    while at:
+        nodes = defaultdict(lambda: defaultdict(list))
+        for key, (name, left) in at.items():
+            if left:
+                nodes[key[0], name][left[0]].append(key)
+            else:
+                done[key] = name or "/"
+        then = {}
+        for (host, name), kids in nodes.items():
+            total = {s: [sum(paths[k][i] for k in ks) for i in range(3)] + [sum(paths[k][0] for k in ks if len(at[k][1]) == 1), len(ks)] for s, ks in kids.items()}
+            n, a, b, e, p = (sum(t[i] for t in total.values()) for i in range(5))
+            for s, ks in kids.items():
+                own = total[s]
+                o = [n - own[0], a - own[1], b - own[2], e - own[3]]
+                if len(kids) >= U.VARIABLE_FROM and len(kids) >= U.VARIABLE_SHARE * p and own[0] < U.FREQUENT * n:
+                    label = "*"
+                elif o[0] > 0 and not differ(own[2], own[1] + own[2], o[2], o[1] + o[2]) and not differ(own[3], own[0], o[3], o[0]):
+                    label = "+"
+                else:
+                    label = s
+                for k in ks:
+                    then[k] = (f"{name}/{'/'.join(at[k][1])}", ()) if p == 1 else (f"{name}/{label}", at[k][1][1:])
+        at = then
+    return done
+
+
+def test_templates_purity_and_verdicts_are_those_of_plain_python(spark):
+    import random
+    from collections import defaultdict
+
+    rnd = random.Random(8)
+    words = ["en", "es", "de", "shop", "*", "+", "\\+", "about"]
+    urls = []
+    for _ in range(600):
+        host = rnd.choice(["a.com", "b.org", "example.com", "c.net"])
+        path = "/".join([rnd.choice(words[:4])] + [rnd.choice([rnd.choice(words), str(rnd.randrange(60))]) for _ in range(rnd.randrange(4))])
+        urls.append(f"https://{host}/{path}")
+    rows = {r.id: r for r in U.judge(spark.createDataFrame([(i, u, "h", "x", 1) for i, u in enumerate(urls)], SCHEMA)).collect()}
+    paths = defaultdict(lambda: [0, 0, 0])
+    keys = []
+    for u in urls:
+        host, path = slow_parts(u)
+        parts = tuple("\\" + s if s.lstrip("\\") in ("*", "+") else s for s in path.split("/") if s)
+        said = slow_rule(host, path)
+        keys.append(((host, parts), said))
+        paths[host, parts][0] += 1
+        if said:
+            paths[host, parts][1 if said[0] == "allow" else 2] += 1
+    want = slow_templates(paths)
+    sums = defaultdict(lambda: [0, 0, 0])
+    for key, counts in paths.items():
+        for i in range(3):
+            sums[key[0], want[key]][i] += counts[i]
+    for i, (key, said) in enumerate(keys):
+        n, a, b = sums[key[0], want[key]]
+        bad = (b + U.PRIOR / 2) / (a + b + U.PRIOR) >= U.REJECT_AT and a + b >= U.LABELLED_SHARE * n
+        assert rows[i].template == want[key]
+        assert rows[i].verdict == (said[0] if said else "block" if bad else "allow")

@@ -68,3 +68,27 @@ def test_round_trip_with_revisits_nulls_and_repeats(spark):
 
 def test_empty_table(spark):
     assert _round_trip(spark, []) == []
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    def record(headers, block):
+        head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    body = b"HTTP/1.1 200 OK\r\n\r\n<p>x</p>"
+    records = [
+        record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:a>"), ("Content-Type", "application/warc-fields")], b"software: other\r\n"),
+        record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:b>"), ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\n\r\n"),
+        record([("WARC-Type", "response"), ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(b"<p>x</p>").hexdigest()), ("X-Long", "one\r\n two"), ("Content-Type", "application/http")], body),
+        record([("WARC-Type", "metadata"), ("WARC-Block-Digest", "sha1:" + hashlib.sha1(b"m").hexdigest())], b"m"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    got = {r.record_type: r for r in W.read(spark, str(tmp_path)).collect()}
+    assert set(got) == {"warcinfo", "request", "response", "metadata"}
+    assert bytes(got["response"].payload) == b"<p>x</p>" and got["response"].payload_digest == hashlib.sha1(b"<p>x</p>").hexdigest()
+    for wrong in (record([("WARC-Type", "response"), ("WARC-Block-Digest", "sha1:" + "0" * 40)], b"m"), gzip.compress(b"WARC/1.0\r\nX: \xff\r\nContent-Length: 0\r\n\r\n\r\n\r\n")):
+        with pytest.raises(W.WarcError):
+            list(W.read_records(wrong))
