@@ -92,3 +92,27 @@ def test_taxonomy_and_catalog_files(spark, tmp_path):
     assert [(r.id, r.category, r.product.price.price) for r in rows.collect()] == [("b-n", "A > B", 1.5)]
     where = write_results(rows.drop("id", "brand", "category"), str(tmp_path / "out"))
     assert where.endswith("products.deterministic") and read_catalog(spark, where).count() == 1
+
+
+def test_stage_tables_go_with_their_scope(spark):
+    from pathlib import Path
+
+    from shelfmark.sources.stages import scratch_scope, shared_folder, staged
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    with scratch_scope(spark):
+        assert staged(spark.range(5), "kept-inside").count() == 5
+        assert len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
+
+
+def test_two_hundred_scripts_keep_their_order(spark):
+    from shelfmark.operators import images
+    from shelfmark.plans.samples import framework_pages
+    from shelfmark.sources.pages import json_strings
+
+    parsed = parsed_pages(framework_pages(spark).filter("page_id = 28"))
+    dom, nodes = dom_nodes(parsed), json_nodes(parsed)
+    found = images.candidates(dom, nodes, json_strings(parsed), images.identities(parsed, dom, nodes)).orderBy("ord").collect()
+    assert [r.url.rsplit("-", 1)[1] for r in found] == [f"{i}.jpg" for i in range(200)]
