@@ -10,14 +10,12 @@ from shelfmark.functions.binding import let
 from shelfmark.functions.money import amount_of_value, currency_of, money_mentions
 from shelfmark.functions.text import clean_text, drop_title_suffix
 from shelfmark.operators import dom as D
-from shelfmark.operators.graph import cleaned, member, string_of
+from shelfmark.operators.graph import cleaned, first_said, member, members, string_of
 
 
-def first_valid(candidates: list[tuple[Column, str]], least: int, most: int | None = None) -> Column:
-    """The first candidate long enough, as a struct of value ``v`` and the key ``k`` it came from; null if none is."""
-    rows = F.array(*[F.struct(v.alias("v"), F.lit(k).alias("k")) for v, k in candidates])
-    fits = F.filter(rows, lambda r: (F.length(r["v"]) >= least) & ((F.length(r["v"]) < most) if most else F.lit(True)))
-    return F.try_element_at(fits, F.lit(1))
+def first_valid(candidates: Column, least: int) -> Column:
+    """The first of an array of structs of value ``v`` and key ``k`` whose value is long enough; null if none is."""
+    return F.try_element_at(F.filter(candidates, lambda r: F.length(r["v"]) >= least), F.lit(1))
 
 
 def _origin(key: Column) -> Column:
@@ -26,15 +24,15 @@ def _origin(key: Column) -> Column:
 
 def first_from_nodes(products: DataFrame, keys: tuple[str, ...], name: str, least: int = 1) -> DataFrame:
     """``page_id``, ``name``, ``name_src``: node by node in rank, key by key, the first usable text."""
-    got = products.select("page_id", "rk", "path", first_valid([(cleaned(member(k)), k) for k in keys], least).alias("x")).filter("x is not null")
+    texts = F.transform(members(keys), lambda r: F.struct(cleaned(r["m"]).alias("v"), r["k"].alias("k")))
+    got = products.select("page_id", "rk", "path", first_valid(texts, least).alias("x")).filter("x is not null")
     best = got.groupBy("page_id").agg(F.min_by(F.struct("x.v", _origin(F.col("x.k")).alias("src")), "rk").alias("y"))
     return best.select("page_id", F.col("y.v").alias(name), F.col("y.src").alias(f"{name}_src"))
 
 
 def brands(products: DataFrame, nodes: DataFrame) -> DataFrame:
     """Brand from the products: text, or the name of the object (or of the list's first entry) found there."""
-    order = F.array(*[F.struct(F.lit(i).alias("key_ord"), F.lit(k).alias("k"), member(k).alias("m")) for i, k in enumerate(P.BRAND_KEYS)])
-    said = products.select("page_id", "rk", "path", F.inline(order)).filter("m is not null")
+    said = products.select("page_id", "rk", "path", F.inline(members(P.BRAND_KEYS))).filter("m is not null")
     first = F.when(F.col("m.kind") == "list", F.try_element_at("m.items", F.lit(1)))
     child = F.coalesce(F.col("m.child"), first["child"])
     own = F.when(F.col("m.kind") == "list", cleaned(first)).otherwise(cleaned(F.col("m")))
@@ -51,17 +49,17 @@ def _state() -> Column:
     def one(m: Column) -> Column:
         return F.when(m["kind"] == "bool", m["s"] == "true").when((m["kind"] == "str") & (F.trim(m["s"]) != ""), ~m["s"].rlike(P.NOT_BUYABLE))
 
-    return F.coalesce(*[let(member(k), one) for k in P.STOCK_STATE_KEYS])
+    return first_said(P.STOCK_STATE_KEYS, one)
 
 
 def _currency() -> Column:
-    return F.coalesce(*[currency_of(string_of(member(k))) for k in P.CURRENCY_KEYS])
+    return first_said(P.CURRENCY_KEYS, lambda m: currency_of(string_of(m)))
 
 
 def _prices() -> Column:
     """The object's price members that are amounts, in order of preference."""
-    rows = [F.struct(F.lit(k).alias("k"), let(member(k), lambda m: amount_of_value(m["kind"], m["s"], m["num"])).alias("amount")) for k in P.PRICE_KEYS]
-    return F.filter(F.array(*rows), lambda r: r["amount"].isNotNull())
+    rows = F.transform(members(P.PRICE_KEYS), lambda r: F.struct(r["k"].alias("k"), let(r["m"], lambda m: amount_of_value(m["kind"], m["s"], m["num"])).alias("amount")))
+    return F.filter(rows, lambda r: r["amount"].isNotNull())
 
 
 def held_by(products: DataFrame, nodes: DataFrame) -> DataFrame:

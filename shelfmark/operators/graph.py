@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,24 @@ from shelfmark.sources.stages import staged
 
 def member(key: str | Column, kv: str = "kv") -> Column:
     """The member of that name (names are unique in an object), or null."""
-    name = F.lit(key) if isinstance(key, str) else key
-    return F.try_element_at(F.filter(kv, lambda m: m["k"] == name), F.lit(1))
+    if isinstance(key, str):
+        return F.expr(f"try_element_at(filter({kv}, m -> m.k = '{key}'), 1)")
+    return F.try_element_at(F.filter(kv, lambda m: m["k"] == key), F.lit(1))
+
+
+def members(keys: tuple[str, ...], kv: str = "kv", any_case: bool = False) -> Column:
+    """An array with a struct ``key_ord``, ``k``, ``m`` for each key; ``m`` is the member of that name, or null.
+
+    One expression however many keys: what reads the members is planned once and not once a key.
+    """
+    listed = ", ".join(f"'{k.lower() if any_case else k}'" for k in keys)
+    name = "lower(m.k)" if any_case else "m.k"
+    return F.expr(f"transform(array({listed}), (key, i) -> struct(i AS key_ord, key AS k, try_element_at(filter({kv}, m -> {name} = key), 1) AS m))")
+
+
+def first_said(keys: tuple[str, ...], read: Callable[[Column], Column], kv: str = "kv", any_case: bool = False) -> Column:
+    """``read`` of the first of these members for which it is not null."""
+    return F.get(F.array_compact(F.transform(members(keys, kv, any_case), lambda r: read(r["m"]))), F.lit(0))
 
 
 def string_of(m: Column) -> Column:
@@ -56,9 +74,8 @@ def product_nodes(nodes: DataFrame, least: int = P.LEAST_SCORE) -> DataFrame:
 
 def id_store(nodes: DataFrame) -> DataFrame:
     """``page_id``, ``ident``, ``n``: the first object that bears each id."""
-    order = {k: i for i, k in enumerate(P.ID_FIELDS)}
-    ids = F.array(*[F.struct(F.lit(i).alias("key_ord"), string_of(member(k)).alias("ident")) for k, i in order.items()])
-    said = nodes.select("page_id", "n", F.inline(ids)).filter((F.length("ident") > 1) & (F.length("ident") < 120))
+    found = nodes.select("page_id", "n", F.inline(members(P.ID_FIELDS)))
+    said = found.select("page_id", "n", "key_ord", string_of(F.col("m")).alias("ident")).filter((F.length("ident") > 1) & (F.length("ident") < 120))
     return said.groupBy("page_id", "ident").agg(F.min_by("n", F.struct("n", "key_ord")).alias("n"))
 
 

@@ -9,7 +9,7 @@ from shelfmark.functions import patterns as P
 from shelfmark.functions import urls as U
 from shelfmark.functions.text import strip, unescape_common
 from shelfmark.operators import dom as D
-from shelfmark.operators.graph import member, score, string_of
+from shelfmark.operators.graph import members, score, string_of
 
 URL = "page_id long, base string"
 
@@ -23,8 +23,8 @@ def page_urls(dom: DataFrame) -> DataFrame:
 
 def key_tokens(nodes: DataFrame) -> DataFrame:
     """``page_id``, ``key_tokens``: ids with a digit in document order, twelve at most."""
-    ids = F.array(*[F.struct(F.lit(i).alias("i"), string_of(member(k)).alias("v")) for i, k in enumerate(P.IDENTITY_KEYS)])
-    said = nodes.select("page_id", "n", F.inline(ids)).filter((F.length("v") > 2) & (F.length("v") < 40) & ~F.col("v").startswith("http") & F.col("v").rlike(r"\d"))
+    found = nodes.select("page_id", "n", F.inline(members(P.IDENTITY_KEYS)))
+    said = found.select("page_id", "n", F.col("key_ord").alias("i"), string_of(F.col("m")).alias("v")).filter((F.length("v") > 2) & (F.length("v") < 40) & ~F.col("v").startswith("http") & F.col("v").rlike(r"\d"))
     first = said.groupBy("page_id", "v").agg(F.min(F.struct("n", "i")).alias("at"))
     listed = first.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("xs"))
     return listed.select("page_id", F.slice(F.transform("xs", lambda x: x["v"]), 1, 12).alias("key_tokens"))

@@ -14,7 +14,7 @@ from shelfmark.functions import urls as U
 from shelfmark.functions.binding import let
 from shelfmark.functions.choices import axis_of_key, axis_title, is_axis_id_key, is_null_choice, stock_of
 from shelfmark.functions.money import amount_of_value, currency_of
-from shelfmark.operators.graph import member, scalar_of, string_of
+from shelfmark.operators.graph import first_said, member, members, scalar_of, string_of
 from shelfmark.sources.stages import staged
 
 OPTION = "array<struct<prio: int, ord: int, axis: string, value: string>>"
@@ -22,8 +22,7 @@ OPTION = "array<struct<prio: int, ord: int, axis: string, value: string>>"
 
 def label_of(kv: str = "kv") -> Column:
     """The row's own label: the first label member with 1 to 80 characters."""
-    texts = [F.trim(string_of(member(k, kv))) for k in P.LABEL_KEYS]
-    return F.coalesce(*[let(t, lambda s: F.when((F.length(s) > 0) & (F.length(s) <= 80), s)) for t in texts])
+    return first_said(P.LABEL_KEYS, lambda m: let(F.trim(string_of(m)), lambda s: F.when((F.length(s) > 0) & (F.length(s) <= 80), s)), kv)
 
 
 def first_wins(options: Column) -> Column:
@@ -50,8 +49,7 @@ def _own_options() -> Column:
 
 def _positional_options() -> Column:
     """``option1``, ``option2``, ... of the row against the names the parent lists."""
-    lists = [member(k, "pkv") for k in ("options", "optionNames", "variesBy")]
-    names = F.coalesce(*[let(m, lambda v: F.when((v["kind"] == "list") & (F.size(v["items"]) > 0), v["items"])) for m in lists])
+    names = first_said(("options", "optionNames", "variesBy"), lambda v: F.when((v["kind"] == "list") & (F.size(v["items"]) > 0), v["items"]), "pkv")
 
     def one(item: Column, i: Column) -> Column:
         value = scalar_of(member(F.concat(F.lit("option"), (i + 1).cast("string"))))
@@ -65,8 +63,7 @@ def row_options(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Expects ``page_id``, ``table_id``, ``pos``, ``kv`` of the row, ``pkv`` of its parent, ``axis`` of its list.
     """
-    order = F.array(*[F.struct(F.lit(i).alias("key_ord"), member(k).alias("m")) for i, k in enumerate(P.PAIR_KEYS)])
-    said = rows.select("page_id", "table_id", "pos", F.inline(order)).filter("m is not null")
+    said = rows.select("page_id", "table_id", "pos", F.inline(members(P.PAIR_KEYS))).filter("m is not null")
     kids = nodes.select("page_id", F.col("n").alias("child"), F.col("kv").alias("ckv"))
     maps = said.filter("m.kind = 'obj'").select("page_id", "table_id", "pos", "key_ord", F.col("m.child").alias("child")).join(kids, ["page_id", "child"])
     value = scalar_of(F.col("c"))
@@ -74,8 +71,8 @@ def row_options(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     lists = said.filter("m.kind = 'list'").select("page_id", "table_id", "pos", "key_ord", F.posexplode("m.items").alias("i", "x")).select("page_id", "table_id", "pos", "key_ord", "i", F.col("x.child").alias("child")).join(kids, ["page_id", "child"])
     of_list = lists.select(
         "page_id", "table_id", "pos", "key_ord", "i",
-        F.coalesce(*[scalar_of(member(k, "ckv")) for k in ("name", "key", "attribute")]).alias("name"),
-        F.coalesce(*[scalar_of(member(k, "ckv")) for k in ("value", "optionValue", "label")]).alias("value"),
+        first_said(("name", "key", "attribute"), scalar_of, "ckv").alias("name"),
+        first_said(("value", "optionValue", "label"), scalar_of, "ckv").alias("value"),
     )
     pairs = of_map.unionByName(of_list).filter("name <> '' and value is not null and lower(name) <> lower(value)")
     axis = F.coalesce(axis_of_key(F.col("name")), F.initcap("name"))
@@ -93,21 +90,17 @@ def row_options(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def identity(keys: tuple[str, ...]) -> Column:
     """The first of these members (any case) that is no address; of a list its first value."""
 
-    def named(key: str) -> Column:
-        return F.try_element_at(F.filter("kv", lambda m: F.lower(m["k"]) == key.lower()), F.lit(1))
+    def read(m: Column) -> Column:
+        own = let(scalar_of(m), lambda v: F.when(~v.startswith("http"), v))
+        return F.coalesce(own, F.when(m["kind"] == "list", scalar_of(F.try_element_at(m["items"], F.lit(1)))))
 
-    out = []
-    for k in keys:
-        own = let(scalar_of(named(k)), lambda v: F.when(~v.startswith("http"), v))
-        first = let(named(k), lambda m: F.when(m["kind"] == "list", scalar_of(F.try_element_at(m["items"], F.lit(1)))))
-        out += [own, first]
-    return F.coalesce(*out)
+    return first_said(keys, read, any_case=True)
 
 
 def availability(places: Column | None = None) -> Column:
     """Stock state of a row: its members in order, else ``places`` (stock summed over locations), else unknown."""
-    states = [let(member(k), lambda m: stock_of(m["kind"], m["s"], m["num"])) for k in P.ROW_STOCK_KEYS]
-    return F.coalesce(*states, *([places] if places is not None else []), F.lit("unknown"))
+    state = first_said(P.ROW_STOCK_KEYS, lambda m: stock_of(m["kind"], m["s"], m["num"]))
+    return F.coalesce(state, *([places] if places is not None else []), F.lit("unknown"))
 
 
 def tables(nodes: DataFrame, ids: DataFrame, names: DataFrame) -> DataFrame:
@@ -117,7 +110,7 @@ def tables(nodes: DataFrame, ids: DataFrame, names: DataFrame) -> DataFrame:
     """
     owner = nodes.join(ids.select("page_id", F.concat("url_tokens", "key_tokens").alias("tokens")), "page_id").join(names.select("page_id", F.lower(F.trim("name")).alias("page_name")), "page_id", "left")
     own_name = F.lower(F.trim(F.coalesce(scalar_of(member("name")), scalar_of(member("title")))))
-    claims = F.array(*[scalar_of(member(k)) for k in ("sku", "mpn", "productID", "id", "url", "canonicalUrl")])
+    claims = F.transform(members(("sku", "mpn", "productID", "id", "url", "canonicalUrl")), lambda r: scalar_of(r["m"]))
     is_own = F.coalesce((F.col("page_name") != "") & (own_name == F.col("page_name")), F.lit(False)) | F.exists("tokens", lambda t: (t != "") & F.exists(claims, lambda c: F.coalesce(c.contains(t), F.lit(False))))
     lists = owner.select("page_id", "b", "n", "path", F.col("kv").alias("pkv"), is_own.alias("owned"), F.posexplode("kv").alias("i", "m")).filter("m.kind = 'list'")
     objects = F.filter("m.items", lambda x: (x["kind"] == "obj") & x["child"].isNotNull())
@@ -158,15 +151,14 @@ def table_variants(rows: DataFrame, picked: DataFrame, nodes: DataFrame) -> Data
     inner = kept.select("page_id", "table_id", "pos", F.col("n").alias("rn"), F.col("last").alias("rl")).join(nodes.select("page_id", "n", "path", "kv"), "page_id").filter("n >= rn and n <= rl")
     root = Window.partitionBy("page_id", "table_id", "pos")
     inner = inner.withColumn("root_path", F.min_by("path", "n").over(root)).withColumn("rel", F.expr("substring(path, length(root_path) + 2)"))
-    money = F.coalesce(*[let(member(k), lambda m: amount_of_value(m["kind"], m["s"], m["num"])) for k in P.PRICE_KEYS])
-    currency = F.coalesce(*[currency_of(string_of(member(k))) for k in P.CURRENCY_KEYS])
+    money = first_said(P.PRICE_KEYS, lambda m: amount_of_value(m["kind"], m["s"], m["num"]))
+    currency = first_said(P.CURRENCY_KEYS, lambda m: currency_of(string_of(m)))
     shallow = (F.length("rel") - F.length(F.replace("rel", F.lit("."), F.lit("")))) <= 2
     priced = inner.filter(shallow).withColumn("x", money).filter("x is not null").groupBy("page_id", "table_id", "pos").agg(F.min_by(F.struct(F.col("x").alias("price"), F.coalesce(currency, F.lit("USD")).alias("currency")), "n").alias("money"))
     pics = inner.select("page_id", "table_id", "pos", "n", F.posexplode("kv").alias("i", "m")).filter((F.col("m.kind") == "str") & F.lower("m.k").isin(*P.ROW_IMAGE_KEYS) & U.is_image_url(F.col("m.s")))
     pics = pics.groupBy("page_id", "table_id", "pos").agg(F.array_sort(F.collect_list(F.struct("n", "i", U.absolute(F.col("m.s")).alias("u")))).alias("xs"))
     pics = pics.select("page_id", "table_id", "pos", F.slice(F.array_distinct(F.transform("xs", lambda x: x["u"])), 1, 12).alias("image_urls"))
-    stocks = F.array(*[F.struct(F.lit(i).alias("key_ord"), member(k).alias("m")) for i, k in enumerate(P.STOCK_PLACES)])
-    places = kept.select("page_id", "table_id", "pos", F.inline(stocks)).filter("m.kind = 'list'").select("page_id", "table_id", "pos", "key_ord", F.explode("m.items").alias("x"))
+    places = kept.select("page_id", "table_id", "pos", F.inline(members(P.STOCK_PLACES))).filter("m.kind = 'list'").select("page_id", "table_id", "pos", "key_ord", F.explode("m.items").alias("x"))
     held = places.select("page_id", "table_id", "pos", "key_ord", F.col("x.child").alias("child")).join(nodes.select("page_id", F.col("n").alias("child"), member("stock").alias("st")), ["page_id", "child"]).filter("st is not null")
     summed = held.groupBy("page_id", "table_id", "pos", "key_ord").agg(F.sum(F.coalesce("st.num", F.lit(0.0))).alias("total"))
     summed = summed.groupBy("page_id", "table_id", "pos").agg(F.min_by(F.when(F.col("total") > 0, "in_stock").otherwise("out_of_stock"), "key_ord").alias("places"))
@@ -192,15 +184,15 @@ def axis_definitions(nodes: DataFrame) -> DataFrame:
     kids = nodes.select("page_id", F.col("n").alias("child"), "kv")
     rows = entries.join(kids, ["page_id", "child"])
     goods = F.size(F.array_distinct(F.filter(F.transform("kv", lambda m: F.lower(m["k"])), lambda k: k.isin(*P.PRODUCT_ONLY_KEYS)))) >= 2
-    several = [let(F.filter(member(k)["items"], lambda x: x["kind"] == "obj"), lambda xs: F.when(F.size(xs) >= 2, xs)) for k in P.CHOICE_KEYS]
-    axes = rows.filter(~goods).select("page_id", "tab", "axis_ord", label_of().alias("axis"), F.coalesce(*several).alias("choices")).filter("axis is not null and length(axis) <= 40 and choices is not null")
+    several = first_said(P.CHOICE_KEYS, lambda m: let(F.filter(m["items"], lambda x: x["kind"] == "obj"), lambda xs: F.when(F.size(xs) >= 2, xs)))
+    axes = rows.filter(~goods).select("page_id", "tab", "axis_ord", label_of().alias("axis"), several.alias("choices")).filter("axis is not null and length(axis) <= 40 and choices is not null")
     picks = axes.select("page_id", "tab", "axis_ord", "axis", F.posexplode("choices").alias("choice_ord", "x")).select("page_id", "tab", "axis_ord", "axis", "choice_ord", F.col("x.child").alias("child")).join(kids, ["page_id", "child"])
 
-    def sku_list(k: str) -> Column:
-        found = F.filter(F.transform(member(k)["items"], string_of), lambda s: (F.length(s) > 1) & (F.length(s) < 60))
+    def sku_list(m: Column) -> Column:
+        found = F.filter(F.transform(m["items"], string_of), lambda s: (F.length(s) > 1) & (F.length(s) < 60))
         return let(found, lambda xs: F.when(F.size(xs) > 0, xs))
 
-    skus = F.coalesce(*[sku_list(k) for k in P.SKU_SET_KEYS], F.array().cast("array<string>"))
+    skus = F.coalesce(first_said(P.SKU_SET_KEYS, sku_list), F.array().cast("array<string>"))
     labelled = picks.select("page_id", "tab", "axis_ord", "axis", "choice_ord", label_of().alias("choice"), skus.alias("skus")).filter("choice is not null").filter(~is_null_choice(F.col("choice")))
     enough = Window.partitionBy("page_id", "tab", "axis_ord")
     full_axes = labelled.withColumn("c", F.count("*").over(enough)).filter("c >= 2").drop("c")

@@ -34,7 +34,8 @@ def facts(parsed: DataFrame) -> DataFrame:
 
     ``parsed`` is used many times and should be a written table.
     """
-    dom, nodes, strings = dom_nodes(parsed), json_nodes(parsed), json_strings(parsed)
+    # Read some twenty times, a few columns each: as flat tables the scans are pruned, which those of nested arrays are not.
+    dom, nodes, strings = staged(dom_nodes(parsed), "elements"), staged(json_nodes(parsed), "objects"), json_strings(parsed)
     products = staged(graph.product_nodes(nodes), "products")
     scalar = staged(fields.resolve(parsed, dom, nodes, products), "fields")
     ids = staged(images.identities(parsed, dom, nodes), "identities")

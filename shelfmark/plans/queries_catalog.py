@@ -66,7 +66,7 @@ def first_wins_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of candidates: too short, missing or usable."""
     k = F.col("p_partkey") % 4
     chain = [(F.when(k == 0, F.col("p_name")).otherwise(F.lit("x")), "a"), (F.when(k == 1, F.col("p_brand")), "b"), (F.when(k == 2, F.col("p_type")).otherwise(F.lit("")), "c")]
-    return read(spark, sf_dir, "part").select("p_partkey", fields.first_valid(chain, 2)["v"].alias("chosen"))
+    return read(spark, sf_dir, "part").select("p_partkey", fields.first_valid(F.array(*[F.struct(v.alias("v"), F.lit(name).alias("k")) for v, name in chain]), 2)["v"].alias("chosen"))
 
 
 @query("SELECT page, ident, min(event_id) AS n FROM (SELECT user_id % 10 AS page, 'u' || user_id % 97 AS ident, event_id FROM events) WHERE length(ident) > 1 GROUP BY page, ident")

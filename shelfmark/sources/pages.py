@@ -12,12 +12,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfmark.sources import harvest
 from shelfmark.sources.stages import ship_package
-from shelfmark.sources.tree import Node, deep_text, parse
+from shelfmark.sources.tree import Node, collapsed_text, deep_text, parse
 
 SNIFFED = 4096
 META_CHARSET = r"(?i)<meta[^>]+?charset\s*=\s*[\"']?\s*([a-zA-Z0-9_\-:.]+)"
 HEADER_CHARSET = r"(?i)charset\s*=\s*([\w\-:.]+)"
 MOST_BODY = 200_000
+#: Elements keep so much of the text below them (the limit of Microdata values), but these keep all: repeated at
+#: every level, whole texts would make a page as many times as large as it is deep.
+MOST_TEXT = harvest.MOST_TEXT
+WHOLE_TEXT = frozenset(("title", "h1", "h2", "h3", "h4", "h5", "h6", "a"))
 
 
 def read_files(spark: SparkSession, *paths: str, pattern: str = "*.html") -> DataFrame:
@@ -85,7 +89,7 @@ def _dom_rows(nodes: list[Node]) -> list[dict]:
         out.append(
             {
                 "nid": n.nid, "parent": n.parent.nid, "last": n.last, "depth": n.depth, "tag": n.tag, "attrs": list(n.attrs.items()), "own_text": own,
-                "text": " ".join(deep_text(n, 4000).split())[:500], "anc": [a.nid for a in up if a.nid],
+                "text": collapsed_text(n, None if n.tag in WHOLE_TEXT else MOST_TEXT), "anc": [a.nid for a in up if a.nid],
                 "ctx6": " ".join(filter(None, [words[n.nid], *(words[a.nid] for a in up[:6])])).lower() if shown else None,
                 "ctx8": " ".join(filter(None, [words[n.nid], *(words[a.nid] for a in up[:8])])).lower() if shown else None,
             }

@@ -120,6 +120,25 @@ def parse(page: str) -> list[Node]:
     return builder.nodes
 
 
+def collapsed_text(node: Node, most: int | None = None) -> str:
+    """All text under a node with white space collapsed; its first ``most`` characters if that is given."""
+    out, size, stack = [], 0, [iter(node.children)]
+    while stack and (most is None or size <= most):
+        for child in stack[-1]:
+            if isinstance(child, str):
+                out.append(child)
+                # Collapsing leaves at least these, so that enough is read however much white space there is.
+                size += sum(map(len, child.split()))
+                if most is not None and size > most:
+                    break
+            else:
+                stack.append(iter(child.children))
+                break
+        else:
+            stack.pop()
+    return " ".join("".join(out).split())[:most]
+
+
 def deep_text(node: Node, most: int | None = None, between: str = "") -> str:
     """All text under a node in document order, up to about ``most`` characters."""
     out, size, stack = [], 0, [iter(node.children)]

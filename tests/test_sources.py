@@ -116,3 +116,23 @@ def test_two_hundred_scripts_keep_their_order(spark):
     dom, nodes = dom_nodes(parsed), json_nodes(parsed)
     found = images.candidates(dom, nodes, json_strings(parsed), images.identities(parsed, dom, nodes)).orderBy("ord").collect()
     assert [r.url.rsplit("-", 1)[1] for r in found] == [f"{i}.jpg" for i in range(200)]
+
+
+def test_element_text_is_collapsed_before_it_is_cut():
+    from shelfmark.sources.tree import collapsed_text, parse
+
+    page = "<div>" + " \n" * 9000 + "<p>a  b</p>" + " " * 9000 + "c</div><h1>" + "word " * 3000 + "end</h1>"
+    by_tag = {n.tag: n for n in parse(page)}
+    assert collapsed_text(by_tag["div"], 500) == "a b c"
+    assert collapsed_text(by_tag["div"], 2) == "a "
+    assert collapsed_text(by_tag["h1"]).endswith("word end")
+
+
+def test_headings_keep_their_whole_text(spark):
+    from shelfmark.sources.pages import parsed_pages
+
+    long = "word " * 2000 + "end"
+    pages = spark.createDataFrame([(1, f"<title>{long}</title><h1>{long}</h1><p>{long}</p>"), (2, None), (3, "")], "page_id long, html string")
+    dom = {(r.page_id, n.tag): n.text for r in parsed_pages(pages).collect() for n in r.dom}
+    assert dom[1, "title"] == dom[1, "h1"] == long
+    assert dom[1, "p"] == long[:500]
