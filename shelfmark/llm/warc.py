@@ -5,9 +5,9 @@ files, so that archives land in any store Spark reaches and a task that is lost
 Spark's text sink ends every row with a separator; a gzip member ends with the high byte of its
 length, which is zero below 16 MiB, so members are handed over without that byte and the separator
 is a zero byte.  A longer member keeps its last byte, and the zero after it is padding, which gzip
-readers skip.
+readers skip.  A row of that sink is a whole archive, closed at a number of bytes or of records.
 
-Reading.  Archives are read whole by Spark (``records_per_file`` bounds them) and walked
+Reading.  Archives are read whole by Spark (the writer bounds their bytes) and walked
 sequentially: members are inflated in small steps, headers parsed, the block framed by
 Content-Length, the member's end demanded after it, and block and payload digests verified.
 """
@@ -18,7 +18,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,8 @@ from shelfmark.llm.common import materialise, prepare, scratch_path, table
 
 STEP = 1 << 16
 LEAST_REVISIT = 1000
+#: Size at which an archive is closed.
+ARCHIVE_BYTES = 64 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Fixed value: the WARC 1.1 profile of revisits by payload digest.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,17 +144,32 @@ def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, payload
 
 
-def _write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _write_batches(archive_bytes: int, records: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Archives as rows: members one after another, without the last byte where that is zero."""
+
+    def closed(members: list[bytes]) -> pa.RecordBatch:
+        if members[-1][-1] == 0:
+            members[-1] = members[-1][:-1]
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["member"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, held = [], 0
-        for key, url, payload, refers_to, is_revisit in zip(*[batch.column(i) for i in range(5)], strict=True):
-            member = write_record(key.as_py(), url.as_py(), payload.as_py() or b"", refers_to.as_py(), is_revisit.as_py())
-            members.append(member[:-1] if member[-1] == 0 else member)
+        for member in _members(batches):
+            members.append(member)
             held += len(member)
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
+            if held >= archive_bytes or len(members) >= records:
+                yield closed(members)
                 members, held = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
+        if members:
+            yield closed(members)
+
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    for batch in batches:
+        for key, url, payload, refers_to, is_revisit in zip(*[batch.column(i) for i in range(5)], strict=True):
+            yield write_record(key.as_py(), url.as_py(), payload.as_py() or b"", refers_to.as_py(), is_revisit.as_py())
 
 
 def choose_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_REVISIT) -> DataFrame:
@@ -176,11 +193,15 @@ def choose_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     return found.select("key", "url", "payload", F.when(is_revisit, F.col("refers_to")).alias("refers_to"), is_revisit.alias("is_revisit"))
 
 
-def write(rows: DataFrame, path: str, records_per_file: int = 4096) -> None:
-    """Write the rows of :func:`choose_revisits` as archives under ``path``."""
+def write(rows: DataFrame, path: str, records_per_file: int = 4096, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the rows of :func:`choose_revisits` as archives under ``path``.
+
+    An archive is closed once it has ``archive_bytes`` or ``records_per_file``, so that it is larger
+    than ``archive_bytes`` by less than one record.
+    """
     prepare(rows.sparkSession)
-    members = rows.select("key", "url", "payload", "refers_to", "is_revisit").mapInArrow(_write_batches, "member binary")
-    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
+    members = rows.select("key", "url", "payload", "refers_to", "is_revisit").mapInArrow(_write_batches(archive_bytes, records_per_file), "member binary")
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 READ_SCHEMA = "key long, record_type string, record_id string, url string, payload_digest string, payload_bytes long, refers_to_id string, refers_to long, payload binary"
@@ -214,9 +235,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
     Archives of other writers are read too: records of any type, digests that are absent (computed),
     in hexadecimal or by other algorithms.  ``payload`` is the block without the HTTP head; revisits
-    have none.  An empty folder gives no rows.  Spark hands an archive to a task as one value, so it
-    may have 2 GB at most and must fit in a worker: write with fewer ``records_per_file`` where
-    payloads are large.
+    have none.  An empty folder gives no rows.  Spark hands an archive to a task as one value: those of
+    :func:`write` are bounded, those of other writers may have 2 GB at most and must fit in a worker.
     """
     prepare(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read_batches(with_payload), READ_SCHEMA)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 
+import numpy as np
 import pytest
 
 from shelfmark.llm import warc as W
@@ -92,3 +93,18 @@ def test_records_of_other_writers(spark, tmp_path):
     for wrong in (record([("WARC-Type", "response"), ("WARC-Block-Digest", "sha1:" + "0" * 40)], b"m"), gzip.compress(b"WARC/1.0\r\nX: \xff\r\nContent-Length: 0\r\n\r\n\r\n\r\n")):
         with pytest.raises(W.WarcError):
             list(W.read_records(wrong))
+
+
+def test_archives_are_bounded_by_bytes_and_by_records(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"http://a/{i}", rng.bytes(20_000).hex()) for i in range(60)]
+    chosen = W.choose_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).coalesce(1)
+    for folder, bounds, most in (("bytes", {"archive_bytes": 100_000}, 5), ("records", {"records_per_file": 7}, 7)):
+        W.write(chosen, f"file://{tmp_path}/{folder}", **bounds)
+        files = [f for f in (tmp_path / folder).iterdir() if f.name.startswith("part-")]
+        found = [sum(1 for _ in W.read_records(f.read_bytes())) for f in files]
+        assert sum(found) == 60 and max(found) <= most and len(files) >= 60 / most
+        if folder == "bytes":
+            assert max(f.stat().st_size for f in files) < 100_000 + 30_000
+        back = W.read(spark, f"file://{tmp_path}/{folder}").select("key", "payload").collect()
+        assert {r.key: bytes(r.payload).decode() for r in back} == {k: html for k, _, html in rows}
