@@ -5,6 +5,9 @@ reduced to one signed row per source, language and tokenizer version, written un
 name with a commit row.  Totals are the sum of all committed batches: they never need the documents
 again, and batches commute.  Committing a name a second time changes nothing, whether the first
 attempt ended or broke off: an uncommitted folder is replaced, a committed one is left.
+
+:meth:`Rollup.compact` sums what was committed into a snapshot, so that totals read the latest
+snapshot and the deltas committed after it, however many batches there were.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, prepare, scratch_path, table, words_in
+from shelfmark.llm.common import materialise, prepare, remove, scratch_path, table, words_in
 from shelfmark.llm.tokens import default_tokenizer, encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -76,9 +79,45 @@ class Rollup:
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
         return sorted(n for n in names if self._exists(f"{self.path}/commits/{n}/_SUCCESS"))
 
+    def _list(self, folder: str) -> list[str]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+
+    def _snapshot(self) -> tuple[str | None, set[str]]:
+        """The latest complete snapshot and the batches that it took up itself."""
+        done = [n for n in self._list("snapshots") if self._exists(f"{self.path}/snapshots/{n}/taken/_SUCCESS")]
+        if not done:
+            return None, set()
+        taken = self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{done[-1]}/taken")
+        return done[-1], {r.batch for r in taken.collect()}  # the batches of one compaction
+
+    def _pending(self, taken: set[str]) -> list[str]:
+        """Committed batches that no snapshot has: their deltas are still there and the latest did not take them."""
+        return [n for n in self._list("deltas") if n not in taken and self._exists(f"{self.path}/commits/{n}/_SUCCESS")]
+
+    def compact(self) -> bool:
+        """Sum the latest snapshot and the batches after it into a new one; False if there are none.
+
+        The list of batches taken up is written last and makes the snapshot valid; only then are
+        their deltas and the older snapshot removed.  What an attempt that broke off left is removed
+        by the next.  One process compacts at a time; commit rows stay, so that names stay known.
+        """
+        last, taken = self._snapshot()
+        remove(self.spark, *[f"{self.path}/deltas/{n}" for n in self._list("deltas") if n in taken])
+        names = self._pending(taken)
+        if not names:
+            return False
+        number = f"{int(last or 0) + 1:012d}"
+        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{number}/totals")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{number}/taken")
+        remove(self.spark, *[f"{self.path}/deltas/{n}" for n in names], *[f"{self.path}/snapshots/{n}" for n in self._list("snapshots") if n < number])
+        return True
+
     def totals(self) -> DataFrame:
         """The sums over committed batches; keys whose totals are all zero are left out."""
-        paths = [f"{self.path}/deltas/{n}" for n in self.batches()]
+        last, taken = self._snapshot()
+        paths = [f"{self.path}/deltas/{n}" for n in self._pending(taken)] + ([f"{self.path}/snapshots/{last}/totals"] if last else [])
         if not paths:
             return self.spark.createDataFrame([], DELTA)
         read = self.spark.read.schema(DELTA).parquet(*paths)
@@ -114,7 +153,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents under two tokenizer versions, reached by five batches.
 
     Words and an estimate of tokens (a fourth of the characters) are entered first; the estimates
-    are then revised to the exact counts; documents without a token are taken out and entered again,
+    are then revised to the exact counts and both summed into a snapshot; documents without a token are taken out and entered again,
     as they are documents of the corpus too; and the first batch arrives once more, which changes
     nothing.
     """
@@ -125,6 +164,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Rollup(spark, scratch_path(spark, "rollup"))
     store.commit("load", inserted(words), inserted(guess))
     store.commit("exact", revised(exact))
+    store.compact()
     empty = words.filter("n_tokens = 0"), exact.filter("n_tokens = 0")
     store.commit("empty", *map(deleted, empty))
     store.commit("empty-again", *map(inserted, empty))

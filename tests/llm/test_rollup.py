@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import shutil
 from collections import defaultdict
 
 import pytest
@@ -71,3 +72,31 @@ def test_documents_without_a_token_are_counted(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_chars) for r in R.op9_token_counts(spark, str(tmp_path)).collect()}
     assert got == {(s, lang, t): n for t in ("words-1", "byte-bpe-50k") for (s, lang), n in {("a", "en"): (4, 12), ("b", "de"): (1, 0)}.items()}
+
+
+def test_snapshots_give_the_same_totals_and_survive_a_broken_compaction(spark, tmp_path):
+    def batch(n):
+        return spark.createDataFrame([("s", "l", "t", 1, n, n)], R.DELTA)
+
+    store = R.Rollup(spark, f"file://{tmp_path}/store")
+    assert not store.compact()
+    store.commit("a", batch(1))
+    store.commit("b", batch(2))
+    assert store.compact() and not store.compact()
+    assert not store.commit("a", batch(100))
+    store.commit("c", batch(4))
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "l", "t", 3, 7, 7)]
+    # Broken off after the snapshot became valid: the deltas it took up are still there.
+    (tmp_path / "saved").mkdir()
+    shutil.copytree(tmp_path / "store/deltas", tmp_path / "saved/deltas")
+    assert store.compact()
+    shutil.copytree(tmp_path / "saved/deltas", tmp_path / "store/deltas", dirs_exist_ok=True)
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "l", "t", 3, 7, 7)]
+    store.commit("d", batch(8))
+    # Broken off before it became valid: a snapshot without its list does not count.
+    (tmp_path / "store/snapshots/000000000003/totals").mkdir(parents=True)
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "l", "t", 4, 15, 15)]
+    assert store.compact()
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "l", "t", 4, 15, 15)]
+    assert store.batches() == ["a", "b", "c", "d"]
+    assert not any((tmp_path / "store/deltas").iterdir())
