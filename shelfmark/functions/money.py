@@ -10,7 +10,9 @@ from shelfmark.functions.binding import let
 from shelfmark.functions.text import strip
 
 _GAP = rf"[{P.WS}]*"
-MONEY = rf"{P.CURRENCY}{_GAP}{P.NUMBER}|{P.NUMBER}{_GAP}{P.CURRENCY}"
+#: What a currency mark can begin with: without it every mark would be tried at every character.
+_MARK_AHEAD = r"(?=[A-Zz$£€¥₹₽₺₩￥＄￡￦])"
+MONEY = rf"{_MARK_AHEAD}{P.CURRENCY}{_GAP}{P.NUMBER}|{P.NUMBER}{_GAP}{_MARK_AHEAD}{P.CURRENCY}"
 
 
 def _after_last(text: Column, mark: str) -> Column:

@@ -83,7 +83,8 @@ def dimensions(url: Column) -> Column:
         *[F.regexp_extract_all(url, F.lit(r"/(\d{3,5})x(\d{3,5})/"), F.lit(g)) for g in (1, 2)],
         *[F.regexp_extract_all(url, F.lit(r"[-_](\d{3,5})x(\d{1,5})(?:\.|$|[-_])"), F.lit(g)) for g in (1, 2)],
     )
-    return F.coalesce(F.array_max(F.transform(found, lambda x: x.cast("int"))), F.lit(0))
+    # One search settles the many URLs without any such number.
+    return F.when(url.rlike(r"=\d\d|\dx\d"), F.coalesce(F.array_max(F.transform(found, lambda x: x.cast("int"))), F.lit(0))).otherwise(0)
 
 
 def identity_key(url: Column) -> Column:
@@ -127,11 +128,14 @@ def container_of(path: Column) -> Column:
     return F.regexp_replace(asset_boundary(path), r"\[\d+\]$", "")
 
 
+_UNNAMED_END = r"(?i)(?:(?<![^.\[\]])(?:\d+|" + "|".join(w for w in P.CONTAINERS if w not in P.CROPS and w not in P.LADDER) + r")(?:[.\[\]]+|\z))+\z"
+
+
 def ladder_rank(path: Column) -> Column:
-    """Place of the last size word in the ladder of renditions; -1 for crops and without one."""
-    tokens = F.regexp_extract_all(path, F.lit(r"([^.\[\]]+)"), F.lit(1))
+    """Place of the last size word in the ladder of renditions; -1 for crops and without one.
+
+    Numbers and container words at the end say nothing; the last other word decides.
+    """
     rungs = F.array(*[F.lit(w) for w in P.LADDER])
-    skipped = tuple(w for w in P.CONTAINERS if w not in P.CROPS and w not in P.LADDER)
-    named = F.filter(tokens, lambda t: ~(t.rlike(r"^\d+$") | _in(t, skipped)))
-    last = F.lower(F.try_element_at(named, F.lit(-1)))
+    last = F.lower(F.regexp_extract(F.regexp_replace(path, _UNNAMED_END, ""), r"([^.\[\]]+)[.\[\]]*\z", 1))
     return let(last, lambda w: F.when(w.isNull() | w.isin(*P.CROPS), -1).otherwise(F.array_position(rungs, w).cast("int") - 1))

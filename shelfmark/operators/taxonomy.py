@@ -10,6 +10,8 @@ from shelfmark.functions.text import collapse, first_sentence, strip
 
 SHORTLIST, BRANCHES, EXPANDED = 20, 2, 45
 MOST_QUERY, MOST_SENTENCE = 320, 120
+#: Characters of all paths up to which a taxonomy's vectors are broadcast: 1.5 entries of some 40 bytes a character at most.
+BROADCAST_CHARS = 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -47,15 +49,19 @@ def shortlist(queries: DataFrame, taxonomy: DataFrame, key: str = "query_id", te
 
     ``taxonomy`` has ``path`` and ``ord``.  ``roots``, a column of root names, restricts the paths;
     roots that match nothing restrict nothing.  Only paths that share a term are scored, so that
-    queries meet postings and not the whole taxonomy.
+    queries meet postings and not the whole taxonomy.  A taxonomy of :data:`BROADCAST_CHARS` at most
+    (its characters are summed first) goes to the queries, which are then shuffled by ``key`` alone
+    and never by term, where common terms would be hot; a larger one is joined by term.
     """
     # One row; the number of paths.
     unseen = taxonomy.agg(F.log(F.count("*").cast("double")).alias("unseen"))
+    chars = taxonomy.agg(F.sum(F.length("path"))).first()[0] or 0
+    sent = F.broadcast if chars <= BROADCAST_CHARS else lambda df: df
     weights = idf(taxonomy)
     paths = vectors(taxonomy, "ord", "path", weights, unseen).withColumnRenamed("w", "pw")
-    asked = vectors(queries, key, text, weights, unseen)
-    scored = asked.join(paths, "term").groupBy(key, "ord").agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
-    named = scored.join(taxonomy.select("ord", "path"), "ord")
+    asked = vectors(queries, key, text, sent(weights), unseen)
+    scored = asked.join(sent(paths), "term").groupBy(key, "ord").agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
+    named = scored.join(sent(taxonomy.select("ord", "path")), "ord")
     if roots:
         wanted = queries.select(key, F.transform(roots, lambda r: F.lower(strip(r))).alias("wanted"))
         named = named.join(wanted, key).withColumn("fits", F.coalesce(F.array_contains("wanted", F.lower(root_of(F.col("path")))), F.lit(False)))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.catalog import entry_id
+from shelfmark.sources.stages import staged
 
 PRICE = "struct<price: double, currency: string, compare_at_price: double>"
 VARIANT = f"struct<sku: string, options: map<string, string>, price: {PRICE}, image_urls: array<string>, availability: string, gtin: string, mpn: string>"
@@ -24,10 +25,13 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def taxonomy_of(paths: DataFrame, column: str) -> DataFrame:
-    """``path``, ``ord`` of a table of paths, in their order."""
-    from pyspark.sql import Window
-
-    return paths.select(F.col(column).alias("path")).distinct().withColumn("ord", F.row_number().over(Window.orderBy("path")) - 1)
+    """``path``, ``ord`` of a table of paths, in their order, numbered range by range: no task sorts them all."""
+    ranged = staged(paths.select(F.col(column).alias("path")).distinct().repartitionByRange("path").withColumn("range", F.spark_partition_id()), "taxonomy")
+    # A row for each range.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("path")) - 1
+    return ranged.withColumn("i", within).join(F.broadcast(sums), "range").select("path", (F.col("before") + F.col("i")).cast("int").alias("ord"))
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
