@@ -32,6 +32,8 @@ FREQUENT = 0.1
 Z, APART = 2.58, 0.1
 #: Weight of the even prior, and what a template's pages must show to be rejected.
 PRIOR, REJECT_AT, LABELLED_SHARE = 2.0, 0.8, 0.25
+#: So many paths of one template meet what is known of it together; those of a larger one are dealt over several shares.
+PATHS_TOGETHER = 1000
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -61,15 +63,28 @@ def _differ(a: F.Column, n: F.Column, b: F.Column, m: F.Column) -> F.Column:
     return F.when((n > 0) & (m > 0), (gap > APART) & (gap > Z * error)).otherwise(False)
 
 
+def _meet(many: DataFrame, one: DataFrame, by: str) -> DataFrame:
+    """``many`` joined to its row of ``one`` by host and template, dealt by ``by`` into the shares that ``crowd`` asks for.
+
+    ``crowd`` is the same in all rows of a template.  ``one`` is repeated for each share, a row for
+    each :data:`PATHS_TOGETHER` paths more at most.
+    """
+    shares = F.ceil(F.col("crowd") / PATHS_TOGETHER).cast("int")
+    dealt = many.withColumn("share", F.pmod(F.xxhash64(by), shares).cast("int"))
+    spread = one.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("crowd")
+    return dealt.join(spread, ["host", "template", "share"]).drop("share")
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """``host``, ``path``, ``template`` for distinct ``host``, ``path`` with ``n``, ``allowed``, ``blocked``.
+    """``host``, ``path``, ``template``, ``crowd`` for distinct ``host``, ``path`` with ``n``, ``allowed``, ``blocked``.
 
     A path without segments has the template ``/``.  Every segment is judged, however deep; a path
     alone in its node takes the rest of its segments as they are, as level by level it would.
+    ``crowd`` bounds the number of paths of a template (1 for the roots of hosts, which are not counted).
     """
     # Segments that look like wildcards are literal and get a backslash before them.
     parts = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"^\\*[*+]$"), F.concat(F.lit("\\"), s)).otherwise(s))
-    start = paths.select("host", "path", "n", "allowed", "blocked", parts.alias("left"), F.lit("").alias("template"))
+    start = paths.select("host", "path", "n", "allowed", "blocked", parts.alias("left"), F.lit("").alias("template"), F.lit(1).cast("long").alias("crowd"))
     tree = materialise(start, "url-tree")
     more = F.size("left") > 0
     done = [tree.filter(~more).withColumn("template", F.lit("/"))]
@@ -77,22 +92,24 @@ def templates(paths: DataFrame) -> DataFrame:
     while not at.isEmpty():
         at = at.withColumn("segment", F.element_at("left", 1))
         ends = F.when(F.size("left") == 1, F.col("n")).otherwise(0)
-        child = at.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.sum(ends).alias("e"), F.count("*").alias("p"))
+        child = at.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.sum(ends).alias("e"), F.count("*").alias("p"), F.max("crowd").alias("crowd"))
         sums = [F.sum(c).alias(f"all_{c}") for c in ("n", "a", "b", "e", "p")]
-        node = child.groupBy("host", "template").agg(F.count("*").alias("k"), *sums)
-        known = child.join(node, ["host", "template"])
+        node = child.groupBy("host", "template").agg(F.count("*").alias("k"), *sums, F.max("crowd").alias("crowd"))
+        known = _meet(child, node, "segment")
         variable = (F.col("k") >= VARIABLE_FROM) & (F.col("k") >= VARIABLE_SHARE * F.col("all_p")) & (F.col("n") < FREQUENT * F.col("all_n"))
         other = {c: F.col(f"all_{c}") - F.col(c) for c in ("n", "a", "b", "e")}
         same = (other["n"] > 0) & ~_differ(F.col("b"), F.col("a") + F.col("b"), other["b"], other["a"] + other["b"]) & ~_differ(F.col("e"), F.col("n"), other["e"], other["n"])
         name = F.when(variable, "*").when(same, "+").otherwise(F.col("segment"))
-        named = known.select("host", "template", "segment", name.alias("name"), (F.col("all_p") == 1).alias("alone"))
+        # Of a node one template at most is ``*`` and one ``+``; they hold no more than all of its paths.
+        crowd = F.when(variable | same, F.col("all_p")).otherwise(F.col("p"))
+        named = known.select("host", "template", "segment", name.alias("name"), (F.col("all_p") == 1).alias("alone"), crowd.alias("next"))
         template = F.concat("template", F.lit("/"), F.when(F.col("alone"), F.array_join("left", "/")).otherwise(F.col("name")))
         left = F.when(F.col("alone"), F.slice("left", 1, 0)).otherwise(F.expr("slice(left, 2, size(left))"))
-        moved = at.join(named, ["host", "template", "segment"]).select("host", "path", "n", "allowed", "blocked", left.alias("left"), template.alias("template"))
+        moved = at.join(named, ["host", "template", "segment"]).select("host", "path", "n", "allowed", "blocked", left.alias("left"), template.alias("template"), F.col("next").alias("crowd"))
         tree = materialise(moved, "url-tree")
         done.append(tree.filter(~more))
         at = tree.filter(more)
-    return reduce(DataFrame.unionByName, done).select("host", "path", "template", "n", "allowed", "blocked")
+    return reduce(DataFrame.unionByName, done).select("host", "path", "template", "n", "allowed", "blocked", "crowd")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -109,11 +126,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     found = found.withColumn("rule", rule).withColumn("said", said)
     paths = found.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked"))
     tree = templates(paths)
-    sums = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
+    sums = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.max("crowd").alias("crowd"))
     labelled = F.col("a") + F.col("b")
     purity = (F.col("b") + PRIOR / 2) / (labelled + PRIOR)
     bad = (purity >= REJECT_AT) & (labelled >= LABELLED_SHARE * F.col("n"))
-    judged = tree.select("host", "path", "template").join(sums.select("host", "template", purity.alias("purity"), bad.alias("bad")), ["host", "template"])
+    judged = _meet(tree.select("host", "path", "template", "crowd"), sums.select("host", "template", "crowd", purity.alias("purity"), bad.alias("bad")), "path")
     verdict = F.coalesce("said", F.when(F.col("bad"), "block").otherwise("allow"))
     return found.join(judged, ["host", "path"]).select("id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 

@@ -155,3 +155,11 @@ def test_templates_purity_and_verdicts_are_those_of_plain_python(spark):
         bad = (b + U.PRIOR / 2) / (a + b + U.PRIOR) >= U.REJECT_AT and a + b >= U.LABELLED_SHARE * n
         assert rows[i].template == want[key]
         assert rows[i].verdict == (said[0] if said else "block" if bad else "allow")
+
+
+def test_shares_of_large_templates_change_nothing(spark, monkeypatch):
+    rows = [(i, f"http://s.com/{'en' if i % 3 else 'fr'}/{i}/x{i % 4}", "h", "x", 1) for i in range(300)] + [(i, f"http://t.org/{i % 5}/{i}", "h", "x", 1) for i in range(300, 360)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(tuple, U.judge(pages).collect()))
+    monkeypatch.setattr(U, "PATHS_TOGETHER", 7)
+    assert sorted(map(tuple, U.judge(pages).collect())) == whole and len(whole) == 360
