@@ -44,7 +44,7 @@ def json_image_strings(nodes: DataFrame, strings: DataFrame) -> DataFrame:
     fits = U.is_image_url(m["s"]) & (F.lower(m["k"]).isin(*P.IMAGE_KEYS) | m["s"].rlike(P.IMAGE_EXTENSION))
     keyed = members.filter(fits).select("page_id", full.alias("path"), m["s"].alias("s"), F.lit(True).alias("from_key"), F.struct("b", "n", "i").alias("ord"))
     spot = F.concat(F.lit("b"), F.col("b").cast("string"), F.when(F.col("path").startswith("["), "").otherwise("."), F.col("path"))
-    listed = strings.filter(U.is_image_url(F.col("s"))).select("page_id", spot.alias("path"), "s", F.lit(False).alias("from_key"), F.struct("b", F.col("ord").alias("n"), F.lit(1_000_000).alias("i")).alias("ord"))
+    listed = strings.filter(U.is_image_url(F.col("s"))).select("page_id", spot.alias("path"), "s", F.lit(False).alias("from_key"), F.struct("b", F.col("ord").alias("n"), (F.lit(1_000_000) + F.col("pos")).alias("i")).alias("ord"))
     return keyed.unionByName(listed)
 
 

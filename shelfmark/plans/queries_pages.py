@@ -212,3 +212,24 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through the whole plan.  The synthetic pages sell nothing, so each is refused, with reasons."""
     found = extract(read(spark, sf_dir, "pages").select("page_id", "html"), sample_taxonomy(spark))
     return found.select("page_id", "refused", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+#: What is appended to a page, by its number, and the name that is read from it; ``#`` stands for the number.
+ODD = (
+    (r'<script type="application/json">{"name":"Stool \ud83d#","offers":{"price":"1"}}</script>', "Stool \ufffd#"),
+    (r'<script type="application/json">{"\udc00":1,"list":["\ud83d"],"name":"Key #"}</script>', "Key #"),
+    ("<script>window.__D = {a:{b:" + "9" * 5000 + ',name:"Digits #"}};</script>', "Digits #"),
+    ('<script>window.__D = {product:{name:"Method #"},h:{onClick(){return {name:"no"}}}};</script>', "Method #"),
+    ('<script>window.__D = {o:{...rest,name:"no"},product:{name:"Spread #"}};</script>', "Spread #"),
+    ('<![foo[x]]><div itemscope itemtype="Product"><a itemprop="url" href="http://[">x</a><b itemprop="name">Mark #</b></div>', "Mark #"),
+)
+
+
+@query("SELECT page_id, replace(CASE page_id % 6 " + " ".join(f"WHEN {i} THEN '{name}'" for i, (_, name) in enumerate(ODD)) + " END, '#', CAST(page_id AS VARCHAR)) AS name FROM pages")
+def pages_with_odd_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with data appended that is cut, too long, or no JSON: what can be read of it is, and no page is lost."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "html")
+    odd = F.element_at(F.array(*[F.lit(text) for text, _ in ODD]), (F.col("page_id") % len(ODD) + 1).cast("int"))
+    added = pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.replace(odd, F.lit("#"), F.col("page_id").cast("string"))))
+    names = json_nodes(parsed_pages(added)).select("page_id", "n", graph.string_of(graph.member("name")).alias("name")).filter("name is not null")
+    return names.groupBy("page_id").agg(F.min_by("name", "n").alias("name"))

@@ -20,6 +20,8 @@ _ESCAPE = re.compile(r"\\(.)", re.S)
 _BALANCE = {o: re.compile(rf'"(?:[^"\\]|\\.)*"|["{re.escape(o + c)}]', re.S) for o, c in ("{}", "[]")}
 _QUOTED = "|".join(rf"{q}(?:[^{q}\\]|\\.)*{q}" for q in "\"'`")
 _TOKEN = re.compile(rf"(?P<gap>{_GAP})|(?P<text>{_QUOTED})|(?P<number>{NUMBER})|(?P<word>{IDENTIFIER})|(?P<mark>.)", re.S)
+#: Escapes of JSON; the first group is half of a surrogate pair without the other half.
+_ESCAPED = re.compile(r"\\[^u]|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|(\\u[dD][89a-fA-F][0-9a-fA-F]{2})", re.S)
 _CLOSES = {"{": "}", "[": "]", "(": ")"}
 
 
@@ -52,66 +54,81 @@ def skip_space(text: str, at: int) -> int:
     return _SPACE.match(text, at).end()
 
 
-def _number(raw: str) -> int | float:
-    if "x" in raw or "X" in raw:
-        return int(raw, 16)
-    return int(raw) if raw.lstrip("-").isdigit() else float(raw)
+def _number(raw: str) -> object:
+    """The number written, or :class:`_Unreadable` if it has more digits than Python converts."""
+    try:
+        value = int(raw, 16) if "x" in raw or "X" in raw else int(raw) if raw.lstrip("-").isdigit() else float(raw)
+        str(value)  # as a row will hold it
+        return value
+    except ValueError:
+        return _Unreadable
 
 
 class _Unreadable(ValueError):
     pass
 
 
+#: No value yet: a container has been opened.
+_OPEN = object()
+
+
 def _read(text: str) -> object:
     """The first literal of ``text``, token by token.
 
     ``open_`` holds the containers that are open, each with the key that waits for its value (for an
-    object) and whether the colon was met.  A value that is an expression is passed over up to the
-    comma or bracket that ends it at its level: its key is left out, its place in a list is null.
+    object) and whether the colon was met.  What cannot be read is passed over at its own level, an
+    expression up to the comma or bracket that ends it, and an object with a method, a spread or a
+    shorthand member up to its own closing bracket: its key is left out, its place in a list is null.
     """
     open_: list[list] = []  # container, key, colon met
-    passing = -1  # brackets open inside an expression that is passed over; -1 outside one
+    passing: int | None = None  # brackets open inside what is passed over
+    object_ = False  # what is passed over is the innermost open object
     for m in _TOKEN.finditer(text):
         kind, raw = m.lastgroup, m.group()
         if kind == "gap":
             continue
-        if passing >= 0:
-            ends = passing == 0 and raw in (",", ")", "]", "}")
-            passing += (raw in _CLOSES) - (raw in (")", "]", "}")) if not ends else -passing - 1
-            if not ends:
+        closes, value = kind == "mark" and raw in ")]}", _OPEN
+        if passing is not None:
+            if passing or not (closes or (raw == "," and not object_)):
+                passing += (kind == "mark" and raw in _CLOSES) - closes
                 continue
-        if open_:
-            into, key, colon = open_[-1]
-            if raw == ",":
-                continue
-            if isinstance(into, dict) and key is None and raw != "}":
-                if kind == "mark" or raw[0] == "`":
-                    raise _Unreadable
+            passing = None
+            if object_:
+                object_ = False
+                open_.pop()
+                value = _Unreadable
+        into, key, colon = open_[-1] if open_ else (None, None, False)
+        if value is _Unreadable:
+            pass
+        elif isinstance(into, dict) and not colon and raw != "}":
+            if key is None and (kind in ("text", "number", "word") and raw[0] != "`"):
                 open_[-1][1] = _unescaped(raw[1:-1]) if kind == "text" else raw
-                continue
-            if isinstance(into, dict) and not colon and raw != "}":
-                if raw != ":":
-                    raise _Unreadable
+            elif key is not None and raw == ":":
                 open_[-1][2] = True
-                continue
-        closing = bool(open_) and raw == ("}" if isinstance(open_[-1][0], dict) else "]")
-        if closing:
-            value = open_.pop()[0]
+            elif key is not None or raw != ",":
+                passing, object_ = int(raw in _CLOSES), True
+            continue
+        elif open_ and raw == ",":
+            open_[-1][1:] = None, False
+            continue
+        elif open_ and raw == ("}" if isinstance(into, dict) else "]"):
+            open_.pop()
+            value = into if key is None or colon else _Unreadable
         elif raw in ("{", "[") and len(open_) <= MOST_DEPTH:
             open_.append([{} if raw == "{" else [], None, False])
-            continue
         elif kind == "text":
             value = _unescaped(raw[1:-1])
         elif kind == "number":
             value = _number(raw)
         elif kind == "word" and raw in WORDS:
             value = WORDS[raw]
-        elif not open_:
-            raise _Unreadable
         else:
-            passing = int(raw in _CLOSES)
-            value = _Unreadable
+            value, passing = _Unreadable, int(raw in _CLOSES)
+        if value is _OPEN:
+            continue
         if not open_:
+            if value is _Unreadable:
+                break
             return value
         into, key, _ = open_[-1]
         if isinstance(into, list):
@@ -123,8 +140,9 @@ def _read(text: str) -> object:
 
 
 def loads(text: str) -> object | None:
+    """JSON, or null.  Halves of surrogate pairs, as of an emoji cut in two, are no characters and read as U+FFFD."""
     try:
-        return json.loads(text)
+        return json.loads(_ESCAPED.sub(lambda m: "\\ufffd" if m[1] else m[0], text) if "\\u" in text else text)
     except (ValueError, RecursionError):
         return None
 

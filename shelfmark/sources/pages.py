@@ -75,7 +75,7 @@ OBJECTS = (
     f"array<struct<b: int, carrier: string, n: int, last: int, path: string, depth: int, parent: int, parent_key: string, pruned: string, "
     f"kv: array<struct<k: string, {VALUE}, items: array<struct<{VALUE}>>>>>>"
 )
-STRINGS = "array<struct<b: int, path: string, s: string, ord: int>>"
+STRINGS = "array<struct<b: int, path: string, s: string, ord: int, pos: int>>"
 PARSED = f"page_id long, html string, body_text string, dom {DOM}, objects {OBJECTS}, strings {STRINGS}"
 
 
@@ -133,9 +133,10 @@ def parsed_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per page with its elements, its JSON objects and list strings as ordered arrays.
 
     Persist or write the result before using it more than once: Spark would parse anew for each use.
+    Bytes of a page that are no UTF-8 are read as U+FFFD; null and empty pages have no rows in their arrays.
     """
     ship_package(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.make_valid_utf8(F.col(html_col).cast("string")).alias("html"))
     kind = T.StructType.fromDDL(PARSED)
     return rows.mapInArrow(_parse_batches(to_arrow_schema(kind)), kind)
 

@@ -35,13 +35,15 @@ CONTEXT = ("class", "id", "data-testid", "role", "aria-label", "aria-busy", "ari
 
 
 class Node:
-    __slots__ = ("nid", "parent", "last", "depth", "tag", "attrs", "texts", "children")
+    """An element.  The text under it is ``pieces[first:until]``: the pieces of a page are one list."""
 
-    def __init__(self, nid: int, parent: Node | None, tag: str, attrs: dict[str, str]) -> None:
+    __slots__ = ("nid", "parent", "last", "depth", "tag", "attrs", "texts", "pieces", "first", "until")
+
+    def __init__(self, nid: int, parent: Node | None, tag: str, attrs: dict[str, str], pieces: list[str]) -> None:
         self.nid, self.parent, self.tag, self.attrs = nid, parent, tag, attrs
         self.depth, self.last = (parent.depth + 1 if parent else 0), nid
         self.texts: list[str] = []
-        self.children: list[Node | str] = []
+        self.pieces, self.first, self.until = pieces, len(pieces), len(pieces)
 
     def ancestors(self, limit: int = 40) -> list[Node]:
         out, at = [], self.parent
@@ -59,12 +61,14 @@ class Builder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node(0, None, "", {})]
+        self.pieces: list[str] = []
+        self.nodes = [Node(0, None, "", {}, self.pieces)]
         self.open = [self.nodes[0]]
 
     def _close(self, depth: int) -> None:
         while len(self.open) > depth:
-            self.open.pop().last = len(self.nodes) - 1
+            node = self.open.pop()
+            node.last, node.until = len(self.nodes) - 1, len(self.pieces)
 
     def _end_siblings(self, names: set[str], stops: set[str]) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
@@ -89,9 +93,8 @@ class Builder(HTMLParser):
         first: dict[str, str] = {}
         for name, value in attrs:
             first.setdefault(name.lower(), value or "")
-        node = Node(len(self.nodes), self.open[-1], tag, first)
+        node = Node(len(self.nodes), self.open[-1], tag, first, self.pieces)
         self.nodes.append(node)
-        self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
 
@@ -108,7 +111,11 @@ class Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.open[-1].texts.append(data)
-        self.open[-1].children.append(data)
+        self.pieces.append(data)
+
+    def parse_html_declaration(self, i: int) -> int:
+        # ``<![...`` is a comment to a browser; the standard library gives up on words it does not know.
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
 
 def parse(page: str) -> list[Node]:
@@ -116,42 +123,27 @@ def parse(page: str) -> list[Node]:
     builder.feed(page)
     builder.close()
     builder._close(0)
-    builder.nodes[0].last = len(builder.nodes) - 1
     return builder.nodes
 
 
 def collapsed_text(node: Node, most: int | None = None) -> str:
     """All text under a node with white space collapsed; its first ``most`` characters if that is given."""
-    out, size, stack = [], 0, [iter(node.children)]
-    while stack and (most is None or size <= most):
-        for child in stack[-1]:
-            if isinstance(child, str):
-                out.append(child)
-                # Collapsing leaves at least these, so that enough is read however much white space there is.
-                size += sum(map(len, child.split()))
-                if most is not None and size > most:
-                    break
-            else:
-                stack.append(iter(child.children))
-                break
-        else:
-            stack.pop()
+    out, size = [], 0
+    for at in range(node.first, node.until):
+        out.append(piece := node.pieces[at])
+        # Collapsing leaves at least these, so that enough is read however much white space there is.
+        size += sum(map(len, piece.split()))
+        if most is not None and size > most:
+            break
     return " ".join("".join(out).split())[:most]
 
 
 def deep_text(node: Node, most: int | None = None, between: str = "") -> str:
     """All text under a node in document order, up to about ``most`` characters."""
-    out, size, stack = [], 0, [iter(node.children)]
-    while stack:
-        for child in stack[-1]:
-            if isinstance(child, str):
-                out.append(child)
-                size += len(child)
-                if most is not None and size > most:
-                    return between.join(out)
-            else:
-                stack.append(iter(child.children))
-                break
-        else:
-            stack.pop()
+    out, size = [], 0
+    for at in range(node.first, node.until):
+        out.append(node.pieces[at])
+        size += len(out[-1])
+        if most is not None and size > most:
+            break
     return between.join(out)

@@ -136,3 +136,55 @@ def test_headings_keep_their_whole_text(spark):
     dom = {(r.page_id, n.tag): n.text for r in parsed_pages(pages).collect() for n in r.dom}
     assert dom[1, "title"] == dom[1, "h1"] == long
     assert dom[1, "p"] == long[:500]
+
+
+HALVES = r"""<script>var data = {"k\ud83d":["\udc00",{"name":"Stool \ud83d","a":"\ud83d\ude00","b":"\\ud83d"}]};</script><div data-x='{"title":"Attribute \ud83d"}'></div>"""
+
+
+def test_halves_of_surrogate_pairs_harm_no_page(spark):
+    pages = spark.createDataFrame([(1, HALVES), (2, PAGES[1]), (3, r"<script>x.y = {n:'js \ud83d', m:1}</script>")], "page_id long, html string")
+    nodes = json_nodes(parsed_pages(pages)).collect()
+    said = {(r.page_id, m.k): m.s for r in nodes for m in r.kv if m.kind == "str"}
+    assert said[1, "name"] == "Stool \ufffd" and said[1, "title"] == "Attribute \ufffd" and said[1, "a"] == "\U0001f600" and said[1, "b"] == "\\ud83d"
+    assert {r.parent_key for r in nodes if r.page_id == 1} == {None, "k\ufffd"} and {r.path for r in nodes if r.page_id == 1} == {"", "k\ufffd[1]"}
+    assert said[3, "n"] == "js ud83d" and said[2, "sku"] == "4471"
+    strings = [x for r in parsed_pages(pages).collect() for x in r.strings if r.page_id == 1]
+    assert [(x.path, x.s) for x in strings] == [("k\ufffd[0]", "\ufffd")]
+
+
+def test_what_cannot_be_read_costs_no_more_than_itself(spark):
+    long = "9" * 5000
+    assert L.loads_js(f"{{a:{{b:{long},c:1}},d:0x{'f' * 6000},e:[{long}]}}") == {"a": {"c": 1}, "e": [None]}
+    assert L.loads_js('{product:{name:"X"},h:{onClick(){return 1}},z:2}') == {"product": {"name": "X"}, "z": 2}
+    assert L.loads_js('{o:{...rest,b:1},l:[{get x(){return {a:1}}},3,{s}],product:{name:"X"}}') == {"l": [None, 3, None], "product": {"name": "X"}}
+    assert L.loads_js("{a:,b:2,c:}") == {"b": 2} and L.loads_js("{f(){}}") is None and L.loads_js('{a:{["k"]:1},b:{c:1') is None
+    pages = [(1, f"<script>window.__D = {{a:{{b:{long},name:'N'}}}}</script>"), (2, "<![foo[x]]><p>after"), (3, '<base><div itemscope><a itemprop=u href="http://[">t</a><b itemprop=v>w</b></div>' + '<link rel=canonical href="http://x/">'), (4, "<div itemscope>" * 3000)]
+    parsed = {r.page_id: r for r in parsed_pages(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert [m.s for o in parsed[1].objects for m in o.kv if m.k == "name"] == ["N"]
+    assert [n.tag for n in parsed[2].dom] == ["p"] and [m.s for o in parsed[3].objects for m in o.kv] == ["http://[", "w"]
+
+
+def test_bytes_that_are_no_text_are_replaced(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"<title>caf\xe9</title>")), (2, bytearray(b"<title>b</title>"))], "page_id long, html binary")
+    assert {r.page_id: r.dom[0].text for r in parsed_pages(rows).collect()} == {1: "caf\ufffd", 2: "b"}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<![x[", "<!--", "-->", "<div itemscope itemprop=a>", "</div>", "<script>", "</script>", 'x.y={a:{b(){}},c:"', "'}", r'{"a":"\ud83d"}', "<a itemprop=b href='//['>", "&#xD800;", "<", "]]>", "\x00", "é"]), max_size=20))
+def test_any_page_is_read(parts):
+    found = parse_page("".join(parts))
+    json.dumps(found, ensure_ascii=False).encode()
+    for o in found["objects"]:
+        assert o["n"] <= o["last"] and (o["parent"] is None or o["parent"] < o["n"] <= found["objects"][o["parent"]]["last"])
+
+
+def test_evidence_is_short_and_without_empty_values():
+    node = {"name": "N", "sku": "s", "price": 0, "brand": {}, "tracking": "no", "image": ["", {"a": None}, "i" * 900], "deep": {"b": {"c": {"d": {"e": {"f": {"g": {"h": 1}}}}}}, "x": False}, "list": list(range(20))}
+    assert json.loads(H.evidence(node)) == {"name": "N", "sku": "s", "price": 0, "image": ["i" * 600], "deep": {"x": False}, "list": list(range(8))}
+    assert H.evidence({"brand": "", "offers": [], "session": 1}) is None
+
+
+def test_a_store_of_rows_that_all_name_each_other_is_followed_in_bounds():
+    rows = [{"id": f"row-{i}", "others": [{"__ref": f"row-{j}"} for j in range(120)]} for i in range(120)]
+    whole = H.followed([("x", rows)])
+    assert whole[0][0]["others"][1]["others"][2]["id"] == "row-2"
