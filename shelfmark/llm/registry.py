@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import cascade, embed, fim, warc
+from shelfmark.llm import cascade, embed, fim, search, warc
 from shelfmark.llm.digest import op2_digest
 from shelfmark.llm.html_main import op5_html_main
 from shelfmark.llm.mixing import op4_mixing
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": embed.op8_embeddings,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": search.op11_ranked_search,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
     "op13_quality_rules": cascade.op13_quality_rules,
 }
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
     "op8_embeddings": embed.ORACLE_SQL,
+    "op11_ranked_search": search.ORACLE_SQL,
     "op12_fill_in_middle": fim.ORACLE_SQL,
     "op13_quality_rules": cascade.ORACLE_SQL,
 }
