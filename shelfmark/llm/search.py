@@ -27,15 +27,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import materialise, prepare, table
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Terms are hashed to so many features; a document takes part in the bisection by its rarest ones.
-FEATURES, MOST_FEATURES = 8192, 24
+#: Terms are hashed to so many features; a document takes part in the bisection by so many of its most frequent ones
+#: among those that at most this share of all documents has.  Rarer ones tell less: on sf0.1 sixteen parts are then of
+#: one language to 0.94, by the rarest features of each document to 0.61.
+FEATURES, MOST_FEATURES, MOST_SHARE = 8192, 24, 0.3
 #: Parts are cut until they have about so many documents, or there are so many of them; larger ones are dealt by hash.
 SHARD_DOCS, MOST_PARTS = 4096, 256
 #: A shard has no more postings than about this either.
@@ -54,11 +57,17 @@ def terms_of(text: str | None) -> list[bytes]:
     return TERM.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
-def bucket(term: bytes) -> int:
-    return zlib.crc32(term) % FEATURES
+VECTOR = "row long, id long, n long, size long, terms string, tfs binary, buckets binary"
+VECTORS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("terms", pa.string()), ("tfs", pa.binary()), ("buckets", pa.binary())])
 
 
-VECTORS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32())), ("buckets", pa.list_(pa.int32()))])
+def packed(counts: list[int]) -> bytes:
+    """Counts in a byte each, or in four if one needs them; the length of the list tells which."""
+    return bytes(counts) if max(counts, default=0) < 256 else np.array(counts, "<u4").tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else "<u4").astype(np.int64)
 
 
 def _vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,37 +75,33 @@ def _vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
-            columns: list[list] = [[] for _ in VECTORS]
-            terms: list[bytes] = []
-            ends = [0]
+            made = []
             for key, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
                 words = terms_of(text.as_py())
                 row += 1
-                if not words:
-                    continue
-                counted = Counter(words)
-                terms.extend(counted)
-                ends.append(len(terms))
-                for column, value in zip(columns, (row, key, len(words), None, list(counted.values()), list({bucket(t) for t in counted})), strict=True):
-                    column.append(value)
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([listed if f.name == "terms" else pa.array(c, f.type) for c, f in zip(columns, VECTORS, strict=True)], schema=VECTORS)
+                if words:
+                    counted = Counter(words)
+                    buckets = np.unique(np.fromiter(map(zlib.crc32, counted), np.uint32, len(counted)) % FEATURES)
+                    made.append((row, key, len(words), len(counted), b" ".join(counted), packed(list(counted.values())), buckets.astype("<u2").tobytes()))
+            columns = list(zip(*made, strict=True)) if made else [[] for _ in VECTORS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).cast(pa.string()) if f.name == "terms" else pa.array(c, f.type) for c, f in zip(columns, VECTORS, strict=True)], schema=VECTORS)
 
 
 def vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document with a term: ``row`` (a number of its own), ``id``, ``n``, ``terms`` with ``tfs``, ``buckets``."""
+    """A row for each document with a term: ``row`` (a number of its own), ``id``, ``n`` terms, ``size`` distinct ones, and packed ``terms``, ``tfs``, ``buckets``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_vector_batches, "row long, id long, n long, terms array<string>, tfs array<int>, buckets array<int>")
+    return rows.mapInArrow(_vector_batches, VECTOR)
 
 
 # --- Recursive graph bisection. ---
-STATE = "row long, size long, features array<int>, part int, side int"
+STATE = "row long, size long, features binary, part int, side int"
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All elements of a column of lists, and where each list begins and the last ends."""
-    offsets = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a column of packed lists, and where each list begins and the last ends."""
+    lists = column.to_pylist()
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
+    return np.frombuffer(b"".join(lists), "<u2").astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -104,22 +109,35 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return run[offsets[1:]] - run[offsets[:-1]]
 
 
-def _rare(df: np.ndarray):
-    """Batches of the first state: each document with its rarest features, in one part."""
+def _telling(df: np.ndarray, n_docs: int):
+    """Batches of the first state: each document with its telling features, in one part."""
+    good = (df > 1) & (df <= max(MOST_SHARE * n_docs, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for found in batch.column(2).to_pylist():
-                own = np.array(found, np.int32)
-                own = own[df[own] > 1]
-                kept.append(own[np.argsort(df[own], kind="stable")[:MOST_FEATURES]].tolist())
+            found, offsets = _lists(batch.column(2))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            found, owner = found[good[found]], owner[good[found]]
+            order = np.lexsort((found, -df[found], owner))
+            found, owner = found[order], owner[order]
+            starts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            first = np.arange(len(found)) - starts[owner] < MOST_FEATURES
+            data = found[first].astype("<u2").tobytes()
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=batch.num_rows)))) * 2
+            kept = pa.array([data[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
             zero = pa.array(np.zeros(batch.num_rows, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.int32())), zero, zero], names=["row", "size", "features", "part", "side"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, zero, zero], names=["row", "size", "features", "part", "side"])
 
     return run
 
 
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(FEATURES, np.int64)
+    for batch in batches:
+        counts += np.bincount(_lists(batch.column(0))[0], minlength=FEATURES)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES)), pa.array(counts)], names=["b", "n"])
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Degrees of this task: documents by part, side and feature, and (as feature -1) all documents."""
     counts: Counter = Counter()
@@ -244,11 +262,11 @@ def exchange(counts: np.ndarray) -> tuple[np.ndarray, int]:
 def bisected(found: DataFrame, shard_docs: int, exchanges: int = EXCHANGES) -> tuple[DataFrame, int]:
     """``row``, ``size``, ``features``, ``part`` of the documents ``row``, ``size``, ``buckets``, and the number of parts."""
     spark = found.sparkSession
-    met = found.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n")).toArrow()  # a row for each feature
+    met = found.select("buckets").mapInArrow(_bucket_counts, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # a row for each feature
     df = np.zeros(FEATURES, np.int64)
     df[met.column("b").to_numpy()] = met.column("n").to_numpy()
-    state = materialise(found.select("row", "size", "buckets").mapInArrow(_rare(df), STATE), "bisection")
-    n, parts, level = state.count(), 1, 0
+    n, parts, level = found.count(), 1, 0
+    state = materialise(found.select("row", "size", "buckets").mapInArrow(_telling(df, n), STATE), "bisection")
     while parts < MOST_PARTS and n > parts * shard_docs:
         shared = spark.sparkContext.broadcast(signs(level))
         state = materialise(state.mapInArrow(_moved(shared, halving(_counted(state, shared, parts)), level), STATE), "bisection")
@@ -266,7 +284,10 @@ def bisected(found: DataFrame, shard_docs: int, exchanges: int = EXCHANGES) -> t
 
 
 class Index(NamedTuple):
-    """``lists``: ``shard``, ``term``, ``numbers``, ``impacts``, ``top``, ``df``; ``places``: ``shard``, ``number``, ``id``; and two totals."""
+    """``lists``: ``shard``, ``term``, ``numbers`` and ``tfs`` (packed), ``top``, ``df``; ``places``: ``shard``, ``number``, ``id``; and two totals.
+
+    The list of the term ``''`` has the lengths of the shard's documents in place of ``tfs``.
+    """
 
     lists: DataFrame
     places: DataFrame
@@ -279,7 +300,8 @@ def impact(tf: np.ndarray, n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarr
     return 1_000_000_000 * tf // (1000 * tf + 8 * m)
 
 
-LISTS = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("numbers", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int32())), ("top", pa.int64()), ("df", pa.int64())])
+LIST = "shard long, term string, numbers binary, tfs binary, top long, df long"
+LISTS = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("numbers", pa.binary()), ("tfs", pa.binary()), ("top", pa.int64()), ("df", pa.int64())])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -307,24 +329,30 @@ def _index_batches(n_docs: int, n_terms: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in _grouped(batches, "shard"):
-            docs = docs.combine_chunks()
-            terms, offsets = docs.column("terms").chunk(0), None
-            offsets = terms.offsets.to_numpy().astype(np.int64)
-            encoded = terms.flatten().dictionary_encode()
+            shard, lengths = docs.column("shard")[0].as_py(), docs.column("n").to_numpy()
+            sizes = docs.column("size").to_pylist()
+            split = pc.split_pattern(docs.column("terms").combine_chunks(), " ")
+            encoded = (split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split).flatten().dictionary_encode()
             codes = encoded.indices.to_numpy()
-            per = np.diff(offsets)
-            numbers = np.repeat(docs.column("number").to_numpy(), per)
-            impacts = impact(docs.column("tfs").chunk(0).flatten().to_numpy().astype(np.int64), np.repeat(docs.column("n").to_numpy(), per), n_docs, n_terms)
+            numbers = np.repeat(np.arange(len(sizes)), sizes)
+            tfs = np.concatenate([unpacked(x, k) for x, k in zip(docs.column("tfs").to_pylist(), sizes, strict=True)])
             order = np.argsort(codes, kind="stable")
             df = np.bincount(codes, minlength=len(encoded.dictionary))
             starts = np.concatenate(([0], np.cumsum(df)))
-            impacts = impacts[order]
-            top = np.maximum.reduceat(impacts, starts[:-1])
-            ends = pa.array(starts, pa.int32())
-            shard = pa.array(np.full(len(df), docs.column("shard")[0].as_py(), np.int64))
-            made = [shard, encoded.dictionary, pa.ListArray.from_arrays(ends, pa.array(numbers[order], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(impacts, pa.int32())), pa.array(top, pa.int64()), pa.array(df, pa.int64())]
-            whole = pa.RecordBatch.from_arrays(made, schema=LISTS)
-            yield from (whole.slice(at, 20_000) for at in range(0, len(df), 20_000))
+            top = np.maximum.reduceat(impact(tfs, lengths[numbers], n_docs, n_terms)[order], starts[:-1])
+            numbers, tfs = numbers[order].astype("<u4" if len(sizes) > 65535 else "<u2"), tfs[order]
+            width = numbers.dtype.itemsize
+            numbers = numbers.tobytes()
+            bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+            own = [pa.array([shard]), pa.array([""]), pa.array([b""], pa.binary()), pa.array([lengths.astype("<u4").tobytes()], pa.binary()), pa.array([0]), pa.array([len(sizes)])]
+            yield pa.RecordBatch.from_arrays(own, schema=LISTS)
+            for at in range(0, len(df), 20_000):
+                some = bounds[at : at + 20_000]
+                made = [
+                    pa.array(np.full(len(some), shard, np.int64)), encoded.dictionary.slice(at, len(some)), pa.array([numbers[i * width : j * width] for i, j in some], pa.binary()),
+                    pa.array([packed(tfs[i:j].tolist()) for i, j in some], pa.binary()), pa.array(top[at : at + 20_000]), pa.array(df[at : at + 20_000]),
+                ]
+                yield pa.RecordBatch.from_arrays(made, schema=LISTS)
 
     return run
 
@@ -334,7 +362,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     prepare(docs.sparkSession)
     found = materialise(vectors(docs, id_col, text_col), "vectors")
     n_docs, n_terms = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    state, parts = bisected(found.select("row", F.size("terms").cast("long").alias("size"), "buckets"), shard_docs)
+    state, parts = bisected(found.select("row", "size", "buckets"), shard_docs)
     sizes = state.groupBy("part").agg(F.count("*").alias("docs"), F.sum("size").alias("postings")).collect()  # MOST_PARTS rows at most
     shares = {r["part"]: int(max(-(-r["docs"] // (shard_docs * 5 // 4)), -(-r["postings"] // SHARD_POSTINGS), 1)) for r in sizes}
     dealt = F.create_map(*[F.lit(x) for p, k in shares.items() for x in (p, k)]) if shares else F.create_map(F.lit(0), F.lit(1))
@@ -343,8 +371,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     order = Window.partitionBy("shard").orderBy(F.col("id").asc_nulls_last(), "row")
     numbered = found.select("row", "id").join(of_row, "row").withColumn("number", F.row_number().over(order) - 1)
     places = materialise(numbered.select("row", "shard", "number", "id"), "places")
-    rows = found.select("row", "n", "terms", "tfs").join(places.select("row", "shard", "number"), "row").repartition("shard").sortWithinPartitions("shard", "number")
-    lists = rows.select("shard", "number", "n", "terms", "tfs").mapInArrow(_index_batches(n_docs, n_terms), "shard long, term string, numbers array<int>, impacts array<int>, top long, df long")
+    rows = found.select("row", "n", "size", "terms", "tfs").join(places.select("row", "shard", "number"), "row").repartition("shard").sortWithinPartitions("shard", "number")
+    lists = rows.select("shard", "n", "size", "terms", "tfs").mapInArrow(_index_batches(n_docs, n_terms), LIST)
     return Index(materialise(lists, "lists"), places.drop("row"), n_docs, n_terms)
 
 
@@ -354,20 +382,22 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], names=["item", "terms"])
 
 
-def _score_batches(k: int):
+def _score_batches(k: int, n_docs: int, n_terms: int):
     """The ``k`` best documents of a shard for each item of a block that visits it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lists in _grouped(batches, "shard", "block"):
-            numbers = [x.values.to_numpy() for x in lists.column("numbers")]
-            size = 1 + max(int(x.max()) for x in numbers)
-            items = sorted({i for x in lists.column("items").to_pylist() for i in x})
+            terms = lists.column("term").to_pylist()
+            data = dict(zip(terms, zip(*[lists.column(c).to_pylist() for c in ("numbers", "tfs", "items", "weights")], strict=True), strict=True))
+            lengths = np.frombuffer(data.pop("")[1], "<u4").astype(np.int64)
+            items = sorted({i for _, _, who, _ in data.values() for i in who})
             at = {item: i for i, item in enumerate(items)}
-            scores = np.zeros((len(items), size), np.int64)
-            for own, impacts, who, weights in zip(numbers, lists.column("impacts"), lists.column("items").to_pylist(), lists.column("weights").to_pylist(), strict=True):
-                added = impacts.values.to_numpy().astype(np.int64)
+            scores = np.zeros((len(items), len(lengths)), np.int64)
+            for numbers, tfs, who, weights in data.values():
+                numbers = np.frombuffer(numbers, "<u4" if len(lengths) > 65535 else "<u2")
+                added = impact(unpacked(tfs, len(numbers)), lengths[numbers], n_docs, n_terms)
                 for item, w in zip(who, weights, strict=True):
-                    scores[at[item], own] += w * added  # a document is in a list once
+                    scores[at[item], numbers] += w * added  # a document is in a list once
             out: list[list] = [[], [], []]
             for item, row in zip(items, scores, strict=True):
                 good = np.flatnonzero(row > 0)
@@ -423,10 +453,14 @@ def search(index: Index, items: DataFrame, id_col: str = "item_id", text_col: st
             told(visits.count(), open_.count())
         if visits.isEmpty():
             continue
-        wanted = visits.join(weighed, "item").groupBy("shard", "term", F.floor(F.col("item") / ITEMS_TOGETHER).alias("block")).agg(F.collect_list(F.struct("item", "w")).alias("who"))
-        met = index.lists.select("shard", "term", "numbers", "impacts").join(wanted, ["shard", "term"])
-        rows = met.select("shard", "block", "numbers", "impacts", F.col("who.item").alias("items"), F.col("who.w").alias("weights")).repartition("shard", "block").sortWithinPartitions("shard", "block")
-        scored = rows.mapInArrow(_score_batches(k), "item long, shard long, number int, score long")
+        named = visits.join(weighed, "item").withColumn("block", F.floor(F.col("item") / ITEMS_TOGETHER))
+        wanted = named.groupBy("shard", "term", "block").agg(F.collect_list(F.struct("item", "w")).alias("who"))
+        lengths = named.select("shard", "block").distinct().select("shard", F.lit("").alias("term"), "block", F.array().cast(wanted.schema["who"].dataType).alias("who"))
+        # Written, so that Spark knows its size: a small one is broadcast, and the lists are shuffled once.
+        wanted = materialise(wanted.unionByName(lengths), "wanted")
+        met = index.lists.select("shard", "term", "numbers", "tfs").join(wanted, ["shard", "term"])
+        rows = met.select("shard", "block", "term", "numbers", "tfs", F.col("who.item").alias("items"), F.col("who.w").alias("weights")).repartition("shard", "block").sortWithinPartitions("shard", "block")
+        scored = rows.mapInArrow(_score_batches(k, index.n_docs, index.n_terms), "item long, shard long, number int, score long")
         found = scored.join(index.places, ["shard", "number"]).select("item", "shard", "number", "id", "score")
         found = found if best is None else found.unionByName(best)
         best = materialise(_best(found, k).drop("rank"), "best")
