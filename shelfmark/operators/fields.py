@@ -10,7 +10,7 @@ from shelfmark.functions.binding import let
 from shelfmark.functions.money import amount_of_value, currency_of, money_mentions
 from shelfmark.functions.text import clean_text, drop_title_suffix
 from shelfmark.operators import dom as D
-from shelfmark.operators.graph import cleaned, first_said, member, members, string_of
+from shelfmark.operators.graph import cleaned, first_said, inside, member, members, string_of
 
 
 def first_valid(candidates: Column, least: int) -> Column:
@@ -65,7 +65,7 @@ def _prices() -> Column:
 def held_by(products: DataFrame, nodes: DataFrame) -> DataFrame:
     """Objects inside each product (itself included) with their path relative to it, by interval of numbers."""
     p = products.select("page_id", "rk", F.col("b").alias("pb"), F.col("n").alias("pn"), F.col("last").alias("pl"), F.col("path").alias("product_path"), F.col("kv").alias("pkv"))
-    inner = p.join(nodes, "page_id").filter("n >= pn and n <= pl")
+    inner = inside(p, nodes, "pn", "pl")
     cut = F.when(F.col("product_path") == "", F.col("path")).otherwise(F.expr("substring(path, length(product_path) + 2)"))
     return inner.withColumn("rel", F.when(F.col("n") == F.col("pn"), "").otherwise(cut))
 

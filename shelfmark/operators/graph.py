@@ -72,6 +72,20 @@ def product_nodes(nodes: DataFrame, least: int = P.LEAST_SCORE) -> DataFrame:
     return shaped.withColumn("rk", F.row_number().over(order))
 
 
+#: Objects are met through stretches of so many numbers, not page against page.
+STRETCH = 128
+
+
+def inside(outer: DataFrame, nodes: DataFrame, first: str, last: str) -> DataFrame:
+    """Rows of ``outer`` with the objects of their page numbered from ``first`` to ``last``.
+
+    A row is filed under every stretch of numbers that its interval touches and an object under its
+    own, so that a page of many objects is not compared each with each.
+    """
+    filed = outer.withColumn("stretch", F.explode(F.sequence(F.floor(F.col(first) / STRETCH), F.floor(F.col(last) / STRETCH))))
+    return filed.join(nodes.withColumn("stretch", F.floor(F.col("n") / STRETCH)), ["page_id", "stretch"]).filter(f"n >= {first} and n <= {last}").drop("stretch")
+
+
 def id_store(nodes: DataFrame) -> DataFrame:
     """``page_id``, ``ident``, ``n``: the first object that bears each id."""
     found = nodes.select("page_id", "n", F.inline(members(P.ID_FIELDS)))

@@ -14,7 +14,7 @@ from shelfmark.functions import urls as U
 from shelfmark.functions.binding import let
 from shelfmark.functions.choices import axis_of_key, axis_title, is_axis_id_key, is_null_choice, stock_of
 from shelfmark.functions.money import amount_of_value, currency_of
-from shelfmark.operators.graph import first_said, member, members, scalar_of, string_of
+from shelfmark.operators.graph import first_said, inside, member, members, scalar_of, string_of
 from shelfmark.sources.stages import staged
 
 OPTION = "array<struct<prio: int, ord: int, axis: string, value: string>>"
@@ -148,7 +148,7 @@ def table_variants(rows: DataFrame, picked: DataFrame, nodes: DataFrame) -> Data
     combo = F.to_json(F.array_sort("options"))
     once = Window.partitionBy("page_id", "combo").orderBy("table_id", "pos")
     kept = kept.withColumn("combo", combo).withColumn("k", F.row_number().over(once)).filter("k = 1").drop("k")
-    inner = kept.select("page_id", "table_id", "pos", F.col("n").alias("rn"), F.col("last").alias("rl")).join(nodes.select("page_id", "n", "path", "kv"), "page_id").filter("n >= rn and n <= rl")
+    inner = inside(kept.select("page_id", "table_id", "pos", F.col("n").alias("rn"), F.col("last").alias("rl")), nodes.select("page_id", "n", "path", "kv"), "rn", "rl")
     root = Window.partitionBy("page_id", "table_id", "pos")
     inner = inner.withColumn("root_path", F.min_by("path", "n").over(root)).withColumn("rel", F.expr("substring(path, length(root_path) + 2)"))
     money = first_said(P.PRICE_KEYS, lambda m: amount_of_value(m["kind"], m["s"], m["num"]))

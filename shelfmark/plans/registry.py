@@ -2,6 +2,5 @@
 
 from __future__ import annotations
 
-from shelfmark.plans import queries_catalog, queries_pages, queries_text  # noqa: F401  (registers the queries)
-from shelfmark.plans.queries_pages import page_records  # noqa: F401
+from shelfmark.plans import queries_catalog, queries_pages, queries_shop, queries_text, queries_time  # noqa: F401  (registers the queries)
 from shelfmark.plans.queries_text import QUERIES, SQL

@@ -10,13 +10,17 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
-#: Paths of tables not yet removed, innermost scope last.  The first list belongs to no scope.
-_SCOPES: list[list[str]] = [[]]
+#: Paths of tables not yet removed: of no scope, and of the scopes that the thread at hand has open, innermost last.
+_LOOSE: list[str] = []
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scopes", default=())
+#: The open scopes of all threads.
+_ALL: list[list[str]] = [_LOOSE]
 _SHIPPED: set[tuple[str, str]] = set()
 
 
@@ -33,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no run has used; removed with the scope that is open now."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _SCOPES[-1].append(path)
+    (_OPEN.get() or (_LOOSE,))[-1].append(path)
     return path
 
 
@@ -58,23 +62,26 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        for scope in _SCOPES:
+        for scope in (*_OPEN.get(), _LOOSE):
             if path in scope:
                 scope.remove(path)
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Stage tables made inside are removed at the end, also after an error.
+    """Stage tables made inside by this thread are removed at the end, also after an error.
 
     Results are computed when they are read: write or collect them inside.
     """
-    _SCOPES.append(own := [])
+    own: list[str] = []
+    _ALL.append(own)
+    before = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
         remove(spark, *list(own))
-        _SCOPES.remove(own)
+        _OPEN.reset(before)
+        _ALL[:] = [scope for scope in _ALL if scope is not own]
 
 
 @atexit.register
@@ -82,7 +89,7 @@ def _remove_rest() -> None:
     """What no scope removed goes with the interpreter, if the session still runs."""
     spark = SparkSession.getActiveSession()
     if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
-        remove(spark, *[p for scope in list(_SCOPES) for p in list(scope)])
+        remove(spark, *[p for scope in list(_ALL) for p in list(scope)])
 
 
 def ship_package(spark: SparkSession) -> None:

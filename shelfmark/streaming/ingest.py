@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.plans.extract import extract
+from shelfmark.sources.stages import scratch_scope
 
 PAGES = "page_id long, url string, html string"
 
@@ -20,11 +21,12 @@ def ingest(pages: DataFrame, taxonomy: DataFrame, out: str, checkpoint: str, onc
     """Write results of every batch under ``out/batch=<id>``.
 
     A batch that is repeated after a failure replaces its own folder, so each page's result is there
-    once.  Extraction keeps no state between pages.
+    once.  Extraction keeps no state between pages, and its stage tables go with their batch.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        extract(batch, taxonomy).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scratch_scope(batch.sparkSession):
+            extract(batch, taxonomy).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

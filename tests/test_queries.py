@@ -11,7 +11,6 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 OWN = sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline")
-SLOW = {"pdp_catalog_ids", "pdp_report", "pdp_extract_images", "page_records"}
 
 
 def _rows(frame):
@@ -27,7 +26,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in OWN if n not in SLOW])
+@pytest.mark.parametrize("name", OWN)
 def test_query_gives_the_rows_of_its_sql(spark, db, name):
     got = entry.queries()[name](spark, SF).toPandas()
     sql = entry.oracle_sql().get(name)
@@ -39,7 +38,7 @@ def test_query_gives_the_rows_of_its_sql(spark, db, name):
 
 
 def test_flagship(spark):
-    assert entry.entry(spark).count() == 50
+    assert entry.entry(spark).filter("refused is null and price > 0").count() == 200
 
 
 def test_every_sql_has_its_query():

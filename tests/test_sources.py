@@ -190,3 +190,40 @@ def test_a_store_of_rows_that_all_name_each_other_is_followed_in_bounds():
     assert all(o["id"] == f"row-{i}" for row in whole[0] for i, o in enumerate(row["others"]))
     refs = sum("__ref" in o for row in whole[0] for r in row["others"] for o in r["others"])
     assert 0 < refs and 120**3 - refs <= H.MOST_FOLLOWED
+
+
+def test_threads_keep_their_own_stage_tables(spark):
+    import threading
+
+    from shelfmark.sources.stages import scratch_scope, staged
+
+    made, go, done = {}, threading.Event(), threading.Event()
+
+    def other():
+        with scratch_scope(spark):
+            made["other"] = staged(spark.range(3), "other")
+            go.set()
+            done.wait(60)
+            made["count"] = made["other"].count()
+
+    thread = threading.Thread(target=other)
+    with scratch_scope(spark):
+        thread.start()
+        go.wait(60)
+        own = staged(spark.range(4), "own")
+    done.set()
+    thread.join()
+    assert made["count"] == 3  # closing the scope of this thread took nothing from the other one
+    assert own.schema.names == ["id"]
+
+
+def test_pages_of_many_objects_are_not_compared_each_with_each(spark):
+    from shelfmark.operators import fields, graph
+
+    offers = ",".join('{"@type":"Offer","price":"%d.50","priceCurrency":"EUR"}' % (i + 1) for i in range(9))
+    products = ",".join(f'{{"@type":"Product","name":"N{i}","sku":"s{i}","offers":[{offers}]}}' for i in range(500))
+    nodes = json_nodes(parsed_pages(spark.createDataFrame([(1, f'<script type="application/json">{{"all":[{products}]}}</script>')], "page_id long, html string"))).cache()
+    assert nodes.count() == 5001
+    held = fields.held_by(graph.product_nodes(nodes), nodes)
+    assert held.count() == 5000 and fields.node_prices(graph.product_nodes(nodes), nodes).count() == 4500
+    assert "stretch" in held._jdf.queryExecution().optimizedPlan().toString()

@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+from pathlib import Path
+
 from shelfmark.plans.extract import extract
 from shelfmark.plans.samples import PAGES, sample_taxonomy
+from shelfmark.sources.stages import shared_folder
+from shelfmark.streaming import changes as C
 from shelfmark.streaming import events as E
 from shelfmark.streaming.ingest import ingest, price_changes, read_pages
 
@@ -35,9 +40,61 @@ def test_streamed_repeats_are_dropped(spark, tmp_path):
 def test_ingestion_equals_the_batch_plan(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"https://shop.example.com/p/{i}", h) for i, h in PAGES.items() if i in (1, 6)], "page_id long, url string, html string")
     pages.write.parquet(str(tmp_path / "in"))
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
     ingest(read_pages(spark, str(tmp_path / "in")), sample_taxonomy(spark), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert set(folder.iterdir()) == before  # the stage tables of each batch are gone
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     want = extract(pages, sample_taxonomy(spark))
     assert sorted((r.page_id, r.confidence, r.refused) for r in got.collect()) == sorted((r.page_id, r.confidence, r.refused) for r in want.collect())
     earlier = got.selectExpr("url", "struct(struct(product.price.price + 1 as price) as price) as product").filter("product.price.price is not null")
     assert price_changes(got, earlier).count() == 1
+
+
+DAY = datetime(2024, 1, 1)
+#: Offer, day, price, stock; days arrive in batches of ten.
+SEEN = [
+    ("a", 0, 5.0, 1.0), ("a", 1, 5.0, 1.0), ("a", 2, 6.0, 1.0), ("a", 3, 6.0, 0.0), ("a", 25, 6.0, 2.0), ("b", 4, 1.0, 1.0), ("b", 11, 1.0, 1.0), ("b", 19, 2.0, 4.0), ("b", 19, 3.0, 4.0), ("c", 28, 9.0, 1.0), ("c", 29, 9.0, 1.0),
+    ("d", 0, 7.0, 1.0), ("d", 7, 7.0, 1.0), ("d", 15, 8.0, 1.0), (None, 3, 1.0, 1.0),
+]
+
+
+def _seen(spark, rows):
+    return spark.createDataFrame([(o, DAY + timedelta(days=d), p, s) for o, d, p, s in rows], "offer string, at timestamp, price double, stock double")
+
+
+def test_changes_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        table = _seen(spark, SEEN)
+        until = DAY + timedelta(days=29)
+        want = sorted(map(str, C.changes(C.sightings(table), 7, str(until)).collect()))
+        folder = tmp_path / "in"
+        folder.mkdir()
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+        def run():
+            query = C.changes_of_stream(stream, 7).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            return sorted(map(str, spark.read.schema(C.CHANGE).parquet(str(tmp_path / "out")).collect()))
+
+        for ten in range(3):
+            _seen(spark, [r for r in SEEN if r[1] // 10 == ten]).coalesce(1).write.mode("append").parquet(str(folder))
+            got = run()
+        assert got == want
+        assert {r.split("kind=")[1].split(",")[0] for r in got} == {"'new'", "'price'", "'stock'", "'stale'"}
+        assert run() == want  # nothing new arrived: nothing is told again
+        _seen(spark, [("a", 2, 99.0, 9.0)]).coalesce(1).write.mode("append").parquet(str(folder))
+        assert run() == want  # a late row changes nothing
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_first_seen_tells_each_address_once(spark, tmp_path):
+    from shelfmark.streaming.ingest import first_seen
+
+    rows = spark.createDataFrame([(f"u{i % 4}", DAY + timedelta(hours=i)) for i in range(12)], "url string, seen_at timestamp")
+    rows.write.parquet(str(tmp_path / "in"))
+    query = first_seen(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("first").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.url for r in spark.table("first").collect()) == ["u0", "u1", "u2", "u3"]
