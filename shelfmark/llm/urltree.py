@@ -6,7 +6,8 @@ The paths of a host form a tree of segments.  Level by level
   the wildcard ``*`` (frequent children of such a node stay literal);
 * literal siblings that are statistically similar to the rest of their node (their rates of blocked
   pages and of pages that end there differ neither by a two-proportion test nor by much) are merged
-  into the branch ``+``.
+  into the branch ``+``.  A branch without labelled pages is no evidence: it is like others without
+  any, but never like labelled ones, and so takes no verdict from another branch's rule.
 
 The leaves are templates.  Pages decided by a rule are the labelled ones; a template is rejected if
 its smoothed share of blocked pages among the labelled is high and enough of its pages are labelled.
@@ -98,7 +99,8 @@ def templates(paths: DataFrame) -> DataFrame:
         known = _meet(child, node, "segment")
         variable = (F.col("k") >= VARIABLE_FROM) & (F.col("k") >= VARIABLE_SHARE * F.col("all_p")) & (F.col("n") < FREQUENT * F.col("all_n"))
         other = {c: F.col(f"all_{c}") - F.col(c) for c in ("n", "a", "b", "e")}
-        same = (other["n"] > 0) & ~_differ(F.col("b"), F.col("a") + F.col("b"), other["b"], other["a"] + other["b"]) & ~_differ(F.col("e"), F.col("n"), other["e"], other["n"])
+        labels, others = F.col("a") + F.col("b"), other["a"] + other["b"]
+        same = (other["n"] > 0) & ((labels > 0) == (others > 0)) & ~_differ(F.col("b"), labels, other["b"], others) & ~_differ(F.col("e"), F.col("n"), other["e"], other["n"])
         name = F.when(variable, "*").when(same, "+").otherwise(F.col("segment"))
         # Of a node one template at most is ``*`` and one ``+``; they hold no more than all of its paths.
         crowd = F.when(variable | same, F.col("all_p")).otherwise(F.col("p"))

@@ -45,13 +45,19 @@ def test_variable_segments_become_wildcards(spark):
 
 
 def test_templates_of_blocked_pages_are_rejected_and_others_not(spark):
-    # Under one host of org, pages below /es/ are blocked by rule and pages below /e2/ look like them.
+    # Under one host of org, pages below /es/ are blocked by rule; no rule speaks of those below /e2/, of which none is labelled.
     rows = [(i, f"http://h.org/es/{i}", "h", "x", 1) for i in range(40)] + [(100 + i, f"http://h.org/e2/{i}", "h", "x", 1) for i in range(10)] + [(200 + i, f"http://g.org/fr/{i}", "h", "x", 1) for i in range(40)]
     got = {r.id: r for r in U.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got[100].rule is None and got[100].verdict == "block" and got[100].template == got[1].template
+    assert got[100].rule is None and got[100].verdict == "allow" and got[100].template == "/e2/+" and got[1].template == "/es/*"
     assert got[200].verdict == "allow" and got[1].verdict == "block"
 
 
+def test_pages_that_no_rule_names_are_not_blocked_by_anothers_branch(spark):
+    rows = spark.createDataFrame([(i, f"https://s.com/{lang}/{lang}-{i}", "h", "x", 1) for i in range(90) for lang in ("en", "fr", "de")], SCHEMA)
+    got = U.judge(rows).groupBy("rule", "verdict").count().collect()
+    assert {tuple(r) for r in got} == {("com/en/", "block", 90), (None, "allow", 180)}
+
+
 def test_segments_below_the_eighth_are_judged(spark):
     # Below eight equal segments one branch is blocked by rule; the other is allowed by rule in part.
     top = "h.example/1/2/3/4/5/6/7/8"
@@ -113,7 +119,7 @@ def slow_templates(paths):
                 o = [n - own[0], a - own[1], b - own[2], e - own[3]]
                 if len(kids) >= U.VARIABLE_FROM and len(kids) >= U.VARIABLE_SHARE * p and own[0] < U.FREQUENT * n:
                     label = "*"
-                elif o[0] > 0 and not differ(own[2], own[1] + own[2], o[2], o[1] + o[2]) and not differ(own[3], own[0], o[3], o[0]):
+                elif o[0] > 0 and (own[1] + own[2] > 0) == (o[1] + o[2] > 0) and not differ(own[2], own[1] + own[2], o[2], o[1] + o[2]) and not differ(own[3], own[0], o[3], o[0]):
                     label = "+"
                 else:
                     label = s
