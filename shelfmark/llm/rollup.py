@@ -58,6 +58,13 @@ class Rollup:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
+    def _complete(self, pattern: str) -> list[str]:
+        """Names that stand for ``*`` in a pattern of folders which Spark has finished writing, by one listing."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}/_SUCCESS")
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []
+        level = pattern.split("/").index("*")
+        return sorted(f.getPath().toString().rsplit("/", 1)[0].split("/")[level - len(pattern.split("/"))] for f in found)
+
     def commit(self, name: str, *changes: DataFrame) -> bool:
         """Enter a batch; False, and nothing changed, if the name was committed before, whatever it holds now.
 
@@ -69,15 +76,12 @@ class Rollup:
         if self._exists(f"{self.path}/commits/{name}/_SUCCESS"):
             return False
         together = reduce(DataFrame.unionByName, changes)
-        _sums(together).filter(" or ".join(f"{c} <> 0" for c in TOTALS)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
+        _sums(together).filter(" or ".join(f"{c} <> 0" for c in TOTALS)).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
         self.spark.range(1).select(F.lit(name).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
         return True
 
     def batches(self) -> list[str]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(n for n in names if self._exists(f"{self.path}/commits/{n}/_SUCCESS"))
+        return self._complete("commits/*")
 
     def _list(self, folder: str) -> list[str]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
@@ -86,7 +90,7 @@ class Rollup:
 
     def _snapshot(self) -> tuple[str | None, set[str]]:
         """The latest complete snapshot and the batches that it took up itself."""
-        done = [n for n in self._list("snapshots") if self._exists(f"{self.path}/snapshots/{n}/taken/_SUCCESS")]
+        done = self._complete("snapshots/*/taken")
         if not done:
             return None, set()
         taken = self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{done[-1]}/taken")
@@ -94,7 +98,7 @@ class Rollup:
 
     def _pending(self, taken: set[str]) -> list[str]:
         """Committed batches that no snapshot has: their deltas are still there and the latest did not take them."""
-        return [n for n in self._list("deltas") if n not in taken and self._exists(f"{self.path}/commits/{n}/_SUCCESS")]
+        return sorted(set(self._list("deltas")) & set(self.batches()) - taken)
 
     def compact(self) -> bool:
         """Sum the latest snapshot and the batches after it into a new one; False if there are none.
@@ -109,7 +113,7 @@ class Rollup:
         if not names:
             return False
         number = f"{int(last or 0) + 1:012d}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{number}/totals")
+        self.totals().write.mode("overwrite").parquet(f"{self.path}/snapshots/{number}/totals")
         self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{number}/taken")
         remove(self.spark, *[f"{self.path}/deltas/{n}" for n in names], *[f"{self.path}/snapshots/{n}" for n in self._list("snapshots") if n < number])
         return True
