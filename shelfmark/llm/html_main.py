@@ -11,18 +11,21 @@ template, and blocks inside them go.  There are two hashes:
   Inside an element that the page declares its article only subtrees with a furniture word in
   their class, or mostly of links, can go by it: passages that articles quote stay;
 * of the *shape* of a subtree (tags, class names and ids without digits, runs of equal children as
-  one, no text): menus, adverts and footers recur in shape even where each page words them
-  differently.  Only whole branches beside the content have one, the content being the smallest
-  element with most of the page's unlinked words and its heading; and a shape that holds more than
-  ``MOST_WORDS`` of a host's words is no furniture.
-
-If text hashes would leave less than ``LEAST_LEFT`` of the words of a page, the page is what recurs,
+  one): menus and footers recur in shape even where each page words them differently.  Only whole
+  branches beside the content have one, the content being the smallest element with most of the
+  page's unlinked words and its heading; a shape that holds more than ``MOST_WORDS`` of a host's
+  words is no furniture; and of a branch that is not mostly links the words but for digits count as
+  well, so that what is said on one page alone (a lead, a last paragraph) is never taken for furniture.
+
+A heading that recurs by itself (``Ingredients`` over each recipe) stays where the text after it
+does.  If text hashes would leave less than ``LEAST_LEFT`` of the words of a page, the page is what recurs,
 not its furniture, and they take nothing from it.
 
 Markup is a prior for what recurs too rarely to be counted (new hosts, single adverts).  Element
 names decide, and class names and ids if all their words are furniture words or say nothing
 (``cookie-banner``, ``site-footer``); a furniture word among others (``recipe-notice``) does not,
-unless the element is mostly links.
+unless the element is mostly links.  Words that may as well name the page's subject (``search``,
+``form``) give way where nothing would be left.
 """
 
 from __future__ import annotations
@@ -90,8 +93,12 @@ ASIDES = frozenset("comment comments commentlist disqus respond reply replies di
 #: Words of class names that say neither furniture nor content.
 NEUTRAL = frozenset(
     "site page main global top bottom left right upper lower box block bar list item items wrapper wrap container inner outer section area link links icon icons "
-    "panel module unit slot holder group row col column primary secondary mobile desktop fixed sticky js btn button buttons the and by view large small wide".split()
+    "reader readers user users visitor visitors google gpt div law info panel module unit slot holder group row col column primary secondary mobile desktop fixed sticky js btn button buttons the and by view large small wide".split()
 )
+#: Furniture words that give way where a page would have no text without what they name.
+FAINT = frozenset("search searchform form share sharing social follow signin signup login register newsletter subscribe subscription respond reply menu rail foot widget widgets dialog overlay".split())
+#: Headings below the page's own.
+SUBHEADINGS = frozenset(("h2", "h3", "h4", "h5", "h6"))
 #: Names with these words speak of furniture that is elsewhere or absent.
 ABSENT = frozenset("with without has no free".split())
 #: Elements in which loose text stands between block elements.
@@ -102,11 +109,11 @@ MOST_WORDS = 0.25
 
 
 class _Element:
-    __slots__ = ("tag", "number", "parent", "dropped", "head", "keeps", "article", "digest", "shape", "last", "soft", "side", "weak", "block", "linked", "words", "links")
+    __slots__ = ("tag", "number", "parent", "dropped", "head", "keeps", "article", "digest", "shape", "last", "soft", "side", "weak", "faint", "block", "linked", "words", "links")
 
     def __init__(self, tag: str, number: int, parent: _Element | None) -> None:
         self.tag, self.number, self.parent = tag, number, parent.number if parent else -1
-        self.dropped = self.soft = self.side = self.head = self.keeps = self.weak = False
+        self.dropped = self.soft = self.side = self.head = self.keeps = self.weak = self.faint = False
         self.article = tag == "article" or tag == "main"
         self.digest, self.shape, self.last = xxhash.xxh3_64(tag), xxhash.xxh3_64(tag), b""
         self.block = number if parent is None or tag in BLOCK else parent.block
@@ -145,6 +152,7 @@ def _judge(e: _Element, attrs: str) -> None:
                     # An article is one whatever else its class says, but for readers' comments and teasers.
                     e.soft |= not rest and (not e.article or bool(words & ASIDES))
                     e.side |= not rest and bool(words & ASIDES)
+                    e.faint |= not rest and words & FURNITURE <= FAINT
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower())):
             e.dropped = True
     e.shape.update(" ".join(shape).encode("utf-8", "surrogatepass"))
@@ -283,12 +291,18 @@ def blocks_of(page: str | None, priors: bool = True) -> list[Block]:
     """Text blocks of the page's article, in order, each with text hashes and shape hashes of subtrees that hold it.
 
     If the page has ``article`` elements (or else ``main``) outside its furniture, what stands
-    outside them is left out, and nested ones marked as comments go like all furniture.  A
-    ``header``, and an element with furniture words as its class or id, is kept where it holds the
-    page's heading or article (comments and the like: only the heading); the site's header is not
-    kept for a first heading if the page has another one outside.  A furniture element takes its own
-    text with it, inside a paragraph too.  Without ``priors`` only what is never shown goes.
+    outside them is left out, and nested ones marked as comments go like all furniture; articles
+    inside ``main`` leave the rest of that in.  A ``header``, and an element with furniture words as
+    its class or id, is kept where it holds the page's heading or article (comments and the like:
+    only the heading); the site's header is not kept for a first heading if the page has another one
+    outside.  A furniture element takes its own text with it, inside a paragraph too.  Without
+    ``priors`` only what is never shown goes.
     """
+    return [(text, (within, shapes)) for text, within, shapes, _ in marked_blocks(page, priors)]
+
+
+def marked_blocks(page: str | None, priors: bool = True) -> list[tuple[str, list[int], list[int], int | None]]:
+    """The blocks of :func:`blocks_of`, with the hash of its own that a subheading has among the others (else null)."""
     if not page:
         return []
     elements, runs = _read(page)
@@ -300,6 +314,16 @@ def blocks_of(page: str | None, priors: bool = True) -> list[Block]:
             e.soft = e.head = e.weak = e.article = False
             e.dropped = e.dropped and e.tag in UNSHOWN
         e.soft |= e.weak and not e.article and 2 * e.links >= e.words > 0
+    found = _kept_blocks(elements, runs)
+    if not found and any(e.soft and e.faint for e in elements):
+        for e in elements:
+            e.soft = e.soft and not e.faint
+            e.keeps = False
+        found = _kept_blocks(elements, runs)
+    return found
+
+
+def _kept_blocks(elements: list[_Element], runs: list[list[tuple[int, str]]]) -> list[tuple[str, list[int], list[int], int | None]]:
     # What holds the page's heading or article is not furniture, whatever its class says.
     heads = [e for e in elements[1:] if e.tag == "h1"]
     under = {e.number: _any_above(elements, e.parent, lambda x: x.head) for e in heads}
@@ -310,29 +334,39 @@ def blocks_of(page: str | None, priors: bool = True) -> list[Block]:
                 if not (e.tag == "article" and elements[up].side):
                     elements[up].keeps = True
                 up = elements[up].parent
-    gone, inside = [False] * len(elements), [""] * len(elements)
+    gone, in_article, in_main = ([False] * len(elements) for _ in range(3))
     for e in elements[1:]:
-        own = e.dropped or (e.soft and not e.keeps) or (e.head and not e.keeps)
-        gone[e.number] = gone[e.parent] or own
-        inside[e.number] = inside[e.parent] or (("article" if e.tag == "article" else "main") if e.article else "")
-    kinds = {inside[e.number] for e in elements[1:] if e.article and not gone[e.number]}
-    want = "article" if any(e.article and e.tag == "article" and not gone[e.number] for e in elements[1:]) else ("main" if "main" in kinds else "")
-    if want == "article":
-        for e in elements[1:]:
-            inside[e.number] = "article" if e.tag == "article" or inside[e.parent] == "article" else ""
+        gone[e.number] = gone[e.parent] or e.dropped or ((e.soft or e.head) and not e.keeps)
+        in_article[e.number] = in_article[e.parent] or (e.article and e.tag == "article")
+        in_main[e.number] = in_main[e.parent] or (e.article and e.tag != "article")
+    articles = [e.number for e in elements[1:] if e.article and e.tag == "article" and not gone[e.number]]
+    mains = any(e.article and e.tag != "article" and not gone[e.number] for e in elements[1:])
+    declared = in_main if mains and all(in_main[n] for n in articles) else in_article if articles else None
     around = _content_path(elements, gone)
     texts: dict[int, list[int]] = {}
-    out = []
+    out, branches = [], []
+    said: dict[int, list[str]] = {}
     for run in runs:
-        kept = [(number, data) for number, data in run if not gone[number] and (not want or inside[number] == want)]
+        kept = [(number, data) for number, data in run if not gone[number] and (declared is None or declared[number])]
         if joined := " ".join("".join(data for _, data in kept).split()):
             number = elements[kept[0][0]].block
-            declared = bool(want)
-            within = _chain(elements, number, texts, lambda e: e.digest if not declared or e.weak or 2 * e.links >= e.words else None)
-            if not declared and elements[number].tag in LOOSE:
+            within = _chain(elements, number, texts, lambda e: e.digest if declared is None or e.weak or 2 * e.links >= e.words else None)
+            own = _signed(elements[number].digest.intdigest()) if elements[number].tag in SUBHEADINGS else None
+            if declared is None and elements[number].tag in LOOSE:
                 within = [*within, _signed(xxhash.xxh3_64_intdigest(f"#{joined}".encode("utf-8", "surrogatepass")))]
-            out.append((joined, (within, _branch(elements, number, around))))
-    return out
+            top = _branch(elements, number, around)
+            said.setdefault(top, []).append(joined)
+            branches.append(top)
+            out.append((joined, within, own))
+    shapes = {top: [] if top < 0 else [_signed(_furniture(elements[top], words))] for top, words in said.items()}
+    return [(joined, within, shapes[top], own) for (joined, within, own), top in zip(out, branches, strict=True)]
+
+
+def _furniture(e: _Element, words: list[str]) -> int:
+    """What marks a branch beside the content: its shape, and its words without digits unless it is mostly links."""
+    if 2 * e.links >= e.words:
+        return e.shape.intdigest()
+    return xxhash.xxh3_64_intdigest(e.shape.digest() + DIGITS.sub("0", "\n".join(words)).encode("utf-8", "surrogatepass"))
 
 
 def _content_path(elements: list[_Element], gone: list[bool]) -> set[int]:
@@ -386,14 +420,14 @@ def _chain(elements: list[_Element], number: int, known: dict[int, list[int]], o
     return have
 
 
-def _branch(elements: list[_Element], number: int, around: set[int]) -> list[int]:
-    """The shape of the whole branch beside the content that holds a block; none for the content itself."""
-    top = None
+def _branch(elements: list[_Element], number: int, around: set[int]) -> int:
+    """The top of the whole branch beside the content that holds a block; -1 for the content itself."""
+    top = -1
     while number not in around:
         if elements[number].tag in BLOCK:
             top = number
         number = elements[number].parent
-    return [] if top is None else [_signed(elements[top].shape.intdigest())]
+    return top
 
 
 def _inner(blocks: list[Block]) -> list[Block]:
@@ -402,16 +436,20 @@ def _inner(blocks: list[Block]) -> list[Block]:
     return [(t, ([h for h in w if h not in whole], s)) for t, (w, s) in blocks]
 
 
-KIND = "array<struct<text: string, within: array<long>, shapes: array<long>>>"
+KIND = "array<struct<text: string, within: array<long>, shapes: array<long>, own: long>>"
 
 
 def _parse_batches(priors: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64())), ("shapes", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64())), ("shapes", pa.list_(pa.int64())), ("own", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                found = [[{"text": t, "within": w, "shapes": s} for t, (w, s) in _inner(blocks_of(p.as_py(), priors))] for p in some.column(3)]
+                found = []
+                for p in some.column(3):
+                    marked = marked_blocks(p.as_py(), priors)
+                    inner = _inner([(t, (w, s)) for t, w, s, _ in marked])
+                    found.append([{"text": t, "within": w, "shapes": s, "own": own} for (t, (w, s)), (*_, own) in zip(inner, marked, strict=True)])
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(found, kind)], names=["id", "url", "host", "blocks"])
 
     return run
@@ -445,8 +483,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # At most 1 / share times a page's subtrees can recur so often: the arrays are short.
     by_text = materialise(recurring(met).groupBy("host").agg(F.collect_list("subtree").alias("within_gone")), "html-templates")
 
+    def gone(b: F.Column, kind: str) -> F.Column:
+        return F.coalesce(F.arrays_overlap(b[kind], F.col(f"{kind}_gone")), F.lit(False))
+
     def without(blocks: F.Column, kind: str) -> F.Column:
-        return F.filter(blocks, lambda b: ~F.coalesce(F.arrays_overlap(b[kind], F.col(f"{kind}_gone")), F.lit(False)))
+        if kind == "shapes":
+            return F.filter(blocks, lambda b: ~gone(b, kind))
+
+        def stays(b: F.Column, i: F.Column) -> F.Column:
+            # A subheading that is gone by its own hash alone stays where the first text after it does.
+            alone = b["own"].isNotNull() & ~F.exists(b[kind], lambda h: (h != b["own"]) & F.array_contains(F.col(f"{kind}_gone"), h))
+            then = F.get(F.filter(F.slice(blocks, i + 2, F.size(blocks)), lambda x: x["own"].isNull()), F.lit(0))
+            return ~gone(b, kind) | F.coalesce(alone & then.isNotNull() & ~gone(then, kind), F.lit(False))
+
+        return F.filter(blocks, stays)
 
     def n_words(text: F.Column) -> F.Column:
         return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1

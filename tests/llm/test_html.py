@@ -137,6 +137,40 @@ def test_recurring_shapes_go_outside_the_content(spark):
     assert all("Bought by" in t and "go" in t for t in off.values())
 
 
+def _words(i, k):
+    return " ".join(f"w{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + k)}" for j in range(25))
+
+
+def test_text_of_one_page_alone_stays_whatever_its_shape(spark):
+    # Lead and outro recur in shape beside the largest part of the content; no two pages share a word.
+    pages = [(i, f"https://a.example/{i}", f"<body><div class=lead><p>{_words(i, 0)}</p></div><div class=text><h1>T{i}</h1><h2>S {_words(i, 5)}</h2><p>{_words(i, 1)} {_words(i, 2)} {_words(i, 3)}</p></div><div class=outro><p>{_words(i, 4)}</p></div></body>", "x", 1, "h") for i in range(10)]
+    on = {r.id: r.text for r in H.main_text(spark.createDataFrame(pages, SCHEMA)).collect()}
+    off = {r.id: r.text for r in H.main_text(spark.createDataFrame(pages, SCHEMA), templates=False).collect()}
+    assert on == off and all(t.count("\n") == 4 for t in on.values())
+
+
+def test_subheadings_that_recur_alone_stay(spark):
+    def page(i):
+        return f"<body><div class=top><h2>Our shop</h2><p>Find us in the square.</p></div><div><h1>Dish {i}</h1><h2>Ingredients</h2><p>{_words(i, 0)}</p><h2>Method</h2><h3>In short</h3><p>{_words(i, 1)}</p><h2>More from us</h2></div></body>"
+
+    rows = H.main_text(spark.createDataFrame([(i, f"https://a.example/{i}", page(i), "x", 1, "h") for i in range(10)], SCHEMA)).collect()
+    assert all(r.text == f"Dish {r.id}\nIngredients\n{_words(r.id, 0)}\nMethod\nIn short\n{_words(r.id, 1)}" for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><h1>T</h1><p>A</p><div class='reader-comments'><p>c</p></div><div class='user-comments'>d</div></article>", "T\nA"),
+        ("<div class='google-ads'>a</div><div id='div-gpt-ad-1'>b</div><div class='cookie-law-info'>c</div><p>x</p>", "x"),
+        ("<div class='search'><p>How to search.</p></div>", "How to search."), ("<div class='form'><h1>Form</h1><p>follows function</p></div>", "Form\nfollows function"), ("<div class='search'>find</div><p>x</p>", "x"),
+        ("<div class='advert'>buy</div>", ""), ("<main><p>Intro</p><article><h1>T</h1><p>x</p></article><nav>n</nav></main><p>out</p>", "Intro\nT\nx"),
+        ("<main><p>Intro</p></main><article><p>x</p></article>", "x"),
+    ],
+)
+def test_comments_adverts_and_sole_holders(page, want):
+    assert text_of(page) == want
+
+
 def test_quoted_paragraphs_of_declared_articles_stay(spark):
     pages = [(i, f"https://a.example/{i}", f"<article><h1>T {i}</h1><p>The same passage in all.</p><p>Own {i}.</p><div class='post-notice'><p>Read our offers.</p></div></article>", "x", 1, "h") for i in range(9)]
     rows = {r.id: r.text for r in H.main_text(spark.createDataFrame(pages, SCHEMA)).collect()}
