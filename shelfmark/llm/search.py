@@ -8,8 +8,8 @@ but these two tables of bounded size, decides from which gain on documents chang
 from the left as from the right.  What comes out together is a *shard*: few thousand documents at
 most, numbered from 0 in the order of their ids.
 
-**Index.**  For each shard and term: the numbers of the documents that have it, what it adds to
-their scores (without the term's weight), and the largest such impact.
+**Index.**  A row for each shard: its terms, for each the numbers of the documents that have it with
+its frequencies there, and the largest impact, that is what it adds to a score but for the term's weight.
 
 **Search.**  A term's weight times its largest impact, summed over an item's terms, bounds what a
 shard can hold.  Each item visits the shard with the highest bound, then those down to a level that
@@ -46,7 +46,7 @@ SHARD_POSTINGS = 4_000_000
 EXCHANGES = 4
 #: Gains by bin: so many bins, of so much each.
 BINS, BIN_WIDTH = 129, 0.5
-#: How far down to a tenth of the way towards its tenth best score an item goes, round by round.
+#: How far above its tenth best score an item still stops, round by round, as a share of the way to its highest bound.
 DOWN_TO = (0.5, 0.2, 0.0)
 #: So many items are scored together; a block of scores has as many rows.
 ITEMS_TOGETHER = 512
@@ -284,12 +284,9 @@ def bisected(found: DataFrame, shard_docs: int, exchanges: int = EXCHANGES) -> t
 
 
 class Index(NamedTuple):
-    """``lists``: ``shard``, ``term``, ``numbers`` and ``tfs`` (packed), ``top``, ``df``; ``places``: ``shard``, ``number``, ``id``; and two totals.
+    """``shards``: a row each, packed; ``places``: ``shard``, ``number``, ``id`` of every document; and two totals."""
 
-    The list of the term ``''`` has the lengths of the shard's documents in place of ``tfs``.
-    """
-
-    lists: DataFrame
+    shards: DataFrame
     places: DataFrame
     n_docs: int
     n_terms: int
@@ -300,8 +297,9 @@ def impact(tf: np.ndarray, n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarr
     return 1_000_000_000 * tf // (1000 * tf + 8 * m)
 
 
-LIST = "shard long, term string, numbers binary, tfs binary, top long, df long"
-LISTS = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("numbers", pa.binary()), ("tfs", pa.binary()), ("top", pa.int64()), ("df", pa.int64())])
+#: Lengths of the documents, the terms (joined by blanks) with how many documents each has, its largest impact, and one after the other the lists of all.
+SHARD = "shard long, lengths binary, terms string, dfs binary, tops binary, numbers binary, tfs binary"
+SHARDS = pa.schema([("shard", pa.int64()), ("lengths", pa.binary()), ("terms", pa.string()), ("dfs", pa.binary()), ("tops", pa.binary()), ("numbers", pa.binary()), ("tfs", pa.binary())])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -324,39 +322,46 @@ def _grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def _split(terms: str) -> pa.Array:
+    return pc.split_pattern(pa.array([terms]), " ").flatten()
+
+
 def _index_batches(n_docs: int, n_terms: int):
-    """Lists of each shard, from its documents in the order of their numbers."""
+    """The row of each shard, from its documents in the order of their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in _grouped(batches, "shard"):
-            shard, lengths = docs.column("shard")[0].as_py(), docs.column("n").to_numpy()
-            sizes = docs.column("size").to_pylist()
-            split = pc.split_pattern(docs.column("terms").combine_chunks(), " ")
-            encoded = (split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split).flatten().dictionary_encode()
+            lengths, sizes = docs.column("n").to_numpy(), docs.column("size").to_pylist()
+            encoded = _split(" ".join(docs.column("terms").to_pylist())).dictionary_encode()
             codes = encoded.indices.to_numpy()
             numbers = np.repeat(np.arange(len(sizes)), sizes)
             tfs = np.concatenate([unpacked(x, k) for x, k in zip(docs.column("tfs").to_pylist(), sizes, strict=True)])
             order = np.argsort(codes, kind="stable")
             df = np.bincount(codes, minlength=len(encoded.dictionary))
-            starts = np.concatenate(([0], np.cumsum(df)))
-            top = np.maximum.reduceat(impact(tfs, lengths[numbers], n_docs, n_terms)[order], starts[:-1])
-            numbers, tfs = numbers[order].astype("<u4" if len(sizes) > 65535 else "<u2"), tfs[order]
-            width = numbers.dtype.itemsize
-            numbers = numbers.tobytes()
-            bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
-            own = [pa.array([shard]), pa.array([""]), pa.array([b""], pa.binary()), pa.array([lengths.astype("<u4").tobytes()], pa.binary()), pa.array([0]), pa.array([len(sizes)])]
-            yield pa.RecordBatch.from_arrays(own, schema=LISTS)
-            for at in range(0, len(df), 20_000):
-                some = bounds[at : at + 20_000]
-                made = [
-                    pa.array(np.full(len(some), shard, np.int64)), encoded.dictionary.slice(at, len(some)), pa.array([numbers[i * width : j * width] for i, j in some], pa.binary()),
-                    pa.array([packed(tfs[i:j].tolist()) for i, j in some], pa.binary()), pa.array(top[at : at + 20_000]), pa.array(df[at : at + 20_000]),
-                ]
-                yield pa.RecordBatch.from_arrays(made, schema=LISTS)
+            tops = np.maximum.reduceat(impact(tfs, lengths[numbers], n_docs, n_terms)[order], np.cumsum(df) - df)
+            row = (
+                docs.column("shard")[0].as_py(), lengths.astype("<u4").tobytes(), " ".join(encoded.dictionary.to_pylist()), df.astype("<u4").tobytes(), tops.astype("<u4").tobytes(),
+                numbers[order].astype(_width(len(sizes))).tobytes(), packed(tfs[order].tolist()),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, SHARDS, strict=True)], schema=SHARDS)
 
     return run
 
 
+def _width(n_docs: int) -> str:
+    return "<u2" if n_docs <= 1 << 16 else "<u4"
+
+
+def _top_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shard and term."""
+    for batch in batches:
+        for shard, terms, dfs, tops in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            words, df, top = _split(terms), np.frombuffer(dfs, "<u4").astype(np.int64), np.frombuffer(tops, "<u4").astype(np.int64)
+            for at in range(0, len(words), 50_000):
+                some = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(df[some]), shard, np.int64)), words[some], pa.array(top[some]), pa.array(df[some])], names=["shard", "term", "top", "df"])
+
+
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> Index:
     """An index of all documents with a term; texts are read whole."""
     prepare(docs.sparkSession)
@@ -369,11 +374,12 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     shard = F.col("part").cast("long") * (1 << 32) + F.pmod(F.xxhash64("row"), F.element_at(dealt, F.col("part")))
     of_row = materialise(state.select("row", shard.alias("shard")), "shards")
     order = Window.partitionBy("shard").orderBy(F.col("id").asc_nulls_last(), "row")
-    numbered = found.select("row", "id").join(of_row, "row").withColumn("number", F.row_number().over(order) - 1)
+    # Both sides are shuffled at every size: either grows with the documents.
+    numbered = found.select("row", "id").hint("merge").join(of_row, "row").withColumn("number", F.row_number().over(order) - 1)
     places = materialise(numbered.select("row", "shard", "number", "id"), "places")
-    rows = found.select("row", "n", "size", "terms", "tfs").join(places.select("row", "shard", "number"), "row").repartition("shard").sortWithinPartitions("shard", "number")
-    lists = rows.select("shard", "n", "size", "terms", "tfs").mapInArrow(_index_batches(n_docs, n_terms), LIST)
-    return Index(materialise(lists, "lists"), places.drop("row"), n_docs, n_terms)
+    rows = found.select("row", "n", "size", "terms", "tfs").hint("merge").join(places.select("row", "shard", "number"), "row").repartition("shard").sortWithinPartitions("shard", "number")
+    shards = rows.select("shard", "n", "size", "terms", "tfs").mapInArrow(_index_batches(n_docs, n_terms), SHARD)
+    return Index(materialise(shards, "shard-index"), places.drop("row"), n_docs, n_terms)
 
 
 def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,28 +392,35 @@ def _score_batches(k: int, n_docs: int, n_terms: int):
     """The ``k`` best documents of a shard for each item of a block that visits it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lists in _grouped(batches, "shard", "block"):
-            terms = lists.column("term").to_pylist()
-            data = dict(zip(terms, zip(*[lists.column(c).to_pylist() for c in ("numbers", "tfs", "items", "weights")], strict=True), strict=True))
-            lengths = np.frombuffer(data.pop("")[1], "<u4").astype(np.int64)
-            items = sorted({i for _, _, who, _ in data.values() for i in who})
-            at = {item: i for i, item in enumerate(items)}
-            scores = np.zeros((len(items), len(lengths)), np.int64)
-            for numbers, tfs, who, weights in data.values():
-                numbers = np.frombuffer(numbers, "<u4" if len(lengths) > 65535 else "<u2")
-                added = impact(unpacked(tfs, len(numbers)), lengths[numbers], n_docs, n_terms)
-                for item, w in zip(who, weights, strict=True):
-                    scores[at[item], numbers] += w * added  # a document is in a list once
-            out: list[list] = [[], [], []]
-            for item, row in zip(items, scores, strict=True):
-                good = np.flatnonzero(row > 0)
-                if len(good) > k:
-                    least = np.partition(row[good], len(good) - k)[len(good) - k]
-                    good = np.concatenate((good[row[good] > least], good[row[good] == least][: k - int((row[good] > least).sum())]))
-                for column, values in zip(out, ([item] * len(good), good.tolist(), row[good].tolist()), strict=True):
-                    column.extend(values)
-            shard = pa.array(np.full(len(out[0]), lists.column("shard")[0].as_py(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), shard, pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=["item", "shard", "number", "score"])
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(i)[at].as_py() for i, name in enumerate(batch.schema.names)}
+                lengths, df = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("lengths", "dfs"))
+                ends = np.cumsum(df)
+                numbers, tfs = np.frombuffer(row["numbers"], _width(len(lengths))), unpacked(row["tfs"], int(ends[-1]))
+                words = _split(row["terms"])
+                scores = np.zeros((len(row["asks"]), len(lengths)), np.int64)
+                added: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                for mine, ask in zip(scores, row["asks"], strict=True):
+                    where = pc.index_in(pa.array([t["term"] for t in ask["terms"]], pa.string()), value_set=words).to_pylist()
+                    for code, term in zip(where, ask["terms"], strict=True):
+                        if code is None:
+                            continue
+                        if code not in added:
+                            some = slice(int(ends[code] - df[code]), int(ends[code]))
+                            added[code] = numbers[some], impact(tfs[some], lengths[numbers[some]], n_docs, n_terms)
+                        own, worth = added[code]
+                        mine[own] += term["w"] * worth  # a document is in a list once
+                out: list[list] = [[], [], []]
+                for mine, ask in zip(scores, row["asks"], strict=True):
+                    good = np.flatnonzero(mine > 0)
+                    if len(good) > k:
+                        least = np.partition(mine[good], len(good) - k)[len(good) - k]
+                        good = np.concatenate((good[mine[good] > least], good[mine[good] == least][: k - int((mine[good] > least).sum())]))
+                    for column, values in zip(out, ([ask["item"]] * len(good), good.tolist(), mine[good].tolist()), strict=True):
+                        column.extend(values)
+                shard = pa.array(np.full(len(out[0]), row["shard"], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), shard, pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=["item", "shard", "number", "score"])
 
     return run
 
@@ -429,10 +442,12 @@ def search(index: Index, items: DataFrame, id_col: str = "item_id", text_col: st
     asked = materialise(items.select(F.monotonically_increasing_id().alias("item"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "items")
     said = materialise(asked.select("item", "text").mapInArrow(_item_batches, "item long, terms array<string>").select("item", F.explode("terms").alias("term")), "item-terms")
     # A row for each shard and term that some item names, without the lists.
-    heads = materialise(index.lists.select("shard", "term", "top", "df").join(said.select("term").distinct(), "term", "left_semi"), "heads")
+    tops = index.shards.select("shard", "terms", "dfs", "tops").mapInArrow(_top_batches, "shard long, term string, top long, df long")
+    heads = materialise(tops.join(said.select("term").distinct(), "term", "left_semi"), "heads")
     odds = (2 * F.lit(index.n_docs) + 2).cast("double") / (2 * F.sum("df") + 1).cast("double")
     weights = heads.groupBy("term").agg(F.floor(1000 * F.ln(odds)).cast("long").alias("w"))
     weighed = materialise(said.join(weights, "term").filter("w > 0").select("item", "term", "w"), "weights")
+    questions = materialise(weighed.groupBy("item").agg(F.collect_list(F.struct("term", "w")).alias("terms")), "questions")
     bounds = weighed.join(heads.select("shard", "term", "top"), "term").groupBy("item", "shard").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
     open_ = materialise(bounds, "bounds")
     best = None
@@ -453,14 +468,11 @@ def search(index: Index, items: DataFrame, id_col: str = "item_id", text_col: st
             told(visits.count(), open_.count())
         if visits.isEmpty():
             continue
-        named = visits.join(weighed, "item").withColumn("block", F.floor(F.col("item") / ITEMS_TOGETHER))
-        wanted = named.groupBy("shard", "term", "block").agg(F.collect_list(F.struct("item", "w")).alias("who"))
-        lengths = named.select("shard", "block").distinct().select("shard", F.lit("").alias("term"), "block", F.array().cast(wanted.schema["who"].dataType).alias("who"))
-        # Written, so that Spark knows its size: a small one is broadcast, and the lists are shuffled once.
-        wanted = materialise(wanted.unionByName(lengths), "wanted")
-        met = index.lists.select("shard", "term", "numbers", "tfs").join(wanted, ["shard", "term"])
-        rows = met.select("shard", "block", "term", "numbers", "tfs", F.col("who.item").alias("items"), F.col("who.w").alias("weights")).repartition("shard", "block").sortWithinPartitions("shard", "block")
-        scored = rows.mapInArrow(_score_batches(k, index.n_docs, index.n_terms), "item long, shard long, number int, score long")
+        asks = visits.join(questions, "item").groupBy("shard", F.floor(F.col("item") / ITEMS_TOGETHER).alias("block")).agg(F.collect_list(F.struct("item", "terms")).alias("asks"))
+        # Written, so that Spark knows its size: where it is small it goes to the shards, and these are not shuffled.
+        asks = materialise(asks, "asks")
+        met = index.shards.select("shard", "lengths", "terms", "dfs", "numbers", "tfs").join(asks.drop("block"), "shard")
+        scored = materialise(met.mapInArrow(_score_batches(k, index.n_docs, index.n_terms), "item long, shard long, number int, score long"), "scored")
         found = scored.join(index.places, ["shard", "number"]).select("item", "shard", "number", "id", "score")
         found = found if best is None else found.unionByName(best)
         best = materialise(_best(found, k).drop("rank"), "best")
