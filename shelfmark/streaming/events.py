@@ -33,3 +33,15 @@ def distinct_within(events: DataFrame, key: str = "event_id", delay: str = "1 ho
     """Each key once; on a stream, repeats are remembered for the watermark's delay."""
     rows = timed(events, delay)
     return rows.dropDuplicatesWithinWatermark([key]) if events.isStreaming else rows.dropDuplicates([key])
+
+
+def joined_within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within: str, delay: str = "1 hour") -> DataFrame:
+    """Rows of ``left`` with those of ``right`` that have their key and come at their time or up to ``within`` later; each at least once.
+
+    On streams both sides have a watermark: rows up to ``delay`` late are met, and a row without a
+    partner is told when none can come any more, and then only.  Column names other than the key's
+    must differ.
+    """
+    l_rows, r_rows = (rows.withWatermark(time, delay) if rows.isStreaming else rows for rows, time in ((left, left_time), (right, right_time)))
+    met = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col(right_time) >= F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {within}"))
+    return l_rows.alias("l").join(r_rows.alias("r"), met, "left_outer").select("l.*", *[F.col(f"r.{c}") for c in right.columns if c != key])

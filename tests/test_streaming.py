@@ -98,3 +98,35 @@ def test_first_seen_tells_each_address_once(spark, tmp_path):
     query = first_seen(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("first").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.url for r in spark.table("first").collect()) == ["u0", "u1", "u2", "u3"]
+
+
+def test_streams_joined_within_a_time_are_the_batch_join(spark, tmp_path):
+    pages = [(f"u{i % 5}", DAY + timedelta(hours=i), i) for i in range(40)]
+    offers = [(f"u{i % 7}", DAY + timedelta(hours=i, minutes=30), float(i)) for i in range(0, 40, 2)]
+    end = DAY + timedelta(days=30)
+    left = spark.createDataFrame(pages, "url string, seen_at timestamp, page int")
+    right = spark.createDataFrame(offers, "url string, offered_at timestamp, price double")
+
+    def told(rows):
+        return sorted(map(str, rows.filter("url <> 'end'").collect()))
+
+    want = told(E.joined_within(left, right, "url", "seen_at", "offered_at", "3 hours"))
+    for name in ("l", "r"):
+        (tmp_path / name).mkdir()
+    streams = [spark.readStream.schema(t.schema).parquet(str(tmp_path / n)) for n, t in (("l", left), ("r", right))]
+
+    def run():
+        query = E.joined_within(*streams, "url", "seen_at", "offered_at", "3 hours", "6 hours").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    # Within a batch and five hours between batches rows come late; then both streams say that time has passed.
+    for part in range(4):
+        left.filter(f"page div 10 = {part}").orderBy("page", ascending=False).coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+        right.filter(f"floor(price / 10) = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        run()
+    spark.createDataFrame([("end", end, 0)], left.schema).write.mode("append").parquet(str(tmp_path / "l"))
+    spark.createDataFrame([("end", end, 0.0)], right.schema).write.mode("append").parquet(str(tmp_path / "r"))
+    run()
+    run()
+    got = told(spark.read.schema(E.joined_within(left, right, "url", "seen_at", "offered_at", "3 hours").schema).parquet(str(tmp_path / "out")))
+    assert got == want and any("price=None" in r for r in got) and any("price=None" not in r for r in got)
