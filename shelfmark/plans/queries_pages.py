@@ -53,3 +53,13 @@ def pages_with_odd_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.replace(odd, F.lit("#"), F.col("page_id").cast("string"))))
     names = json_nodes(parsed_pages(added)).select("page_id", "n", graph.string_of(graph.member("name")).alias("name")).filter("name is not null")
     return names.groupBy("page_id").agg(F.min_by("name", "n").alias("name"))
+
+
+@query(r"""SELECT page_id, count(*) AS n_links, max(href) AS last_href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages) GROUP BY page_id""")
+def sql_parse_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every page by the table function, in SQL alone."""
+    from shelfmark.sources.sql import register
+
+    register(spark)
+    read(spark, sf_dir, "pages").createOrReplaceTempView("raw_pages")
+    return spark.sql("SELECT p.page_id, count(*) AS n_links, max(e.href) AS last_href FROM raw_pages p, LATERAL parse_html(p.html, 'href, class') e WHERE e.tag = 'a' GROUP BY p.page_id")

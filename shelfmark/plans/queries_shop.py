@@ -205,3 +205,15 @@ def shop_listed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = json_strings(shop_run(spark, sf_dir)["parsed"]).filter("s like 'https://cdn.example.com/img/%'")
     listed = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("xs"))
     return listed.select("page_id", F.posexplode("xs").alias("at", "x")).select("page_id", F.col("x.s").alias("url"), "at")
+
+
+@query(
+    f"""WITH {_PART}, n AS (SELECT id, count(*) AS n FROM v GROUP BY id) SELECT id AS page_id, 'product' AS path, CASE shape WHEN 1 THEN 9 ELSE 8 END AS n_members, name FROM p WHERE shape IN (1, 3)"""
+)
+def sql_harvest_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of product objects by the table function, in SQL alone."""
+    from shelfmark.sources.sql import register
+
+    register(spark)
+    shop_run(spark, sf_dir)["pages"].createOrReplaceTempView("shop_pages")
+    return spark.sql("SELECT p.page_id, h.path, count(*) AS n_members, max(h.value) FILTER (WHERE h.k = 'name') AS name FROM shop_pages p, LATERAL harvest_blobs(p.html) h WHERE h.path = 'product' AND p.page_id % 12 IN (1, 3) GROUP BY p.page_id, h.path")

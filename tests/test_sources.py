@@ -227,3 +227,24 @@ def test_pages_of_many_objects_are_not_compared_each_with_each(spark):
     held = fields.held_by(graph.product_nodes(nodes), nodes)
     assert held.count() == 5000 and fields.node_prices(graph.product_nodes(nodes), nodes).count() == 4500
     assert "stretch" in held._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_table_functions_give_the_rows_of_the_tables(spark):
+    import pytest
+
+    from shelfmark.sources.sql import register
+
+    register(spark)
+    pages = sample_pages(spark).unionByName(spark.createDataFrame([(90, "n", None), (91, "e", "")], "page_id long, source string, html string"))
+    pages.createOrReplaceTempView("udtf_pages")
+    parsed = parsed_pages(pages).cache()
+    got = spark.sql("SELECT p.page_id, e.nid, e.parent, e.last, e.depth, e.tag, e.text, e.class FROM udtf_pages p, LATERAL parse_html(p.html, 'class') e").collect()
+    want = dom_nodes(parsed).selectExpr("page_id", "nid", "parent", "last", "depth", "tag", "text", "try_element_at(attrs, 'class')").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    got = spark.sql("SELECT p.page_id, h.n, h.path, h.ord, h.k, h.kind, h.value, h.child FROM udtf_pages p, LATERAL harvest_blobs(p.html) h").collect()
+    want = json_nodes(parsed).selectExpr("page_id", "n", "path", "posexplode(kv) AS (i, m)").selectExpr("page_id", "n", "path", "i", "m.k", "m.kind", "m.s", "m.child").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    only = spark.sql("SELECT DISTINCT carrier FROM udtf_pages p, LATERAL harvest_blobs(p.html, 'microdata') h").collect()
+    assert [r.carrier for r in only] == ["microdata"]
+    with pytest.raises(Exception, match="parse_html reads a string"):
+        spark.sql("SELECT * FROM parse_html(1)")
