@@ -398,13 +398,13 @@ def _score_batches(k: int, n_docs: int, n_terms: int):
                 lengths, df = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("lengths", "dfs"))
                 ends = np.cumsum(df)
                 numbers, tfs = np.frombuffer(row["numbers"], _width(len(lengths))), unpacked(row["tfs"], int(ends[-1]))
-                words = _split(row["terms"])
+                needed = sorted({t["term"] for ask in row["asks"] for t in ask["terms"]})
+                found = dict(zip(needed, pc.index_in(pa.array(needed, pa.string()), value_set=_split(row["terms"])).to_pylist(), strict=True))
                 scores = np.zeros((len(row["asks"]), len(lengths)), np.int64)
                 added: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                 for mine, ask in zip(scores, row["asks"], strict=True):
-                    where = pc.index_in(pa.array([t["term"] for t in ask["terms"]], pa.string()), value_set=words).to_pylist()
-                    for code, term in zip(where, ask["terms"], strict=True):
-                        if code is None:
+                    for term in ask["terms"]:
+                        if (code := found[term["term"]]) is None:
                             continue
                         if code not in added:
                             some = slice(int(ends[code] - df[code]), int(ends[code]))
@@ -467,6 +467,8 @@ def search(index: Index, items: DataFrame, id_col: str = "item_id", text_col: st
         if told is not None:
             told(visits.count(), open_.count())
         if visits.isEmpty():
+            if best is None:
+                break
             continue
         asks = visits.join(questions, "item").groupBy("shard", F.floor(F.col("item") / ITEMS_TOGETHER).alias("block")).agg(F.collect_list(F.struct("item", "terms")).alias("asks"))
         # Written, so that Spark knows its size: where it is small it goes to the shards, and these are not shuffled.
