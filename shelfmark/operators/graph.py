@@ -72,18 +72,22 @@ def product_nodes(nodes: DataFrame, least: int = P.LEAST_SCORE) -> DataFrame:
     return shaped.withColumn("rk", F.row_number().over(order))
 
 
-#: Objects are met through stretches of so many numbers, not page against page.
-STRETCH = 128
+#: Objects are met through stretches of so many numbers, not page against page; intervals of more stretches than this are met by page.
+STRETCH, MOST_STRETCHES = 128, 64
 
 
 def inside(outer: DataFrame, nodes: DataFrame, first: str, last: str) -> DataFrame:
     """Rows of ``outer`` with the objects of their page numbered from ``first`` to ``last``.
 
     A row is filed under every stretch of numbers that its interval touches and an object under its
-    own, so that a page of many objects is not compared each with each.
+    own, so that a page of many objects is not compared each with each.  The few intervals that hold
+    thousands of objects are filed once, under a stretch of the whole page that every object is in.
     """
-    filed = outer.withColumn("stretch", F.explode(F.sequence(F.floor(F.col(first) / STRETCH), F.floor(F.col(last) / STRETCH))))
-    return filed.join(nodes.withColumn("stretch", F.floor(F.col("n") / STRETCH)), ["page_id", "stretch"]).filter(f"n >= {first} and n <= {last}").drop("stretch")
+    wide = F.col(last) - F.col(first) >= STRETCH * MOST_STRETCHES
+    touched = F.when(wide, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.floor(F.col(first) / STRETCH), F.floor(F.when(wide, F.col(first)).otherwise(F.col(last)) / STRETCH)))
+    own = F.array(F.lit(-1).cast("long"), F.floor(F.col("n") / STRETCH))
+    met = outer.withColumn("stretch", F.explode(touched)).join(nodes.withColumn("stretch", F.explode(own)), ["page_id", "stretch"])
+    return met.filter(f"n >= {first} and n <= {last}").drop("stretch")
 
 
 def id_store(nodes: DataFrame) -> DataFrame:
