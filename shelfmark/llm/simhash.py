@@ -148,13 +148,17 @@ def _key_batches(segments: int, wide: bool):
 
 
 def linked_pairs(prints: DataFrame, segments: int = 4) -> DataFrame:
-    """All pairs ``a < b`` of the distinct fingerprints ``fp`` that differ in 1 to 3 bits."""
+    """All pairs ``a < b`` of the distinct fingerprints ``fp`` that differ in 1 to 3 bits.
+
+    Spark takes a Python step to give as many rows as it reads, so that the keys of a small table look small
+    enough to broadcast; they are up to 48 times as many and always meet by shuffle.
+    """
     if not 4 <= segments <= 5:
         raise ValueError("a key holds 4 or 5 segments")
     filed = prints.mapInArrow(_key_batches(segments, False), "key long, fp long").select("key", F.col("fp").alias("a"))
     sought = prints.mapInArrow(_key_batches(segments, True), "key long, fp long").select("key", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return filed.join(sought, (filed["key"] == sought["key"]) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    return filed.join(sought.hint("merge"), (filed["key"] == sought["key"]) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 4) -> DataFrame:

@@ -117,3 +117,10 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(empty).count() == 0
     assert S.keep_one(empty).count() == 0
+
+
+def test_keys_are_never_broadcast(spark):
+    # The fingerprints of 100,000 texts are a small table, their keys are not.
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = S.linked_pairs(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
