@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,13 @@ def gtin14(raw: Column) -> Column:
     Blanks and hyphens between the digits do not count.
     """
 
+    def sound(n: Column) -> Column:
+        # From the right, every other digit counts three times.
+        digits = [F.floor(n / 10**i) % 10 * (3 if i % 2 else 1) for i in range(14)]
+        return reduce(Column.__add__, digits) % 10 == 0
+
     def checked(full: Column) -> Column:
-        digits = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: F.substr(full, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 3).otherwise(1))
-        return F.when((F.aggregate(digits, F.lit(0), lambda a, d: a + d) % 10 == 0) & (full != "0" * 14), full)
+        return F.when(let(full.cast("long"), sound) & (full != "0" * 14), full)
 
     plain = F.regexp_replace(F.trim(raw), r"(?<=\d)[ -](?=\d)", "")
     good = plain.rlike(r"^\d+$") & F.length(plain).isin(*LENGTHS)
@@ -48,13 +54,16 @@ def same_articles(offers: DataFrame, id_col: str = "offer_id") -> DataFrame:
     Expects ``gtin``, ``brand``, ``mpn``, ``name``.  Offers are of one article if a valid trade item
     number says so, or if brand and part number do and the names have the same words: part numbers
     are reused, so the names must agree.  Valid trade item numbers that differ keep offers apart only
-    where nothing else joins them.  Each offer is linked to the first one with its key, so that a key
-    that a third of all offers have makes no more links than it has offers.
+    where nothing else joins them.  Each key stands for the first offer that has it, so that only
+    the keys which an offer has both of are linked, not the offers: a key that a third of all offers
+    have is one vertex.
     """
     rows = offers.select(F.col(id_col).cast("long").alias("id"), gtin14(F.col("gtin")).alias("number"), part_number(F.col("brand"), F.col("mpn")).alias("part"), name_words(F.col("name")).alias("words")).filter("id is not null")
     by = F.array_compact(F.array(F.when(F.col("number").isNotNull(), F.concat(F.lit("g/"), "number")), F.when(F.col("part").isNotNull() & (F.col("words") != ""), F.concat(F.lit("m/"), "part", F.lit("/"), "words"))))
-    keyed = staged(rows.select("id", F.explode(by).alias("key")), "article-keys")
-    first = keyed.groupBy("key").agg(F.min("id").alias("least"))
-    links = keyed.join(first, "key").select(F.col("id").alias("a"), F.col("least").alias("b")).filter("a <> b")
-    roots = connected_components(links)
-    return rows.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("article"))
+    keyed = staged(rows.select("id", F.explode_outer(by).alias("key")), "article-keys")
+    said = keyed.filter("key is not null")
+    first = said.groupBy("key").agg(F.min("id").alias("least"))
+    ends = said.join(first, "key").select("id", "least").unionByName(keyed.filter("key is null").select("id", F.col("id").alias("least")))
+    placed = staged(ends.groupBy("id").agg(F.min("least").alias("a"), F.max("least").alias("b")), "article-ends")
+    roots = connected_components(placed.filter("a <> b").select("a", "b"))
+    return placed.join(roots, F.col("a") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("root", "a").alias("article"))

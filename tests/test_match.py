@@ -86,3 +86,14 @@ def test_bitmaps_count_any_selection(spark):
     got = {r.selection: r.n for r in S.selected(bitmaps, spark.createDataFrame([(s, f, v) for s, w in asked.items() for f, v in w.items()] * 2, "selection string, facet string, value string")).collect()}
     named = [dict(zip(("id", "brand", "root", "band"), map(str, r), strict=True)) for r in rows]
     assert got == {s: sum(all(r[f] == v for f, v in w.items()) for r in named) for s, w in asked.items()}
+
+
+def test_only_keys_that_an_offer_has_both_of_are_linked(spark, monkeypatch):
+    linked = []
+    whole = M.connected_components
+    monkeypatch.setattr(M, "connected_components", lambda edges: linked.append(edges.collect()) or whole(edges))
+    number = "00012345678905"
+    rows = [(i, number, "B", None, "x") for i in range(50)] + [(70, number, "B", "M1", "x"), (60, None, "B", "M1", "x"), (80, None, None, None, None)]
+    got = M.same_articles(spark.createDataFrame(rows, "offer_id long, gtin string, brand string, mpn string, name string"))
+    assert {r.offer_id: r.article for r in got.collect()} == {**{i: 0 for i in (*range(50), 60, 70)}, 80: 80}
+    assert [tuple(r) for r in linked[0]] == [(0, 60)]
