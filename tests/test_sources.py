@@ -7,8 +7,10 @@ from hypothesis import strategies as st
 
 from shelfmark.operators import dom as D
 from shelfmark.plans.samples import MICRODATA, PAGES, sample_pages
+from shelfmark.plans.shopfront import shop_run
 from shelfmark.sources import harvest as H
 from shelfmark.sources import literals as L
+from shelfmark.sources import stages
 from shelfmark.sources.catalog import read_catalog, read_taxonomy, write_results
 from shelfmark.sources.pages import decode, dom_nodes, json_nodes, parse_page, parsed_pages, read_files
 from shelfmark.sources.tree import deep_text, parse
@@ -248,3 +250,9 @@ def test_table_functions_give_the_rows_of_the_tables(spark):
     assert [r.carrier for r in only] == ["microdata"]
     with pytest.raises(Exception, match="parse_html reads a string"):
         spark.sql("SELECT * FROM parse_html(1)")
+
+
+def test_pages_of_a_shop_are_read_no_further_than_asked(spark):
+    with stages.scratch_scope(spark):
+        shop_run(spark, "/root/testdata/sf0.001/")["pages"]
+        assert [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in stages._OPEN.get()[-1]] == ["shop-pages"]
