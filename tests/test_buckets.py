@@ -72,3 +72,32 @@ def test_members_by_name_in_any_case(spark):
     got = [r.v for r in row.select(F.transform(graph.members(("sku", "no")), lambda r: r["m"]["s"]).alias("v")).collect()]
     assert got == [["b", None], [None, None]]
     assert [r.v for r in row.select(graph.first_said(("sku",), lambda m: m["s"], any_case=True).alias("v")).collect()] == ["a", None]
+
+
+def test_a_join_by_page_and_number_sorts_no_objects(run):
+    nodes, dom = run["objects"], run["elements"]
+    for joined in (nodes.join(nodes.select("page_id", "n", F.col("path").alias("at")), ["page_id", "n"]), dom.join(dom.select("page_id", "nid", F.col("tag").alias("t")), ["page_id", "nid"])):
+        with stages._settings(joined.sparkSession, stages.IN_PLACE):
+            lines = joined._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert not [line for line in lines if line.lstrip(" :+-*(0123456789)").startswith("Sort ")]
+    assert "score" in nodes.columns
+
+
+def test_members_that_are_there(spark):
+    kv = "array<struct<k: string, kind: string, s: string>>"
+    row = spark.createDataFrame([([("b", "str", "2"), ("x", "str", "9"), ("a", "str", "1")],), ([("A", "str", "4"), ("a", "str", "5")],), ([],), (None,)], f"kv {kv}")
+
+    def read(any_case):
+        listed = F.transform(graph.present(("a", "b", "c"), any_case=any_case), lambda r: F.concat_ws(":", r["key_ord"].cast("string"), r["k"], r["m"]["s"]))
+        return [r.v for r in row.select(listed.alias("v")).collect()]
+
+    assert read(False) == [["0:a:1", "1:b:2"], ["0:a:5"], [], None]
+    assert read(True) == [["0:a:1", "1:b:2"], ["0:a:4"], [], None]
+
+
+def test_an_object_is_held_under_the_name_that_its_holder_gives(run):
+    nodes = run["objects"]
+    said = nodes.select("page_id", F.inline("kv")).select("page_id", "k", F.explode(F.concat(F.array("child"), F.coalesce(F.transform("items", lambda x: x["child"]), F.array()))).alias("n")).filter("n is not null")
+    found = said.join(nodes.select("page_id", "n", "parent_key", "path"), ["page_id", "n"])
+    assert found.count() == said.count() > 0 and found.filter("k <> parent_key").count() == 0
+    assert found.filter("k = 'variants'").filter(~F.col("path").endswith("]")).count() == 0
