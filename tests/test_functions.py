@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +67,13 @@ def test_axes_and_stock(spark):
 def test_discount(spark, price, was, percent):
     row = spark.createDataFrame([(price, was)], "p double, w double").select(M.discount_percent(F.col("p"), F.col("w")).alias("x")).first()
     assert row.x == percent
+
+
+def test_trimming_knows_the_white_space_of_the_pattern(spark):
+    from shelfmark.functions import patterns as P
+
+    every = [chr(c) for c in range(0x3100) if re.fullmatch(f"[{P.WS}]", chr(c))]
+    assert sorted(every) == sorted(P.SPACES)
+    texts = [f"{c}a{c} b{c}{c}" for c in every] + ["\u200ba\u200b", "", " ", None]
+    assert run(spark, T.strip, texts) == [f"a{c} b" for c in every] + ["\u200ba\u200b", "", "", None]
+    assert run(spark, T.collapse, texts) == ["a b"] * len(every) + ["\u200ba\u200b", "", "", None]
