@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import fields, graph, variants
 from shelfmark.plans.samples import sample_pages
-from shelfmark.plans.shopfront import shop_pages, shop_run
-from shelfmark.sources import stages
-from shelfmark.sources.pages import parsed_pages
+from shelfmark.plans.shopfront import ShopRun, shop_pages, shop_run
+from shelfmark.sources import harvest, stages
+from shelfmark.sources.pages import parse_page, parsed_pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +101,28 @@ def test_an_object_is_held_under_the_name_that_its_holder_gives(run):
     found = said.join(nodes.select("page_id", "n", "parent_key", "path"), ["page_id", "n"])
     assert found.count() == said.count() > 0 and found.filter("k <> parent_key").count() == 0
     assert found.filter("k = 'variants'").filter(~F.col("path").endswith("]")).count() == 0
+
+
+def test_parts_of_a_page_are_those_of_the_whole(spark):
+    pages = [r.html for r in sample_pages(spark).collect()] + ['<script type="application/json">[["a"],{"x":["b"]},["c"]]</script>', "", None]
+    for page in pages:
+        whole = parse_page(page)
+        for part in ("html", "body_text", "dom", "objects", "strings"):
+            some = parse_page(page, (part,))
+            assert some[part] == whole[part] and all(v is None for k, v in some.items() if k != part)
+
+
+def test_objects_without_their_places_are_those_of_the_walk():
+    deep = {"a": [{"id": 1}, [[{"id": 2}], "s"], {"b": {"c": [1, {"id": 3}]}}], "z": {}}
+    for _ in range(20):
+        deep = {"x": [deep, {"y": deep}] if _ < 3 else deep}
+    for blob in (deep, [deep, "s"], [[]], {}):
+        assert [id(o) for o in harvest.objects_of(blob)] == [id(p.value) for p in harvest.walk(blob) if isinstance(p.value, dict)]
+
+
+def test_elements_and_objects_wait_for_no_more_than_they_are_read_for(spark):
+    with stages.scratch_scope(spark):
+        run = ShopRun(spark, SF)
+        assert run["elements"].count() > 0 and run["objects"].count() > 0
+        assert set(run.made) == {"pages", "elements", "objects"}
+        assert "dom" not in run["parsed"].columns or run["parsed"].filter("dom is not null or objects is not null").isEmpty()
