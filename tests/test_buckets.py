@@ -126,3 +126,17 @@ def test_elements_and_objects_wait_for_no_more_than_they_are_read_for(spark):
         assert run["elements"].count() > 0 and run["objects"].count() > 0
         assert set(run.made) == {"pages", "elements", "objects"}
         assert "dom" not in run["parsed"].columns or run["parsed"].filter("dom is not null or objects is not null").isEmpty()
+
+
+def test_what_a_step_wrote_on_the_way_is_removed(spark):
+    with stages.scratch_scope(spark) as outer:
+        written = []
+
+        def make():
+            written.append(stages.bucketed(spark.range(100).select(F.col("id").alias("page_id")), "way", 2))
+            return written[0].select("page_id", (F.col("page_id") * 2).alias("x"))
+
+        made = stages.settled(spark, make, "made", 2)
+        assert len(outer) == 1 and made.agg(F.sum("x")).first()[0] == 9900
+        folder = os.path.dirname(os.path.dirname(made.inputFiles()[0].removeprefix("file://")))
+        assert not [f for f in os.listdir(folder) if f.startswith("way-")]
