@@ -36,6 +36,11 @@ def test_written_amounts_are_read_back(spark, cents):
         assert run(spark, M.amount_of, texts) == amounts
 
 
+def test_rows_of_signs_are_no_currency(spark):
+    found = run(spark, M.money_mentions, ["+1 (678) 555-5272$$$ on$$$ 37 %%%", "10.1.2.3$$$", "US$$ 5 and 6 €€", "a$$$ $7", "8€ 9$"])
+    assert [[(m.amount, m.currency) for m in x] for x in found] == [[], [], [], [(7.0, "USD")], [(8.0, "EUR"), (9.0, "USD")]]
+
+
 def test_money_on_either_side(spark):
     found = run(spark, M.money_mentions, ["C$ 12.50 or 1.299,00 €", "kr 99", "SEK 1 200", "＄5", "no money 5", "zł 10 US$7"])
     assert [[(m.amount, m.currency) for m in r] for r in found] == [[(12.5, "CAD"), (1299.0, "EUR")], [], [(1200.0, "SEK")], [(5.0, "USD")], [], [(10.0, "PLN"), (7.0, "USD")]]

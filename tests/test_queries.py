@@ -88,3 +88,10 @@ def test_scores_of_all_flags_are_those_of_the_sql(spark, tmp_path):
     ids = [(sum(one[p] for i, p in enumerate(primes) if s >> i & 1) % whole,) for s in range(256)]
     spark.createDataFrame(ids, "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
     assert len(_both(spark, "warnings_confidence_refusal", tmp_path, "documents")) == 256
+
+
+def test_numbers_beside_rows_of_signs_sell_nothing(spark, tmp_path):
+    texts = ["Call +1 (678) 555-5272$$$ soon.", "oneant$$$ 37 %%% of", "At 10.1.2.3$$$ it is.", "Plain."]
+    pages = [(i, f'<html><head><meta charset="utf-8"><title>Thing {i}</title></head><body><article><h1>Thing {i}</h1><p>{t}</p></article></body></html>') for i, t in enumerate(texts)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(_both(spark, "page_records", tmp_path, "pages")) == 4
