@@ -95,3 +95,11 @@ def test_numbers_beside_rows_of_signs_sell_nothing(spark, tmp_path):
     pages = [(i, f'<html><head><meta charset="utf-8"><title>Thing {i}</title></head><body><article><h1>Thing {i}</h1><p>{t}</p></article></body></html>') for i, t in enumerate(texts)]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert len(_both(spark, "page_records", tmp_path, "pages")) == 4
+
+
+def test_every_page_says_where_name_and_price_came_from(spark, db):
+    got = entry.queries()["shop_provenance"](spark, SF).toPandas()
+    pages = {r[0] for r in db.execute("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)").fetchall()}
+    assert {(r.page_id, r.field) for r in got.itertuples()} == {(p, f) for p in pages for f in ("name", "price")}
+    offers = got[(got.page_id % 12 == 11) & (got.field == "price")].origin
+    assert len(offers) and offers.str.fullmatch(r"json:offers\.offers\[\d+\]\.price").all() and offers.nunique() > 1
