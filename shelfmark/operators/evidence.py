@@ -27,9 +27,9 @@ def bundle(facts: DataFrame, parsed: DataFrame, dom: DataFrame | None = None, pr
     best = products.filter((F.col("rk") <= MOST_NODES) & F.col("pruned").isNotNull())
     shown = F.concat(F.lit("### structured data (rank "), F.col("rk").cast("string"), F.lit(", score "), F.col("score").cast("string"), F.lit(")\n"), "pruned")
     first = best.groupBy("page_id", F.substring("pruned", 1, SAME_PREFIX).alias("same")).agg(F.min(F.struct("rk", shown.alias("t"))).alias("x"))
-    objects = first.groupBy("page_id").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("page_id", F.transform("xs", lambda x: x["t"]).alias("objects"))
+    objects = first.groupBy("page_id").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("page_id", F.transform("xs", lambda x: x["t"]).alias("objects"))
     tags = dom.filter("tag = 'meta'").select("page_id", "nid", F.coalesce(F.nullif(attribute("property"), F.lit("")), attribute("name")).alias("key"), attribute("content").alias("content"))
-    lines = tags.filter("key <> '' and content <> ''").filter(F.col("key").rlike(P.META_SHOWN)).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("nid", F.concat("key", F.lit(": "), F.substring("content", 1, 240)).alias("t")))).alias("ms"))
+    lines = tags.filter("key <> '' and content <> ''").filter(F.col("key").rlike(P.META_SHOWN)).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("nid", F.concat("key", F.lit(": "), F.substring("content", 1, 240)).alias("t")))).alias("ms"))
     metas = lines.select("page_id", F.concat(F.lit("### page metadata\n"), F.substring(F.array_join(F.transform("ms", lambda m: m["t"]), "\n"), 1, MOST_META)).alias("metas"))
     names = F.transform(F.slice("image_urls", 1, MOST_IMAGES), lambda u, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.substring(F.regexp_extract(F.regexp_replace(u, r"[?#].*$", ""), r"[^/]*$", 0), 1, 70)))
     pictures = F.when(F.size("image_urls") > 0, F.concat(F.lit("### candidate images (refer to these by index)\n"), F.array_join(names, "\n")))

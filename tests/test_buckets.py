@@ -140,3 +140,19 @@ def test_what_a_step_wrote_on_the_way_is_removed(spark):
         assert len(outer) == 1 and made.agg(F.sum("x")).first()[0] == 9900
         folder = os.path.dirname(os.path.dirname(made.inputFiles()[0].removeprefix("file://")))
         assert not [f for f in os.listdir(folder) if f.startswith("way-")]
+
+
+def test_one_pass_gives_the_tables_that_are_read_each_by_itself(spark):
+    with stages.scratch_scope(spark):
+        alone, whole = ShopRun(spark, SF), ShopRun(spark, SF)
+        whole.read_at_once()
+        assert set(whole.made) == {"pages", "elements", "objects", "parsed"}
+        for step, number in (("elements", "nid"), ("objects", "n"), ("parsed", "page_id")):
+            wanted = [c for c in alone[step].columns if c in whole[step].columns]
+            assert set(alone[step].columns) - set(wanted) <= {"dom", "objects"}
+            rows = [[str(r) for r in t.select(*wanted).orderBy("page_id", number).collect()] for t in (alone[step], whole[step])]
+            assert rows[0] == rows[1] and rows[0]
+        # Rows of a page stay in its bucket and in their order, so that a join by them shuffles and sorts nothing.
+        with stages._settings(spark, stages.IN_PLACE):
+            plan = whole["objects"].select("page_id", "n", "path").join(alone["objects"].select("page_id", "n", "score"), ["page_id", "n"])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
