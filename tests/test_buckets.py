@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import fields, graph, variants
+from shelfmark.operators import fields, graph, taxonomy, variants
 from shelfmark.plans.samples import sample_pages
 from shelfmark.plans.shopfront import ShopRun, shop_pages, shop_run
 from shelfmark.sources import harvest, stages
@@ -156,3 +156,11 @@ def test_one_pass_gives_the_tables_that_are_read_each_by_itself(spark):
         with stages._settings(spark, stages.IN_PLACE):
             plan = whole["objects"].select("page_id", "n", "path").join(alone["objects"].select("page_id", "n", "score"), ["page_id", "n"])._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
+
+
+def test_terms_are_counted_once_for_their_weights_and_lengths(spark):
+    weights = spark.createDataFrame([("bolt", 0.5)], "term string, idf double")
+    docs = spark.createDataFrame([(1, "bolt nut"), (2, "")], "id long, text string")
+    found = taxonomy.vectors(docs, "id", "text", weights, spark.range(1).select(F.lit(2.0).alias("unseen")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert abs(found.agg(F.sum(F.col("w") * F.col("w"))).first()[0] - 1) < 1e-9
